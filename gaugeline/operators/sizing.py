@@ -1,0 +1,20 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Default bound for sides we broadcast on purpose (rows, not bytes: the sides
+# are narrow key tables such as consumer positions or end offsets).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+
+    The bound is measured (a count of at most max_rows + 1 rows), not assumed;
+    beyond it the side is returned unchanged and the join falls back to a
+    shuffle join, which AQE may still turn into a broadcast at run time.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
