@@ -170,3 +170,160 @@ def q_partition_assign(spark, sf_dir):
 def q_partition_balance(spark, sf_dir):
     """A5."""
     return partitioning.partition_balance(telemetry(spark, sf_dir).select("uuid"), N_PARTITIONS)
+
+
+# ------------------------------------------------------------ parsing
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+
+
+def label_text_col():
+    """Label text derived from each event, exercising every parser rule."""
+    k = F.get_json_object(F.col("props"), "$.k")
+    return F.concat(
+        F.lit('k="'), k, F.lit('",type = '), F.col("event_type"),
+        F.lit(', ,flag,note="x,y",empty=,=anon'),
+        F.when(F.col("value") > 250, F.concat(F.lit(",k="), F.col("user_id").cast("string")))
+        .otherwise(F.lit("")),
+    )
+
+
+_LABEL_TEXT_SQL = ("concat('k=\"', json_extract_string(props, '$.k'), '\",type = ', event_type, "
+                   "', ,flag,note=\"x,y\",empty=,=anon', "
+                   "CASE WHEN value > 250 THEN concat(',k=', user_id) ELSE '' END)")
+
+
+@register("parse_labels", f"""
+WITH t AS (SELECT event_id, {_LABEL_TEXT_SQL} AS txt FROM events),
+p AS (SELECT event_id, unnest(string_split(txt, ',')) AS piece,
+             unnest(generate_series(1, len(string_split(txt, ',')))) AS i FROM t),
+q AS (SELECT event_id, i, trim(piece) AS piece FROM p),
+r AS (SELECT event_id, i, trim(substr(piece, 1, instr(piece, '=') - 1)) AS label_key,
+             trim(substr(piece, instr(piece, '=') + 1)) AS v
+      FROM q WHERE piece <> '' AND instr(piece, '=') > 0),
+s AS (SELECT event_id, label_key,
+             CASE WHEN length(v) >= 2 AND starts_with(v, '"') AND ends_with(v, '"')
+                  THEN substr(v, 2, length(v) - 2) ELSE v END AS label_value,
+             row_number() OVER (PARTITION BY event_id, label_key ORDER BY i DESC) AS rk
+      FROM r)
+SELECT event_id, label_key, label_value FROM s WHERE rk = 1""")
+def q_parse_labels(spark, sf_dir):
+    """P4: label text -> map (split, trim, first '=', unquote, last key wins), exploded."""
+    from gaugeline.functions.labels import parse_labels
+    ev = _events(spark, sf_dir)
+    m = ev.select("event_id", F.explode(parse_labels(label_text_col())).alias("label_key", "label_value"))
+    return m
+
+
+def _ts_text(c):
+    return F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def csv_line_col():
+    """One CSV source line per event; some rows are made bad on purpose by content:
+    value < 2 -> only 5 cells; error with value in [2,4) -> 'invalid';
+    view with value in [2,5) -> '1e400' (overflow); value > 470 -> leading space."""
+    v = F.col("value")
+    vtxt = (F.when((F.col("event_type") == "error") & (v >= 2) & (v < 4), F.lit("invalid"))
+            .when((F.col("event_type") == "view") & (v >= 2) & (v < 5), F.lit("1e400"))
+            .when(v > 470, F.concat(F.lit(" "), v.cast("string")))
+            .otherwise(v.cast("string")))
+    k = F.get_json_object(F.col("props"), "$.k")
+    labels = F.concat(F.lit('"k=""'), k, F.lit('"",type='), F.col("event_type"), F.lit('"'))
+    uid = F.col("user_id").cast("string")
+    uuid = F.concat(F.lit("GPU-"), uid)
+    full = F.concat_ws(",", _ts_text("ts"), F.col("event_type"), uid, F.lit(""), uuid,
+                       F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), vtxt, labels)
+    short = F.concat_ws(",", _ts_text("ts"), F.col("event_type"), uid, F.lit(""), uuid)
+    return F.when(v < 2, short).otherwise(full)
+
+
+_REASON_SQL = """CASE WHEN value < 2 THEN 'column_count'
+       WHEN event_type = 'error' AND value >= 2 AND value < 4 THEN 'invalid_value'
+       WHEN event_type = 'view' AND value >= 2 AND value < 5 THEN 'invalid_value'
+       WHEN value > 470 THEN 'invalid_value' END"""
+
+
+def parsed_events(spark, sf_dir):
+    from gaugeline.operators.parse import parse_records
+    from gaugeline.sources.csv import csv_lines
+    lines = _events(spark, sf_dir).select("event_id", csv_line_col().alias("line"))
+    return parse_records(csv_lines(lines, "line", keep=["event_id"]), event_time="source",
+                         keep=["event_id"])
+
+
+@register("parse_value", f"""
+SELECT event_id, "timestamp", uuid, metric_name, gpu_id, value, label_k, label_type FROM (
+  SELECT event_id, ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name,
+         CAST(user_id AS VARCHAR) AS gpu_id, value,
+         json_extract_string(props, '$.k') AS label_k, event_type AS label_type,
+         {_REASON_SQL} AS reason
+  FROM events) s WHERE reason IS NULL""")
+def q_parse_value(spark, sf_dir):
+    """P1 + P2 + F2: CSV text lines -> typed records; bad rows drop out of the good set."""
+    from gaugeline.operators.parse import valid
+    good = valid(parsed_events(spark, sf_dir))
+    return good.select("event_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                       "uuid", "metric_name", "gpu_id", "value",
+                       F.col("labels")["k"].alias("label_k"), F.col("labels")["type"].alias("label_type"))
+
+
+@register("parse_rejects", f"""
+SELECT reason AS reject_reason, count(*) AS rows FROM (SELECT {_REASON_SQL} AS reason FROM events) s
+WHERE reason IS NOT NULL GROUP BY reason""")
+def q_parse_rejects(spark, sf_dir):
+    """rejected rows per reason."""
+    from gaugeline.operators.parse import reject_counts
+    return reject_counts(parsed_events(spark, sf_dir))
+
+
+@register("csv_scan", f"""
+SELECT "timestamp", uuid, metric_name, value, label_k FROM (
+  SELECT ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name, value,
+         json_extract_string(props, '$.k') AS label_k, {_REASON_SQL} AS reason
+  FROM events WHERE value >= 2) s WHERE reason IS NULL""")
+def q_csv_scan(spark, sf_dir):
+    """S1: CSV files (header row, RFC 4180 quoting) written from the events, scanned and parsed."""
+    from gaugeline.operators.parse import parse_records, valid
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.csv import read_csv
+    path = scratch_path(spark, "csv-scan")
+    cells = (_events(spark, sf_dir).where(F.col("value") >= 2)
+             .select(F.from_csv(csv_line_col(), _CELLS_DDL, {"escape": '"'}).alias("c")).select("c.*"))
+    (cells.write.mode("overwrite")
+     .options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
+              ignoreTrailingWhiteSpace="false")
+     .csv(path))
+    good = valid(parse_records(read_csv(spark, path), event_time="source"))
+    return good.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "uuid",
+                       "metric_name", "value", F.col("labels")["k"].alias("label_k"))
+
+
+_CELLS_DDL = ", ".join(f"{c} string" for c in [
+    "timestamp", "metric_name", "gpu_id", "device", "uuid", "model_name", "hostname",
+    "container", "pod", "namespace", "value", "labels"])
+
+
+@register("labels_json", """
+SELECT event_id AS id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS labels_json,
+       json_extract_string(props, '$.k') AS label_k FROM events""")
+def q_labels_json(spark, sf_dir):
+    """P5 + P6: label map -> JSON text -> map."""
+    from gaugeline.functions.labels import labels_from_json, labels_to_json
+    t = telemetry(spark, sf_dir).select("id", labels_to_json(F.col("labels")).alias("labels_json"))
+    return t.select("id", "labels_json", labels_from_json(F.col("labels_json"))["k"].alias("label_k"))
+
+
+@register("record_json", """
+SELECT event_id AS id,
+  '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","metric_name":"' || event_type
+  || '","gpu_id":"' || user_id || '","uuid":"GPU-' || user_id || '","value":' || CAST(value AS VARCHAR)
+  || ',"labels":{"k":"' || json_extract_string(props, '$.k') || '"}}' AS record_json,
+  concat('GPU-', user_id) AS uuid, value FROM events""")
+def q_record_json(spark, sf_dir):
+    """P7: record -> one JSON object (empty optional fields omitted) and back."""
+    from gaugeline.functions.records import record_from_json, record_to_json
+    t = telemetry(spark, sf_dir)
+    j = t.select("id", record_to_json().alias("record_json"))
+    back = j.select("id", "record_json", record_from_json("record_json").alias("r"))
+    return back.select("id", "record_json", F.col("r.uuid").alias("uuid"), F.col("r.value").alias("value"))
