@@ -327,3 +327,144 @@ def q_record_json(spark, sf_dir):
     j = t.select("id", record_to_json().alias("record_json"))
     back = j.select("id", "record_json", record_from_json("record_json").alias("r"))
     return back.select("id", "record_json", F.col("r.uuid").alias("uuid"), F.col("r.value").alias("value"))
+
+
+# ------------------------------------------------------------ the record log
+SPLIT_TS = "2024-01-15 00:00:00"       # the events are appended as two batches
+POSITIONS = {"g1": {1: 3000, 2: 5000}, "g2": {0: 2900, 1: 10}}   # stored group positions
+MAX_RECORDS = 100
+_LOGS: dict[tuple[str, str], str] = {}
+
+_LOG_SQL = f"""(SELECT partition_id, row_number() OVER (PARTITION BY partition_id ORDER BY "timestamp", id) - 1
+         AS "offset", id, uuid, "timestamp", metric_name, value
+       FROM (SELECT *, {_PID} AS partition_id FROM {_T} t) s)"""
+
+
+def _log_events(spark, sf_dir):
+    return telemetry(spark, sf_dir)
+
+
+def written_log(spark: SparkSession, sf_dir: str) -> str:
+    """The events appended to a log in two batches (once per session and input)."""
+    from gaugeline.operators.log import append_log
+    from gaugeline.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOGS:
+        path = scratch_path(spark, "log")
+        ev = _log_events(spark, sf_dir)
+        split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+        order = ["timestamp", "id"]
+        append_log(ev.where(F.col("timestamp") < split), path, N_PARTITIONS, order).collect()
+        append_log(ev.where(F.col("timestamp") >= split), path, N_PARTITIONS, order).collect()
+        _LOGS[key] = path
+    return _LOGS[key]
+
+
+def _log_out(df):
+    return df.select("partition_id", "offset", "uuid",
+                     F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "metric_name", "value")
+
+
+@register("log_offsets", f"SELECT partition_id, \"offset\", id FROM {_LOG_SQL} l")
+def q_log_offsets(spark, sf_dir):
+    """ST1: hash partition + dense offsets in arrival (time) order, skew-safe numbering."""
+    from gaugeline.operators.log import assign_offsets
+    t = telemetry(spark, sf_dir).select("id", "uuid", "timestamp")
+    return assign_offsets(t, N_PARTITIONS, ["timestamp", "id"]).select("partition_id", "offset", "id")
+
+
+@register("append_report", f"""
+SELECT partition_id, count(*) FILTER (WHERE "timestamp" >= TIMESTAMP '{SPLIT_TS}') AS records,
+       count(*) AS next_offset FROM {_LOG_SQL} l GROUP BY partition_id""")
+def q_append_report(spark, sf_dir):
+    """K1 + K2 + A6: second append continues each partition's offsets; its report."""
+    from gaugeline.operators.log import append_log
+    from gaugeline.session import scratch_path
+    path = scratch_path(spark, "log-report")
+    ev = _log_events(spark, sf_dir)
+    split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    append_log(ev.where(F.col("timestamp") < split), path, N_PARTITIONS, ["timestamp", "id"]).collect()
+    return append_log(ev.where(F.col("timestamp") >= split), path, N_PARTITIONS, ["timestamp", "id"])
+
+
+@register("log_scan", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l")
+def q_log_scan(spark, sf_dir):
+    """S3: the written log read back (records + partition + offset)."""
+    from gaugeline.sources.log import read_log
+    return _log_out(read_log(spark, written_log(spark, sf_dir)))
+
+
+@register("end_offsets", f"SELECT partition_id, count(*) AS next_offset FROM {_LOG_SQL} l GROUP BY partition_id")
+def q_end_offsets(spark, sf_dir):
+    """A6: next write position of every partition."""
+    from gaugeline.operators.log import end_offsets
+    from gaugeline.sources.log import read_log
+    return end_offsets(read_log(spark, written_log(spark, sf_dir)), N_PARTITIONS)
+
+
+@register("consume_offset", f"""
+SELECT partition_id, "offset", uuid, "timestamp", metric_name, value FROM {_LOG_SQL} l
+WHERE partition_id = 1 AND "offset" >= 100 ORDER BY "offset" LIMIT 50""")
+def q_consume_offset(spark, sf_dir):
+    """ST2 + L4: 50 records of partition 1 from offset 100."""
+    from gaugeline.operators.log import consume
+    from gaugeline.sources.log import read_log
+    return _log_out(consume(read_log(spark, written_log(spark, sf_dir)), 1, 100, 50))
+
+
+def _positions_sql(groups):
+    rows = [f"('{g}', {p}, {o})" for g in groups for p, o in POSITIONS[g].items()]
+    return f"(SELECT * FROM (VALUES {', '.join(rows)}) v(grp, partition_id, next_offset))"
+
+
+def _group_sql(groups):
+    names = ", ".join(f"('{g}')" for g in groups)
+    return f"""(SELECT g.grp, p.partition_id, coalesce(pos.next_offset, 0) AS start_offset
+    FROM (VALUES {names}) g(grp), (SELECT range AS partition_id FROM range({N_PARTITIONS})) p
+    LEFT JOIN {_positions_sql(groups)} pos ON pos.grp = g.grp AND pos.partition_id = p.partition_id)"""
+
+
+def _consume_sql(groups):
+    return f"""
+SELECT s.grp AS "group", l.partition_id, l."offset", l.uuid, l."timestamp", l.metric_name, l.value
+FROM {_LOG_SQL} l JOIN {_group_sql(groups)} s ON l.partition_id = s.partition_id
+WHERE l."offset" >= s.start_offset AND l."offset" < s.start_offset + {MAX_RECORDS}"""
+
+
+@register("consume_group", _consume_sql(["g1"]))
+def q_consume_group(spark, sf_dir):
+    """ST3 + U1: one group reads every partition from its stored position (0 if none)."""
+    from gaugeline.operators.log import consume_groups
+    from gaugeline.sources.log import read_log
+    log = read_log(spark, written_log(spark, sf_dir))
+    out = consume_groups(log, {"g1": POSITIONS["g1"]}, ["g1"], MAX_RECORDS, N_PARTITIONS)
+    return out.select("group", *_log_out(out).columns)
+
+
+@register("consume_two_groups", _consume_sql(["g1", "g2"]))
+def q_consume_two_groups(spark, sf_dir):
+    """ST5: two groups with independent positions over the same log."""
+    from gaugeline.operators.log import consume_groups
+    from gaugeline.sources.log import read_log
+    log = read_log(spark, written_log(spark, sf_dir))
+    out = consume_groups(log, POSITIONS, ["g1", "g2"], MAX_RECORDS, N_PARTITIONS)
+    return out.select("group", *_log_out(out).columns)
+
+
+@register("consume_status", f"""
+WITH e AS (SELECT partition_id, count(*) AS end_offset FROM {_LOG_SQL} l GROUP BY partition_id),
+s AS (SELECT s.grp, s.partition_id, s.start_offset, coalesce(e.end_offset, 0) AS end_offset
+      FROM {_group_sql(["g1", "g2"])} s LEFT JOIN e ON e.partition_id = s.partition_id)
+SELECT grp AS "group", partition_id, start_offset,
+       CAST(greatest(least(start_offset + {MAX_RECORDS}, end_offset) - start_offset, 0) AS BIGINT) AS records,
+       CAST(start_offset + greatest(least(start_offset + {MAX_RECORDS}, end_offset) - start_offset, 0) AS BIGINT)
+         AS next_offset,
+       start_offset + greatest(least(start_offset + {MAX_RECORDS}, end_offset) - start_offset, 0) < end_offset
+         AS has_more
+FROM s""")
+def q_consume_status(spark, sf_dir):
+    """ST4 + ST6: records read, new position and has_more per group and partition."""
+    from gaugeline.operators.log import consume_status, end_offsets
+    from gaugeline.sources.log import read_log
+    ends = end_offsets(read_log(spark, written_log(spark, sf_dir)), N_PARTITIONS)
+    return consume_status(ends, POSITIONS, ["g1", "g2"], MAX_RECORDS, N_PARTITIONS)

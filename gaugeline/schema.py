@@ -49,12 +49,16 @@ TELEMETRY_SCHEMA = T.StructType([
 ])
 
 # Log row = record + hash partition + dense per-partition offset.
+# ``batch`` is the id of the streaming micro-batch that appended the row (NULL
+# for batch appends); it makes a replayed micro-batch detectable.
 LOG_KEY = ["partition_id", "offset"]
 LOG_SCHEMA = T.StructType(
     list(TELEMETRY_SCHEMA.fields)
     + [T.StructField("partition_id", T.IntegerType(), False),
-       T.StructField("offset", T.LongType(), False)]
+       T.StructField("offset", T.LongType(), False),
+       T.StructField("batch", T.LongType(), True)]
 )
+LOG_COLUMNS = LOG_SCHEMA.fieldNames()
 
 # Defaults of the original service configuration.
 DEFAULT_PARTITIONS = 3
