@@ -468,3 +468,107 @@ def q_consume_status(spark, sf_dir):
     from gaugeline.sources.log import read_log
     ends = end_offsets(read_log(spark, written_log(spark, sf_dir)), N_PARTITIONS)
     return consume_status(ends, POSITIONS, ["g1", "g2"], MAX_RECORDS, N_PARTITIONS)
+
+
+# ------------------------------------------------------------ table writes
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def written_table(spark: SparkSession, sf_dir: str) -> str:
+    """The events persisted as the telemetry table (once per session and input)."""
+    from gaugeline.operators.table import persist
+    from gaugeline.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = scratch_path(spark, "table")
+        persist(telemetry(spark, sf_dir), path, N_PARTITIONS, mode="overwrite")
+        _TABLES[key] = path
+    return _TABLES[key]
+
+
+@register("table_scan", f"SELECT id, {_REC}, {_PID} AS partition_id FROM {_T} t")
+def q_table_scan(spark, sf_dir):
+    """K3 + S5 + S4: records persisted (partitioned, clustered) and scanned back."""
+    from gaugeline.sources.table import read_table
+    t = read_table(spark, written_table(spark, sf_dir))
+    return flat(t.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+@register("table_device_page",
+          f"SELECT {_REC} FROM {_T} t WHERE uuid = '{DEVICE}' AND {_RANGE} "
+          f"ORDER BY \"timestamp\", id LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE}")
+def q_table_device_page(spark, sf_dir):
+    """L6 on the persisted table: partition directory pruned, uuid/time pushed to the scan."""
+    from gaugeline.sources.table import read_table
+    t = read_table(spark, written_table(spark, sf_dir))
+    rows, _ = query.telemetry_by_uuid(t, DEVICE, RANGE_START, RANGE_END, page=2,
+                                      page_size=PAGE_SIZE, n_partitions=N_PARTITIONS)
+    return flat(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+@register("insert_if_absent", f"""
+SELECT id, uuid, "timestamp", value FROM {_T} t WHERE "timestamp" >= TIMESTAMP '2024-01-25 00:00:00'""")
+def q_insert_if_absent(spark, sf_dir):
+    """K4: a batch with repeated rows against a table already holding part of it."""
+    from gaugeline.operators.table import insert_if_absent
+    t = telemetry(spark, sf_dir).select("id", "uuid", "timestamp", "value")
+    ts = F.col("timestamp")
+    existing = t.where(ts < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+    new = (t.where(ts >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+           .unionByName(t.where(ts >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))))
+    return insert_if_absent(new, existing, ["id"])
+
+
+# ------------------------------------------------------------ streaming
+_STREAM_LOG_SQL = f"""
+SELECT partition_id, row_number() OVER (PARTITION BY partition_id ORDER BY "timestamp") - 1 AS "offset",
+       uuid, "timestamp", metric_name, value FROM (
+  SELECT ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name, value,
+         {_PID.replace('sha256(uuid)', "sha256(concat('GPU-', user_id))")} AS partition_id,
+         {_REASON_SQL} AS reason
+  FROM events WHERE value >= 2) s WHERE reason IS NULL"""
+
+
+def _write_csv_slice(spark, sf_dir, path, cond):
+    cells = (_events(spark, sf_dir).where((F.col("value") >= 2) & cond)
+             .select(F.from_csv(csv_line_col(), _CELLS_DDL, {"escape": '"'}).alias("c")).select("c.*"))
+    (cells.write.mode("append")
+     .options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
+              ignoreTrailingWhiteSpace="false")
+     .csv(path))
+
+
+@register("stream_ingest", _STREAM_LOG_SQL)
+def q_stream_ingest(spark, sf_dir):
+    """S2 + ST7 + ST10 + K1: CSV folder -> stream -> parse -> log (availableNow drain)."""
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.log import read_log
+    from gaugeline.streaming.ingest import ingest_stream
+    base = scratch_path(spark, "stream-ingest")
+    _write_csv_slice(spark, sf_dir, f"{base}/csv", F.lit(True))
+    q = ingest_stream(spark, f"{base}/csv", f"{base}/log", f"{base}/ckpt", N_PARTITIONS,
+                      event_time="source", trigger="availableNow", rejects_path=f"{base}/rejects")
+    q.awaitTermination()
+    return _log_out(read_log(spark, f"{base}/log"))
+
+
+@register("stream_resume", _STREAM_LOG_SQL)
+def q_stream_resume(spark, sf_dir):
+    """ST8 + ST5 + K3: ingest restarted on the same checkpoint after new files
+    arrive; a consumer group restarted likewise persists the log to the table."""
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.table import read_table
+    from gaugeline.streaming.consume import consume_stream
+    from gaugeline.streaming.ingest import ingest_stream
+    base = scratch_path(spark, "stream-resume")
+    csv, log, table = f"{base}/csv", f"{base}/log", f"{base}/table"
+    split = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    _write_csv_slice(spark, sf_dir, csv, split)
+    for _run in range(2):
+        ingest_stream(spark, csv, log, f"{base}/ingest-ckpt", N_PARTITIONS, event_time="source",
+                      trigger="availableNow").awaitTermination()
+        consume_stream(spark, log, "g2", table, f"{base}/groups", N_PARTITIONS,
+                       trigger="availableNow").awaitTermination()
+        if _run == 0:
+            _write_csv_slice(spark, sf_dir, csv, ~split)
+    return _log_out(read_table(spark, table))
