@@ -29,12 +29,12 @@ def label_entries(text) -> Column:
 def parse_labels(text) -> Column:
     """map<string,string>; NULL text gives NULL, any other text a map."""
     e = label_entries(text)
-    # last one wins: keep an entry only if no later entry has the same key
-    last = F.filter(
-        e,
-        lambda x, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e), F.lit(1))),
-                               lambda y: y["key"] == x["key"]),
-    )
+    # last one wins: fold left, an entry replaces an earlier one with its key.
+    # (The lambdas only see the accumulator and the element, so the entry
+    # array is built once per row.)
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    last = F.aggregate(e, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["key"] != x["key"]),
+                                                         F.array(x)))
     return F.map_from_entries(last).cast(LABELS_TYPE)
 
 

@@ -12,24 +12,37 @@ import hashlib
 
 from pyspark.sql import Column, functions as F
 
-_HEX = "0123456789abcdef"
+def _signed64(x: int) -> int:
+    return x - (1 << 64) if x >= (1 << 63) else x
+
+
+# nibble bit masks: bit 0 / 1 / 2 / 3 of every 4-bit group of a 64-bit word
+_NIBBLE_BIT = [_signed64(int(c * 16, 16)) for c in "1248"]
 
 
 def partition_id(uuid_col="uuid", n: int = 3) -> Column:
     """Column expression: partition id in [0, n) of a uuid string column.
 
-    The code-point sum over the 64 hex digits is written as 16 digit counts
-    (length minus length-without-digit) weighted by the digit's code: plain
-    string functions that stay inside whole-stage codegen, instead of a
-    higher-order aggregate over a split array.
+    The character codes of a lowercase hex digit d are 48 + d for 0-9 and
+    48 + d + 39 for a-f, so the code sum over the 64 digits is
+    3072 + (sum of the nibbles) + 39 * (nibbles >= 10).  Both terms are read off
+    the digest as four 64-bit words with bit counts: integer expressions that
+    stay in whole-stage codegen (about 2x cheaper than iterating characters
+    with higher-order functions, which are interpreted).
     """
     u = F.col(uuid_col) if isinstance(uuid_col, str) else uuid_col
     h = F.sha2(F.coalesce(u, F.lit("")).cast("binary"), 256)
-    total = None
-    for ch in _HEX:
-        cnt = F.lit(64) - F.length(F.replace(h, F.lit(ch), F.lit("")))
-        term = cnt * F.lit(ord(ch))
-        total = term if total is None else total + term
+    b0, b1, b2, b3 = (F.lit(m) for m in _NIBBLE_BIT)
+    total = F.lit(48 * 64)
+    for i in range(4):
+        w = F.conv(F.substr(h, F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long")
+        nibble_sum = (F.bit_count(w.bitwiseAND(b0)) + F.bit_count(w.bitwiseAND(b1)) * 2
+                      + F.bit_count(w.bitwiseAND(b2)) * 4 + F.bit_count(w.bitwiseAND(b3)) * 8)
+        # nibble >= 10  <=>  bit3 and (bit2 or bit1); moved to the nibble's bit 0
+        letters = (F.shiftrightunsigned(w, 3)
+                   .bitwiseAND(F.shiftrightunsigned(w, 2).bitwiseOR(F.shiftrightunsigned(w, 1)))
+                   .bitwiseAND(b0))
+        total = total + nibble_sum + F.bit_count(letters) * 39
     return (total % F.lit(n)).cast("int")
 
 

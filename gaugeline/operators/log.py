@@ -44,7 +44,8 @@ def end_offsets(log: DataFrame, n_partitions: int = DEFAULT_PARTITIONS) -> DataF
 
 
 def assign_offsets(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS, order_cols=None,
-                   base: DataFrame | None = None, num_ranges: int | None = None) -> DataFrame:
+                   base: DataFrame | None = None, num_ranges: int | None = None,
+                   total: int | None = None) -> DataFrame:
     """ST1: ``partition_id`` + consecutive ``offset`` per partition in arrival order.
 
     ``order_cols`` is the arrival order (must be total); ``base`` holds the
@@ -61,7 +62,8 @@ def assign_offsets(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS, order_
     else:
         p = p.withColumn("_base", F.lit(0).cast("long"))
         start = F.col("_base")
-    out = number_rows(p, ["partition_id"], order, out_col="offset", num_ranges=num_ranges, start=start)
+    out = number_rows(p, ["partition_id"], order, out_col="offset", num_ranges=num_ranges, start=start,
+                      total=total)
     return out.drop("_base")
 
 
@@ -90,29 +92,38 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
                batch: int | None = None, num_ranges: int | None = None) -> DataFrame:
     """K1: append records to the log at ``path``; returns the K2 report.
 
-    One writer per log (the base offsets are read, then written past).  With a
-    streaming ``batch`` id the append is idempotent: a replayed micro-batch
-    whose rows are already in the log is skipped.
+    Jobs: end offsets of the log (reads partition_id/offset only), records per
+    partition of the batch, the key sample of the numbering, the write.  The
+    report follows from base + counts because offsets are dense.  One writer
+    per log.  With a streaming ``batch`` id the append is idempotent: a
+    replayed micro-batch whose rows are already in the log is skipped.
     """
     spark = df.sparkSession
     exists = log_exists(spark, path)
     if exists and batch is not None:
-        done = read_log(spark, path).where(F.col("batch") == F.lit(batch)).limit(1).count() > 0
-        if done:
-            return _report(read_log(spark, path).where(F.col("batch") == F.lit(batch)))
-    base = end_offsets(read_log(spark, path), n_partitions) if exists else None
-    logged = assign_offsets(df, n_partitions, order_cols, base, num_ranges)
+        done = read_log(spark, path).where(F.col("batch") == F.lit(batch))
+        if done.limit(1).count() > 0:
+            return _report(done)
+    p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
+    counts = {r.partition_id: r.n for r in
+              p.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
+    if exists:
+        base_rows = {r.partition_id: r.next_offset for r in end_offsets(read_log(spark, path),
+                                                                          n_partitions).collect()}
+    else:
+        base_rows = {}
+    report = spark.createDataFrame(
+        [(k, int(v), int(base_rows.get(k, 0) + v)) for k, v in sorted(counts.items())],
+        "partition_id int, records long, next_offset long")
+    if not counts:
+        return report
+    base = spark.createDataFrame([(k, int(v)) for k, v in base_rows.items()],
+                                 "partition_id int, next_offset long") if base_rows else None
+    logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, total=sum(counts.values()))
     rows = to_log_rows(logged, batch)
     (rows.sortWithinPartitions("partition_id", "offset")
      .write.mode("append").partitionBy("partition_id").parquet(path))
-    # the report is computed from what was written (a pruned scan of the new rows)
-    new = read_log(spark, path)
-    if base is not None:
-        b = {r.partition_id: r.next_offset for r in base.collect()}   # n_partitions rows
-        cond = reduce(lambda a, c: a | c,
-                      [(F.col("partition_id") == k) & (F.col("offset") >= v) for k, v in b.items()])
-        new = new.where(cond)
-    return _report(new)
+    return report
 
 
 def _report(rows: DataFrame) -> DataFrame:

@@ -39,11 +39,15 @@ def _key(cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def split_keys(df: DataFrame, key_cols: list[str], n: int) -> list[tuple]:
-    """n-1 (or fewer) ascending split keys from a seeded sample of the key columns."""
+def split_keys(df: DataFrame, key_cols: list[str], n: int, total: int | None = None) -> list[tuple]:
+    """n-1 (or fewer) ascending split keys from a seeded sample of the key columns.
+
+    ``total`` (the row count, when the caller knows it) saves one pass.
+    """
     if n <= 1:
         return []
-    total = df.count()
+    if total is None:
+        total = df.count()
     if total == 0:
         return []
     frac = min(1.0, SAMPLE_PER_RANGE * n / total)
@@ -79,7 +83,8 @@ def range_of(df: DataFrame, key_cols: list[str], bounds: list[tuple]) -> Column:
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "rn",
-                num_ranges: int | None = None, start: Column | int = 1) -> DataFrame:
+                num_ranges: int | None = None, start: Column | int = 1,
+                total: int | None = None) -> DataFrame:
     """Append ``out_col`` = start + 0-based rank of the row in its group under ``order_cols``.
 
     ``start`` may be a Column already on the row (e.g. a per-group base offset).
@@ -87,7 +92,7 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     n = num_ranges or default_ranges(df)
     group_cols, order_cols = list(group_cols), list(order_cols)
     key_cols = group_cols + order_cols
-    bounds = split_keys(df, key_cols, n)
+    bounds = split_keys(df, key_cols, n, total)
     gk = _key(group_cols) if group_cols else F.lit(0)
     tagged = df.withColumn(_RANGE, range_of(df, key_cols, bounds)).withColumn(_GK, gk)
 
