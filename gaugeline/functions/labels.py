@@ -5,37 +5,47 @@ Rules of the source parser (applied in this order):
   piece (Unicode white space); skip empty pieces; split on the first '=' and
   skip pieces without one; trim key and value; strip one pair of surrounding
   double quotes from the value; a repeated key keeps its last value.
+
+The split/trim/first-'=' steps are one native regex scan per text; only the
+unquoting and the (rare) duplicate-key fold are array lambdas.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gaugeline.functions.text import _c, after_first, before_first, strip_quotes, utrim
+from gaugeline.functions.text import _c, strip_quotes
 from gaugeline.schema import LABELS_TYPE
 
 
+# One label pair: at the start or after a comma, optional white space, the key
+# (no comma, no '='), white space, the first '=', white space, the value (no
+# comma), white space, then a comma or the end of the text.  Pieces without
+# '=' (empty, blank or bare words) never match, and the surrounding white
+# space is left out of the groups, which is the piece/key/value trimming.
+# (?U): \s is Unicode White_Space, the set the source trims.
+PAIR_PATTERN = r"(?U)(?:^|,)\s*([^,=]*?)\s*=\s*([^,]*?)\s*(?=,|\z)"
+
+
 def label_entries(text) -> Column:
-    """array<struct<key,value>> in text order, duplicates kept."""
-    pieces = F.transform(F.split(_c(text), ",", -1), utrim)
-    pairs = F.filter(pieces, lambda p: (p != "") & (F.instr(p, "=") > 0))
-    return F.transform(
-        pairs,
-        lambda p: F.struct(utrim(before_first(p, "=")).alias("key"),
-                           strip_quotes(utrim(after_first(p, "="))).alias("value")),
-    )
+    """array<struct<key,value>> in text order, duplicates kept (native regex scan)."""
+    t = _c(text)
+    keys = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 1)
+    values = F.transform(F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 2), strip_quotes)
+    return F.arrays_zip(keys.alias("key"), values.alias("value"))
 
 
 def parse_labels(text) -> Column:
     """map<string,string>; NULL text gives NULL, any other text a map."""
     e = label_entries(text)
-    # last one wins: fold left, an entry replaces an earlier one with its key.
-    # (The lambdas only see the accumulator and the element, so the entry
-    # array is built once per row.)
+    keys = F.transform(e, lambda x: x["key"])
+    # last one wins: fold left, an entry replaces an earlier one with its key
+    # (only when a key repeats; the lambdas see just the accumulator and element)
     empty = F.array().cast("array<struct<key:string,value:string>>")
     last = F.aggregate(e, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["key"] != x["key"]),
                                                          F.array(x)))
-    return F.map_from_entries(last).cast(LABELS_TYPE)
+    dedup = F.when(F.size(F.array_distinct(keys)) < F.size(e), last).otherwise(e)
+    return F.map_from_entries(dedup).cast(LABELS_TYPE)
 
 
 def labels_to_json(labels) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Unicode-aware trim: Spark's trim() only removes ASCII spaces, the source
-# format trims every Unicode white-space character (tab, NBSP, ideographic ...).
-_UTRIM = r"(?U)^\s+|\s+$"
+# Fixed value: the Unicode White_Space characters (what the source trims; Spark's
+# one-argument trim() removes only ASCII spaces).
+UNICODE_WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                       "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -14,7 +15,8 @@ def _c(c) -> Column:
 
 
 def utrim(c) -> Column:
-    return F.regexp_replace(_c(c), _UTRIM, "")
+    """Trim Unicode white space at both ends (a character-set trim, no regex)."""
+    return F.trim(_c(c), F.lit(UNICODE_WHITE_SPACE))
 
 
 def strip_quotes(c) -> Column:

@@ -48,7 +48,9 @@ def csv_lines(df: DataFrame, line_col: str = "line", keep: list[str] | None = No
     opts = {k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "enforceSchema")}
     parsed = F.from_csv(F.col(line_col), CSV_SCHEMA.simpleString(), opts)
     cols = [F.col(c) for c in (keep or [])]
-    return df.select(*cols, parsed.alias("_r")).select(*(keep or []), "_r.*")
+    # inline(array(struct)) expands the cells with a generator: later filters on
+    # derived columns cannot be pushed below it, so the line is parsed once
+    return df.select(*cols, F.inline(F.array(parsed)))
 
 
 # A CSV cell at the start of the text or after a separator: a quoted cell
