@@ -252,3 +252,32 @@ def load_positions(spark: SparkSession, path: str) -> DataFrame:
 __all__ = ["end_offsets", "assign_offsets", "append_log", "append_report", "consume",
            "consume_groups", "consume_status", "advance_positions", "save_positions",
            "load_positions", "to_log_rows", "LOG_COLUMNS"]
+
+
+def poll(log: DataFrame, positions, group: str, max_records: int = DEFAULT_MAX_RECORDS,
+         n_partitions: int = DEFAULT_PARTITIONS) -> tuple[DataFrame, DataFrame]:
+    """One consumer-group read (offset -1 = "from my stored position").
+
+    Returns (records, status); commit ``advance_positions(status)`` with
+    ``merge_positions`` once the records are processed (at-least-once).
+    """
+    pos = positions_frame(log.sparkSession, positions)
+    mine = pos.where(F.col("group") == F.lit(group))
+    records = consume_groups(log, mine, [group], max_records, n_partitions)
+    status = consume_status(end_offsets(log, n_partitions), mine, [group], max_records, n_partitions)
+    return records, status
+
+
+def merge_positions(positions, status: DataFrame) -> DataFrame:
+    """Stored positions with the groups in ``status`` replaced by their new ones.
+
+    Positions are control data (groups x partitions rows): they are collected,
+    merged on the driver and returned as a fresh DataFrame without lineage, so
+    the result can overwrite the file it was read from.
+    """
+    spark = status.sparkSession
+    old = {(r.group, r.partition_id): r.next_offset
+           for r in positions_frame(spark, positions).limit(BROADCAST_MAX_ROWS).collect()}
+    for r in advance_positions(status).collect():
+        old[(r.group, r.partition_id)] = r.next_offset
+    return spark.createDataFrame([(g, p, o) for (g, p), o in sorted(old.items())], POSITIONS_SCHEMA)
