@@ -88,30 +88,71 @@ def log_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+MARKER = "_end_offsets"   # hidden from the log reader (leading underscore)
+MARKER_SCHEMA = "partition_id int, next_offset long, batch long"
+
+
+def _read_marker(spark: SparkSession, path: str):
+    mpath = f"{path.rstrip('/')}/{MARKER}"
+    if not log_exists(spark, mpath):
+        return None
+    rows = spark.read.schema(MARKER_SCHEMA).parquet(mpath).collect()   # n_partitions rows
+    return {r.partition_id: r.next_offset for r in rows}, max([r.batch for r in rows if r.batch is not None],
+                                                              default=None)
+
+
+def _write_marker(spark: SparkSession, path: str, ends: dict, batch: int | None) -> None:
+    rows = [(int(k), int(v), batch) for k, v in sorted(ends.items())]
+    (spark.createDataFrame(rows, MARKER_SCHEMA).coalesce(1)
+     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MARKER}"))
+
+
+def log_state(spark: SparkSession, path: str, n_partitions: int = DEFAULT_PARTITIONS):
+    """(end offsets by partition, last streaming batch or None, marker trusted?).
+
+    The end-offset marker written by each append is checked with one pruned
+    probe — any row at or beyond a recorded end?  Files are sorted by offset,
+    so row-group statistics skip everything below the ends.  Only a stale
+    marker (a crash between data and marker writes) costs the full aggregate
+    over the log's partition_id/offset columns.
+    """
+    if not log_exists(spark, path):
+        return {}, None, True
+    log = read_log(spark, path)
+    marker = _read_marker(spark, path)
+    if marker is not None:
+        ends, last_batch = marker
+        probe = reduce(lambda a, b: a | b, [
+            (F.col("partition_id") == F.lit(p)) & (F.col("offset") >= F.lit(ends.get(p, 0)))
+            for p in range(n_partitions)])
+        if log.where(probe).limit(1).count() == 0:
+            return {p: ends.get(p, 0) for p in range(n_partitions)}, last_batch, True
+    full = {r.partition_id: r.next_offset for r in end_offsets(log, n_partitions).collect()}
+    return full, None, False
+
+
 def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS, order_cols=None,
                batch: int | None = None, num_ranges: int | None = None) -> DataFrame:
     """K1: append records to the log at ``path``; returns the K2 report.
 
-    Jobs: end offsets of the log (reads partition_id/offset only), records per
-    partition of the batch, the key sample of the numbering, the write.  The
+    Jobs: the log state probe (see ``log_state``), records per partition of
+    the batch, the key sample of the numbering, the write, the marker.  The
     report follows from base + counts because offsets are dense.  One writer
     per log.  With a streaming ``batch`` id the append is idempotent: a
-    replayed micro-batch whose rows are already in the log is skipped.
+    replayed micro-batch already in the log is skipped.
     """
     spark = df.sparkSession
-    exists = log_exists(spark, path)
-    if exists and batch is not None:
-        done = read_log(spark, path).where(F.col("batch") == F.lit(batch))
-        if done.limit(1).count() > 0:
-            return _report(done)
+    base_rows, last_batch, trusted = log_state(spark, path, n_partitions)
+    if batch is not None and base_rows:
+        if trusted and last_batch is not None and batch <= last_batch:
+            return _report(read_log(spark, path).where(F.col("batch") == F.lit(batch)))
+        if not trusted:
+            done = read_log(spark, path).where(F.col("batch") == F.lit(batch))
+            if done.limit(1).count() > 0:
+                return _report(done)
     p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
     counts = {r.partition_id: r.n for r in
               p.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
-    if exists:
-        base_rows = {r.partition_id: r.next_offset for r in end_offsets(read_log(spark, path),
-                                                                          n_partitions).collect()}
-    else:
-        base_rows = {}
     report = spark.createDataFrame(
         [(k, int(v), int(base_rows.get(k, 0) + v)) for k, v in sorted(counts.items())],
         "partition_id int, records long, next_offset long")
@@ -123,6 +164,10 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
     rows = to_log_rows(logged, batch)
     (rows.sortWithinPartitions("partition_id", "offset")
      .write.mode("append").partitionBy("partition_id").parquet(path))
+    ends = {k: base_rows.get(k, 0) for k in range(n_partitions)}
+    for k, v in counts.items():
+        ends[k] = ends.get(k, 0) + v
+    _write_marker(spark, path, ends, batch if batch is not None else last_batch)
     return report
 
 

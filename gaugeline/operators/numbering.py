@@ -65,14 +65,22 @@ def split_keys(df: DataFrame, key_cols: list[str], n: int, total: int | None = N
     return out
 
 
+# Up to this many split keys the range lookup is a comparison tree (codegen'd);
+# beyond, a binary search over one literal array keeps the expression small.
+TREE_MAX_BOUNDS = 63
+
+
 def range_of(df: DataFrame, key_cols: list[str], bounds: list[tuple]) -> Column:
-    """Index of the key range holding the row: #bounds <= key, via a balanced tree."""
+    """Index of the key range holding the row: the number of split keys <= key."""
     types = {f.name: f.dataType for f in df.schema.fields}
     key = _key(key_cols)
 
     def lit(b):
         return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(key_cols, b)])
 
+    if len(bounds) > TREE_MAX_BOUNDS:
+        return _binary_search(key, F.array(*[lit(b) for b in bounds]), len(bounds))
+
     def tree(lo: int, hi: int) -> Column:  # answer in [lo, hi]
         if lo == hi:
             return F.lit(lo)
@@ -82,6 +90,22 @@ def range_of(df: DataFrame, key_cols: list[str], bounds: list[tuple]) -> Column:
     return tree(0, len(bounds)).cast("int")
 
 
+def _binary_search(key: Column, bounds: Column, m: int) -> Column:
+    """ceil(log2(m+1)) halving steps over [lo, hi) as an aggregate over a step sequence."""
+    steps = max(1, m.bit_length())
+    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+
+    def step(acc, _i):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        le = F.element_at(bounds, mid + 1) <= key
+        return (F.when(lo >= hi, acc)
+                .when(le, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+                .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"].cast("int")
+
+
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "rn",
                 num_ranges: int | None = None, start: Column | int = 1,
                 total: int | None = None) -> DataFrame:

@@ -97,3 +97,17 @@ def test_consume_is_pruned(spark, log5):
     sel = consume(log, pid, 2, 10)
     assert any("partition_id" in p for p in partition_filters(sel))
     assert any("offset" in p for p in pushed_filters(sel))
+
+
+def test_stale_marker_falls_back_to_scan(spark, tmp_dir):
+    from gaugeline.operators.log import _write_marker, log_state
+    append_log(records(spark, 4), tmp_dir, 3, ORDER).collect()
+    pid = partition_id_of("uuid-1", 3)
+    ends, _, trusted = log_state(spark, tmp_dir, 3)
+    assert trusted and ends[pid] == 4
+    _write_marker(spark, tmp_dir, {pid: 2}, None)          # as if the marker lagged the data
+    ends, _, trusted = log_state(spark, tmp_dir, 3)
+    assert not trusted and ends[pid] == 4
+    rep = append_log(records(spark, 2, start=10), tmp_dir, 3, ORDER).collect()
+    assert rep[0].next_offset == 6
+    assert sorted(r.offset for r in read_log(spark, tmp_dir).collect()) == list(range(6))

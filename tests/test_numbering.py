@@ -47,3 +47,14 @@ def test_global_numbering_and_deterministic(spark):
 def test_empty_input(spark):
     df = spark.range(0).select("id", F.lit("x").alias("g"))
     assert number_rows(df, ["g"], ["id"]).count() == 0
+
+
+def test_many_ranges_binary_search(spark):
+    from gaugeline.operators import numbering
+    df = spark.range(5000).select(
+        "id", F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
+        ((F.col("id") * 13) % 5000).alias("t"))
+    got = {r.id: r.rn for r in number_rows(df, ["g"], ["t", "id"], num_ranges=300).collect()}
+    assert got == _expected(df, ["g"], ["t", "id"])
+    bounds = split_keys(df, ["g", "t", "id"], 300)
+    assert len(bounds) > numbering.TREE_MAX_BOUNDS
