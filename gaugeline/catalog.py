@@ -277,6 +277,16 @@ def q_parse_rejects(spark, sf_dir):
     return reject_counts(parsed_events(spark, sf_dir))
 
 
+@register("parse_reject_rate", f"""
+SELECT count(*) AS rows, count(reason) AS rejected,
+       count(reason) / greatest(count(*), 1) AS reject_rate
+FROM (SELECT {_REASON_SQL} AS reason FROM events) s""")
+def q_parse_reject_rate(spark, sf_dir):
+    """F1 metric: share of rows rejected by the parser."""
+    from gaugeline.operators.parse import reject_rate
+    return reject_rate(parsed_events(spark, sf_dir))
+
+
 @register("csv_scan", f"""
 SELECT "timestamp", uuid, metric_name, value, label_k FROM (
   SELECT ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name, value,
