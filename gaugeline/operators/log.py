@@ -12,8 +12,10 @@ broadcast range join beyond the bound.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -88,23 +90,43 @@ def log_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-MARKER = "_end_offsets"   # hidden from the log reader (leading underscore)
-MARKER_SCHEMA = "partition_id int, next_offset long, batch long"
+MARKER = "_end_offsets.json"   # hidden from the log reader (leading underscore)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def _read_marker(spark: SparkSession, path: str):
-    mpath = f"{path.rstrip('/')}/{MARKER}"
-    if not log_exists(spark, mpath):
+    """(ends by partition, last streaming batch) or None; a few bytes, read on the driver."""
+    fs, hpath = _fs(spark, f"{path.rstrip('/')}/{MARKER}")
+    if not fs.exists(hpath):
+        return None
+    stream = fs.open(hpath)
+    try:
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(
+            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        text = reader.readLine()
+    finally:
+        stream.close()
+    try:
+        doc = json.loads(text or "")
+        return {int(k): int(v) for k, v in doc["ends"].items()}, doc.get("batch")
+    except (ValueError, KeyError, TypeError):
         return None
-    rows = spark.read.schema(MARKER_SCHEMA).parquet(mpath).collect()   # n_partitions rows
-    return {r.partition_id: r.next_offset for r in rows}, max([r.batch for r in rows if r.batch is not None],
-                                                              default=None)
 
 
 def _write_marker(spark: SparkSession, path: str, ends: dict, batch: int | None) -> None:
-    rows = [(int(k), int(v), batch) for k, v in sorted(ends.items())]
-    (spark.createDataFrame(rows, MARKER_SCHEMA).coalesce(1)
-     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MARKER}"))
+    """Overwrite the marker in the log's own (shared) file system, no Spark job."""
+    doc = json.dumps({"ends": {str(k): int(v) for k, v in sorted(ends.items())}, "batch": batch})
+    fs, hpath = _fs(spark, f"{path.rstrip('/')}/{MARKER}")
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(doc.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def log_state(spark: SparkSession, path: str, n_partitions: int = DEFAULT_PARTITIONS):
@@ -151,19 +173,26 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
             if done.limit(1).count() > 0:
                 return _report(done)
     p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
-    counts = {r.partition_id: r.n for r in
-              p.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
-    report = spark.createDataFrame(
-        [(k, int(v), int(base_rows.get(k, 0) + v)) for k, v in sorted(counts.items())],
-        "partition_id int, records long, next_offset long")
-    if not counts:
-        return report
-    base = spark.createDataFrame([(k, int(v)) for k, v in base_rows.items()],
-                                 "partition_id int, next_offset long") if base_rows else None
-    logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, total=sum(counts.values()))
-    rows = to_log_rows(logged, batch)
-    (rows.sortWithinPartitions("partition_id", "offset")
-     .write.mode("append").partitionBy("partition_id").parquet(path))
+    # the batch is read by four jobs (counts, key sample, two numbering
+    # branches): keep it for the duration of this eager call; a lost block is
+    # recomputed from the (deterministic) lineage
+    p = p.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {r.partition_id: r.n for r in
+                  p.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
+        report = spark.createDataFrame(
+            [(k, int(v), int(base_rows.get(k, 0) + v)) for k, v in sorted(counts.items())],
+            "partition_id int, records long, next_offset long")
+        if not counts:
+            return report
+        base = spark.createDataFrame([(k, int(v)) for k, v in base_rows.items()],
+                                     "partition_id int, next_offset long") if base_rows else None
+        logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, total=sum(counts.values()))
+        rows = to_log_rows(logged, batch)
+        (rows.sortWithinPartitions("partition_id", "offset")
+         .write.mode("append").partitionBy("partition_id").parquet(path))
+    finally:
+        p.unpersist()
     ends = {k: base_rows.get(k, 0) for k in range(n_partitions)}
     for k, v in counts.items():
         ends[k] = ends.get(k, 0) + v
