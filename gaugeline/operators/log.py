@@ -28,9 +28,6 @@ from gaugeline.sources.log import read_log
 
 POSITIONS_SCHEMA = "group string, partition_id int, next_offset long"
 
-# Up to this many (group, partition) positions become a literal predicate.
-MAX_LITERAL_POSITIONS = 4096
-
 
 # --------------------------------------------------------------------- append
 def end_offsets(log: DataFrame, n_partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
@@ -259,33 +256,28 @@ def consume_groups(log: DataFrame, positions, groups: list[str] | None = None,
                    max_records: int = DEFAULT_MAX_RECORDS,
                    n_partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
     """ST3 + U1: for each group and partition, up to ``max_records`` records from
-    the group's position; output has a ``group`` column, order (group, partition, offset).
+    the group's position (0 when it has none); output carries a ``group`` column.
+
+    One scan: per log partition, the span from the smallest to the largest
+    position (+ max_records) becomes a literal predicate (n_partitions
+    disjuncts, pushed to Parquet, so row groups outside are skipped); the
+    (group, partition, start) rows — groups x partitions, size-checked — are
+    broadcast to pick each group's exact range.
     """
     spark = log.sparkSession
     starts = group_starts(spark, positions, groups, n_partitions)
-    small = starts.limit(MAX_LITERAL_POSITIONS + 1).collect()
-    if len(small) <= MAX_LITERAL_POSITIONS:
-        # literal predicate: partition pruning + offset ranges pushed to the scan
-        if not small:
-            return log.limit(0).withColumn("group", F.lit(None).cast("string"))
-        by_range = {}
-        for r in small:
-            by_range.setdefault((r.partition_id, r.start_offset), []).append(r.group)
-        # one scan per distinct range, groups sharing a range share the rows
-        scans = []
-        for (pid, start), gs in by_range.items():
-            sel = log.where((F.col("partition_id") == F.lit(pid))
-                            & (F.col("offset") >= F.lit(start))
-                            & (F.col("offset") < F.lit(start + max_records)))
-            g = F.explode(F.array(*[F.lit(x) for x in gs])) if len(gs) > 1 else F.lit(gs[0])
-            scans.append(sel.withColumn("group", g))
-        out = reduce(DataFrame.unionByName, scans)
-    else:
-        st = broadcast_if_small(starts, BROADCAST_MAX_ROWS)
-        cond = ((log["partition_id"] == st["partition_id"]) & (log["offset"] >= st["start_offset"])
-                & (log["offset"] < st["start_offset"] + F.lit(max_records)))
-        out = log.join(st, cond, "inner").drop(st["partition_id"]).drop("start_offset")
-    return out
+    spans = starts.groupBy("partition_id").agg(F.min("start_offset").alias("lo"),
+                                                F.max("start_offset").alias("hi")).collect()
+    if not spans:
+        return log.limit(0).withColumn("group", F.lit(None).cast("string"))
+    bound = reduce(lambda a, b: a | b, [
+        (F.col("partition_id") == F.lit(r.partition_id)) & (F.col("offset") >= F.lit(r.lo))
+        & (F.col("offset") < F.lit(r.hi + max_records)) for r in spans])
+    scoped = log.where(bound)
+    st = broadcast_if_small(starts.withColumnRenamed("partition_id", "_pid"), BROADCAST_MAX_ROWS)
+    cond = ((scoped["partition_id"] == st["_pid"]) & (scoped["offset"] >= st["start_offset"])
+            & (scoped["offset"] < st["start_offset"] + F.lit(max_records)))
+    return scoped.join(st, cond, "inner").drop("_pid", "start_offset")
 
 
 def consume_status(ends: DataFrame, positions, groups: list[str] | None = None,
@@ -313,6 +305,18 @@ def advance_positions(status: DataFrame) -> DataFrame:
     return status.select("group", "partition_id", "next_offset")
 
 
+def export_log_json(log: DataFrame, path: str) -> None:
+    """S3 interchange form: NDJSON, one record object (+ offset) per line, by partition."""
+    from gaugeline.functions.records import record_to_json
+    body = F.concat(F.expr("substring(" + "_j" + ", 1, length(_j) - 1)"),
+                    F.lit(',"offset":'), F.col("offset").cast("string"), F.lit("}"))
+    (log.select("partition_id", "offset", record_to_json().alias("_j"))
+     .select("partition_id", "offset", body.alias("value"))
+     .repartition("partition_id").sortWithinPartitions("partition_id", "offset")
+     .select("partition_id", "value")
+     .write.mode("overwrite").partitionBy("partition_id").text(path))
+
+
 def save_positions(positions: DataFrame, path: str) -> None:
     positions.coalesce(1).write.mode("overwrite").parquet(path)
 

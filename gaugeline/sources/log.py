@@ -11,18 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeline.schema import LOG_SCHEMA, TELEMETRY_SCHEMA
+from gaugeline.schema import LOG_SCHEMA, OMIT_EMPTY
 
 
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "parquet":
         return spark.read.schema(LOG_SCHEMA).parquet(path)
     if fmt == "json":  # NDJSON form: one record object per line, with its offset
-        fields = list(TELEMETRY_SCHEMA.fields) + [LOG_SCHEMA["offset"]]
-        from pyspark.sql import types as T
-        df = spark.read.schema(T.StructType(fields + [LOG_SCHEMA["partition_id"]])).json(path)
-        return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c)
-                           if c in ("gpu_id", "device", "model_name", "hostname",
-                                    "container", "pod", "namespace") else F.col(c)
-                           for c in LOG_SCHEMA.fieldNames()])
+        df = spark.read.schema(LOG_SCHEMA).json(path)
+        return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in OMIT_EMPTY and c != "labels"
+                           else F.col(c) for c in LOG_SCHEMA.fieldNames()])
     raise ValueError(f"unknown log format {fmt!r}")

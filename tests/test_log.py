@@ -111,3 +111,25 @@ def test_stale_marker_falls_back_to_scan(spark, tmp_dir):
     rep = append_log(records(spark, 2, start=10), tmp_dir, 3, ORDER).collect()
     assert rep[0].next_offset == 6
     assert sorted(r.offset for r in read_log(spark, tmp_dir).collect()) == list(range(6))
+
+
+def test_consume_groups_single_pruned_scan(spark, log5):
+    from gaugeline.plans import plan_text, pushed_filters
+    log, pid = log5
+    out = consume_groups(log, {"a": {pid: 1}, "b": {pid: 3}}, ["a", "b"], 2, 3)
+    import re
+    assert len(re.findall(r"^\(\d+\) Scan parquet", plan_text(out), re.M)) == 1
+    assert any("offset" in p for p in pushed_filters(out))
+    got = sorted((r.group, r.offset) for r in out.collect() if r.partition_id == pid)
+    assert got == [("a", 1), ("a", 2), ("b", 3), ("b", 4)]
+
+
+def test_ndjson_export_roundtrip(spark, tmp_dir):
+    from gaugeline.operators.log import export_log_json
+    append_log(records(spark, 6, "uuid-2"), f"{tmp_dir}/log", 3, ORDER).collect()
+    log = read_log(spark, f"{tmp_dir}/log")
+    export_log_json(log, f"{tmp_dir}/json")
+    back = read_log(spark, f"{tmp_dir}/json", fmt="json")
+    a = sorted((r.partition_id, r.offset, r.value, r.uuid, r.container) for r in back.collect())
+    b = sorted((r.partition_id, r.offset, r.value, r.uuid, r.container) for r in log.collect())
+    assert a == b
