@@ -582,3 +582,29 @@ def q_stream_resume(spark, sf_dir):
         if _run == 0:
             _write_csv_slice(spark, sf_dir, csv, ~split)
     return _log_out(read_table(spark, table))
+
+
+@register("log_json_scan", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l")
+def q_log_json_scan(spark, sf_dir):
+    """S3 + P7: the log exported as NDJSON (one record object per line) and read back."""
+    from gaugeline.operators.log import export_log_json
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.log import read_log
+    path = scratch_path(spark, "log-json")
+    export_log_json(read_log(spark, written_log(spark, sf_dir)), path)
+    return _log_out(read_log(spark, path, fmt="json"))
+
+
+@register("ingest_time", f"""
+SELECT event_id, uuid, metric_name, value, true AS stamped_after_source FROM (
+  SELECT event_id, concat('GPU-', user_id) AS uuid, event_type AS metric_name, value, {_REASON_SQL} AS reason
+  FROM events) s WHERE reason IS NULL""")
+def q_ingest_time(spark, sf_dir):
+    """P3: records stamped with the processing time (the CSV time cell is ignored)."""
+    from gaugeline.operators.parse import parse_records, valid
+    from gaugeline.sources.csv import csv_lines
+    lines = _events(spark, sf_dir).select("event_id", "ts", csv_line_col().alias("line"))
+    good = valid(parse_records(csv_lines(lines, "line", keep=["event_id", "ts"]), event_time="ingest",
+                               keep=["event_id", "ts"]))
+    return good.select("event_id", "uuid", "metric_name", "value",
+                       (F.col("timestamp") > F.col("ts").cast("timestamp")).alias("stamped_after_source"))

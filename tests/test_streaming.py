@@ -51,3 +51,21 @@ def test_replayed_batches_are_not_duplicated(spark, tmp_dir):
     persist_batch(log, f"{tmp_dir}/table", 3)
     persist_batch(log, f"{tmp_dir}/table", 3)             # replay of a consumer batch
     assert spark.read.parquet(f"{tmp_dir}/table").count() == 5
+
+
+def test_processing_time_trigger_and_small_batches(spark, tmp_dir):
+    csv, log = f"{tmp_dir}/csv", f"{tmp_dir}/log"
+    for i, row in enumerate(ROWS):
+        _csv(csv, f"{i}.csv", [row])
+    q = ingest_stream(spark, csv, log, f"{tmp_dir}/ck", 3, trigger="1 second", max_files_per_trigger=2)
+    try:
+        q.processAllAvailable()
+        batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    finally:
+        q.stop()
+    assert len(batches) == 3                                  # 5 files, 2 per micro-batch
+    got = read_log(spark, log)
+    assert got.count() == 5
+    per_part = got.groupBy("partition_id").agg(F.count("*").alias("n"), F.max("offset").alias("mx"),
+                                               F.countDistinct("batch").alias("b")).collect()
+    assert all(r.mx == r.n - 1 for r in per_part)
