@@ -539,9 +539,11 @@ SELECT partition_id, row_number() OVER (PARTITION BY partition_id ORDER BY "time
   FROM events WHERE value >= 2) s WHERE reason IS NULL"""
 
 
-def _write_csv_slice(spark, sf_dir, path, cond):
+def _write_csv_slice(spark, sf_dir, path, cond, files: int = 8):
+    """A CSV drop folder of ``files`` files (each with its header row)."""
     cells = (_events(spark, sf_dir).where((F.col("value") >= 2) & cond)
-             .select(F.from_csv(csv_line_col(), _CELLS_DDL, {"escape": '"'}).alias("c")).select("c.*"))
+             .select(F.from_csv(csv_line_col(), _CELLS_DDL, {"escape": '"'}).alias("c")).select("c.*")
+             .repartition(files))
     (cells.write.mode("append")
      .options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
               ignoreTrailingWhiteSpace="false")

@@ -27,24 +27,29 @@ from gaugeline.schema import LABELS_TYPE
 PAIR_PATTERN = r"(?U)(?:^|,)\s*([^,=]*?)\s*=\s*([^,]*?)\s*(?=,|\z)"
 
 
-def label_entries(text) -> Column:
-    """array<struct<key,value>> in text order, duplicates kept (native regex scan)."""
+def _pairs(text):
     t = _c(text)
     keys = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 1)
     values = F.transform(F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 2), strip_quotes)
+    return keys, values
+
+
+def label_entries(text) -> Column:
+    """array<struct<key,value>> in text order, duplicates kept (native regex scan)."""
+    keys, values = _pairs(text)
     return F.arrays_zip(keys.alias("key"), values.alias("value"))
 
 
 def parse_labels(text) -> Column:
     """map<string,string>; NULL text gives NULL, any other text a map."""
-    e = label_entries(text)
-    keys = F.transform(e, lambda x: x["key"])
+    keys, values = _pairs(text)
+    e = F.arrays_zip(keys.alias("key"), values.alias("value"))
     # last one wins: fold left, an entry replaces an earlier one with its key
     # (only when a key repeats; the lambdas see just the accumulator and element)
     empty = F.array().cast("array<struct<key:string,value:string>>")
     last = F.aggregate(e, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["key"] != x["key"]),
                                                          F.array(x)))
-    dedup = F.when(F.size(F.array_distinct(keys)) < F.size(e), last).otherwise(e)
+    dedup = F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(e)
     return F.map_from_entries(dedup).cast(LABELS_TYPE)
 
 
