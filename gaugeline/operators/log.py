@@ -318,7 +318,12 @@ def export_log_json(log: DataFrame, path: str) -> None:
 
 
 def save_positions(positions: DataFrame, path: str) -> None:
-    positions.coalesce(1).write.mode("overwrite").parquet(path)
+    """Overwrite the stored positions.  The new positions usually derive from
+    the file being replaced, so lineage is cut first with a reliable checkpoint
+    (in the shared ``spark.checkpoint.dir``)."""
+    from gaugeline.session import shared_dir
+    shared_dir(positions.sparkSession)
+    positions.checkpoint(eager=True).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -349,13 +354,11 @@ def poll(log: DataFrame, positions, group: str, max_records: int = DEFAULT_MAX_R
 def merge_positions(positions, status: DataFrame) -> DataFrame:
     """Stored positions with the groups in ``status`` replaced by their new ones.
 
-    Positions are control data (groups x partitions rows): they are collected,
-    merged on the driver and returned as a fresh DataFrame without lineage, so
-    the result can overwrite the file it was read from.
+    A full outer join on (group, partition_id); the new position wins.
     """
     spark = status.sparkSession
-    old = {(r.group, r.partition_id): r.next_offset
-           for r in positions_frame(spark, positions).limit(BROADCAST_MAX_ROWS).collect()}
-    for r in advance_positions(status).collect():
-        old[(r.group, r.partition_id)] = r.next_offset
-    return spark.createDataFrame([(g, p, o) for (g, p), o in sorted(old.items())], POSITIONS_SCHEMA)
+    old = positions_frame(spark, positions).alias("o")
+    new = advance_positions(status).alias("n")
+    j = old.join(new, ["group", "partition_id"], "full")
+    return j.select("group", "partition_id",
+                    F.coalesce(F.col("n.next_offset"), F.col("o.next_offset")).cast("long").alias("next_offset"))

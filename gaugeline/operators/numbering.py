@@ -51,7 +51,7 @@ def split_keys(df: DataFrame, key_cols: list[str], n: int, total: int | None = N
     if total == 0:
         return []
     frac = min(1.0, SAMPLE_PER_RANGE * n / total)
-    sample = df.select(*key_cols).sample(False, frac, SAMPLE_SEED)
+    sample = df.select(*key_cols).sample(False, frac, SAMPLE_SEED).limit(4 * SAMPLE_PER_RANGE * n)
     keys = sorted((tuple(r) for r in sample.collect()),
                   key=lambda t: tuple((v is not None, v) for v in t))
     if not keys:

@@ -133,3 +133,16 @@ def test_ndjson_export_roundtrip(spark, tmp_dir):
     a = sorted((r.partition_id, r.offset, r.value, r.uuid, r.container) for r in back.collect())
     b = sorted((r.partition_id, r.offset, r.value, r.uuid, r.container) for r in log.collect())
     assert a == b
+
+
+def test_positions_saved_and_reloaded(spark, log5, tmp_dir):
+    from gaugeline.operators.log import load_positions, save_positions
+    log, pid = log5
+    path = f"{tmp_dir}/positions"
+    for group, m, expect in [("a", 2, 2), ("a", 2, 4), ("b", 1, 1), ("a", 10, 5)]:
+        recs, status = poll(log, load_positions(spark, path), group, m, 3)
+        recs.count()
+        save_positions(merge_positions(load_positions(spark, path), status), path)
+        got = {(r.group, r.partition_id): r.next_offset for r in load_positions(spark, path).collect()}
+        assert got[(group, pid)] == expect
+    assert got[("b", pid)] == 1
