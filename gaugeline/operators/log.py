@@ -5,9 +5,11 @@ offset o" is the range predicate o <= offset < o + m: no sort-and-limit, and
 the predicate reaches the Parquet scan (directory pruning on partition_id,
 row-group skipping on offset because files are written sorted by offset).
 
-Consumer-group positions are small control data (groups x partitions rows);
-they are turned into such literal predicates after a size check, with a
-broadcast range join beyond the bound.
+Consumer-group positions are small control data (groups x partitions rows):
+a group read scans once under a per-partition offset span (a literal
+predicate) and picks each group's exact range with a size-checked broadcast.
+End offsets come from a tiny marker verified by one pruned probe, so an append
+does not scan the log.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from gaugeline.operators.numbering import number_rows
 from gaugeline.operators.partitioning import with_partition
 from gaugeline.operators.query import order_key
 from gaugeline.operators.sizing import BROADCAST_MAX_ROWS, broadcast_if_small
-from gaugeline.schema import DEFAULT_MAX_RECORDS, DEFAULT_PARTITIONS, LOG_COLUMNS, LOG_SCHEMA
+from gaugeline.schema import DEFAULT_MAX_RECORDS, DEFAULT_PARTITIONS, LOG_SCHEMA
 from gaugeline.sources.log import read_log
 
 POSITIONS_SCHEMA = "group string, partition_id int, next_offset long"
@@ -308,7 +310,8 @@ def advance_positions(status: DataFrame) -> DataFrame:
 def export_log_json(log: DataFrame, path: str) -> None:
     """S3 interchange form: NDJSON, one record object (+ offset) per line, by partition."""
     from gaugeline.functions.records import record_to_json
-    body = F.concat(F.expr("substring(" + "_j" + ", 1, length(_j) - 1)"),
+    # the record object with one more member: {...,"offset":N}
+    body = F.concat(F.substr(F.col("_j"), F.lit(1), F.length("_j") - 1),
                     F.lit(',"offset":'), F.col("offset").cast("string"), F.lit("}"))
     (log.select("partition_id", "offset", record_to_json().alias("_j"))
      .select("partition_id", "offset", body.alias("value"))
@@ -332,10 +335,6 @@ def load_positions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSITIONS_SCHEMA).parquet(path)
 
 
-__all__ = ["end_offsets", "assign_offsets", "append_log", "append_report", "consume",
-           "consume_groups", "consume_status", "advance_positions", "save_positions",
-           "load_positions", "to_log_rows", "LOG_COLUMNS"]
-
 
 def poll(log: DataFrame, positions, group: str, max_records: int = DEFAULT_MAX_RECORDS,
          n_partitions: int = DEFAULT_PARTITIONS) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,5 @@
 """Label, value and CSV row parsing (literal fixtures from the source's tests)."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions.labels import parse_labels, labels_from_json, labels_to_json
