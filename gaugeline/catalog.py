@@ -39,16 +39,32 @@ def register(name: str, oracle: str | None = None):
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Replace the label map by its ``k`` entry (comparable column)."""
-    cols = [c for c in df.columns if c != "labels"]
-    out = df.select(*cols, F.col("labels")["k"].alias("label_k")) if "labels" in df.columns else df
-    return out
+    """Comparable output: the label map replaced by its ``k`` entry, and the
+    table's TIMESTAMP shown as the driver tables' TIMESTAMP_NTZ (UTC)."""
+    from pyspark.sql import types as T
+    out = []
+    for f in df.schema.fields:
+        if f.name == "labels":
+            out.append(F.col("labels")["k"].alias("label_k"))
+        elif isinstance(f.dataType, T.TimestampType):
+            out.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events seen as telemetry records (computed columns, no layout)."""
     return events_as_telemetry(spark, sf_dir)
 
 
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry table the service queries: the events persisted once per
+    session (partition_id directories, files clustered on uuid/timestamp)."""
+    from gaugeline.sources.table import read_table
+    return read_table(spark, written_table(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- oracle pieces
 _T = """(SELECT event_id AS id, ts AS "timestamp", event_type AS metric_name,
         CAST(user_id AS VARCHAR) AS gpu_id, '' AS device, concat('GPU-', user_id) AS uuid,
@@ -72,14 +88,14 @@ def q_telemetry_scan(spark, sf_dir):
 @register("list_uuids", f"SELECT DISTINCT uuid FROM {_T} t ORDER BY uuid")
 def q_list_uuids(spark, sf_dir):
     """A2 + L5."""
-    return query.list_uuids(telemetry(spark, sf_dir))
+    return query.list_uuids(table(spark, sf_dir))
 
 
 @register("telemetry_by_uuid",
           f"SELECT {_REC} FROM {_T} t WHERE uuid = '{DEVICE}' ORDER BY \"timestamp\", id LIMIT 100")
 def q_telemetry_by_uuid(spark, sf_dir):
     """L6 (F3 + L1 + L2): page 1, default page size, of one device."""
-    rows, _meta = query.telemetry_by_uuid(telemetry(spark, sf_dir), DEVICE)
+    rows, _meta = query.telemetry_by_uuid(table(spark, sf_dir), DEVICE, n_partitions=N_PARTITIONS)
     return flat(rows)
 
 
@@ -88,8 +104,8 @@ def q_telemetry_by_uuid(spark, sf_dir):
           f"ORDER BY \"timestamp\", id LIMIT 1000")
 def q_telemetry_time_range(spark, sf_dir):
     """F4 + F5: inclusive bounds, both equal to stored timestamps."""
-    rows, _ = query.telemetry_by_uuid(telemetry(spark, sf_dir), DEVICE, RANGE_START, RANGE_END,
-                                      page=1, page_size=1000)
+    rows, _ = query.telemetry_by_uuid(table(spark, sf_dir), DEVICE, RANGE_START, RANGE_END,
+                                      page=1, page_size=1000, n_partitions=N_PARTITIONS)
     return flat(rows)
 
 
@@ -98,21 +114,23 @@ def q_telemetry_time_range(spark, sf_dir):
           f"LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE}")
 def q_telemetry_page(spark, sf_dir):
     """L2: page 2 of size 25."""
-    rows, _ = query.telemetry_by_uuid(telemetry(spark, sf_dir), DEVICE, page=2, page_size=PAGE_SIZE)
+    rows, _ = query.telemetry_by_uuid(table(spark, sf_dir), DEVICE, page=2, page_size=PAGE_SIZE,
+                                      n_partitions=N_PARTITIONS)
     return flat(rows)
 
 
 @register("count_by_uuid", f"SELECT count(*) AS total FROM {_T} t WHERE uuid = '{DEVICE}'")
 def q_count_by_uuid(spark, sf_dir):
     """A1."""
-    return query.count_records(telemetry(spark, sf_dir), DEVICE)
+    return query.count_records(table(spark, sf_dir), DEVICE, n_partitions=N_PARTITIONS)
 
 
 @register("count_time_range",
           f"SELECT count(*) AS total FROM {_T} t WHERE uuid = '{DEVICE}' AND {_RANGE}")
 def q_count_time_range(spark, sf_dir):
     """A1 with F4 + F5."""
-    return query.count_records(telemetry(spark, sf_dir), DEVICE, RANGE_START, RANGE_END)
+    return query.count_records(table(spark, sf_dir), DEVICE, RANGE_START, RANGE_END,
+                               n_partitions=N_PARTITIONS)
 
 
 @register("page_meta",
@@ -121,7 +139,8 @@ def q_count_time_range(spark, sf_dir):
           f"FROM {_T} t WHERE uuid = '{DEVICE}'")
 def q_page_meta(spark, sf_dir):
     """A4 + A1: pagination of the device query."""
-    _, meta = query.telemetry_by_uuid(telemetry(spark, sf_dir), DEVICE, page=1, page_size=PAGE_SIZE)
+    _, meta = query.telemetry_by_uuid(table(spark, sf_dir), DEVICE, page=1, page_size=PAGE_SIZE,
+                                      n_partitions=N_PARTITIONS)
     return meta
 
 
@@ -131,7 +150,7 @@ def q_page_meta(spark, sf_dir):
           f"FROM {_T} t GROUP BY uuid")
 def q_page_meta_all(spark, sf_dir):
     """A4 for every device."""
-    return query.page_meta_all(telemetry(spark, sf_dir), PAGE_SIZE)
+    return query.page_meta_all(table(spark, sf_dir), PAGE_SIZE)
 
 
 @register("page_all",
@@ -141,9 +160,9 @@ def q_page_meta_all(spark, sf_dir):
           f"FROM {_T} t) s")
 def q_page_all(spark, sf_dir):
     """L3: every device's records numbered and paged (skew-safe numbering)."""
-    t = telemetry(spark, sf_dir).select("id", "uuid", "timestamp", "metric_name", "value")
-    return query.page_all(t, PAGE_SIZE).select("id", "uuid", "timestamp", "metric_name",
-                                               "value", "rn", "page")
+    t = table(spark, sf_dir).select("id", "uuid", "timestamp", "metric_name", "value")
+    return flat(query.page_all(t, PAGE_SIZE).select("id", "uuid", "timestamp", "metric_name",
+                                                    "value", "rn", "page"))
 
 
 @register("recent_records",
@@ -152,8 +171,8 @@ def q_page_all(spark, sf_dir):
           f"AND \"timestamp\" <= TIMESTAMP '{AS_OF[:-1].replace('T', ' ')}'")
 def q_recent_records(spark, sf_dir):
     """ST9: the recent-records window, boundary inclusive, at a fixed as-of time."""
-    t = telemetry(spark, sf_dir).select("id", "timestamp", "uuid", "metric_name", "value")
-    return query.recent_records(t, AS_OF, RECENT)
+    t = table(spark, sf_dir).select("id", "timestamp", "uuid", "metric_name", "value")
+    return flat(query.recent_records(t, AS_OF, RECENT))
 
 
 # ------------------------------------------------------------ partitioning
