@@ -38,21 +38,28 @@ def get_spark(master: str | None = None, app: str = "gaugeline",
     return spark
 
 
+_PRIVATE_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts and scratch tables.
 
     Read from ``spark.checkpoint.dir``; only when the session has none (tests,
     a laptop) a private temporary folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+         or _PRIVATE_DIRS.get(sc.applicationId))
     if not d:
         d = tempfile.mkdtemp(prefix="gaugeline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    # make DataFrame.checkpoint() usable with the same folder
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        _PRIVATE_DIRS[sc.applicationId] = d
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at run time
+            pass
+    # make DataFrame.checkpoint() use the same folder
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
