@@ -56,12 +56,14 @@ def parse_records(raw: DataFrame, event_time: str = "ingest", keep: list[str] |
             out.append(labels.alias(c))
         else:
             out.append(F.coalesce(F.col(c), F.lit("")).alias(c))
+    trace = [F.col("source_file")] if "source_file" in raw.columns else []
     return raw.select(*[F.col(k) for k in keep], *out, reason.alias("reject_reason"),
-                      corrupt.alias("source_record"))
+                      corrupt.alias("source_record"), *trace)
 
 
 def valid(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason", "source_record")
+    return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason", "source_record",
+                                                               "source_file")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

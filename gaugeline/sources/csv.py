@@ -29,8 +29,14 @@ def read_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     splittable, so at scale land many moderately sized files (the scan then
     parallelises over files) or turn it off when cells never hold newlines.
     """
-    return (spark.read.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
-            .option("multiLine", str(multi_line).lower()).csv(path))
+    df = (spark.read.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
+          .option("multiLine", str(multi_line).lower()).csv(path))
+    return with_source_file(df)
+
+
+def with_source_file(df: DataFrame) -> DataFrame:
+    """Add the file each row came from (kept on rejects for tracing)."""
+    return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def stream_csv(spark: SparkSession, path: str, multi_line: bool = True,
@@ -40,7 +46,7 @@ def stream_csv(spark: SparkSession, path: str, multi_line: bool = True,
          .option("multiLine", str(multi_line).lower()))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.csv(path)
+    return with_source_file(r.csv(path))
 
 
 def csv_lines(df: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:

@@ -100,6 +100,7 @@ def test_csv_file_scan(spark, tmp_dir):
     assert counts == {"invalid_value": 2, "column_count": 1}
     bad = rejects(parsed).where(F.col("reject_reason") == "column_count").collect()
     assert bad[0].source_record.startswith("a,b,c")
+    assert bad[0].source_file.endswith("a.csv")
 
 
 def test_header_only_and_source_time(spark, tmp_dir):
