@@ -10,6 +10,8 @@ to the batch's offset ranges, so a replayed batch adds nothing: effectively once
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,14 +21,24 @@ from gaugeline.schema import DEFAULT_PARTITIONS, LOG_KEY, LOG_SCHEMA
 from gaugeline.streaming.ingest import _trigger
 
 
+# Target rows per written file; a small micro-batch writes one file instead of
+# one per shuffle partition (no small-file build-up from frequent triggers).
+ROWS_PER_FILE = 4_000_000
+
+
 def persist_batch(batch: DataFrame, table_path: str, n_partitions: int) -> None:
     spark = batch.sparkSession
     batch = batch.persist()
     try:
+        rows = batch.count()
+        if rows == 0:
+            return
         if log_exists(spark, table_path):
             existing = key_range_filter(spark.read.parquet(table_path), batch)
             batch = insert_if_absent(batch, existing, LOG_KEY)
-        persist(batch.drop("batch"), table_path, n_partitions)
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        files = max(1, min(cap, math.ceil(rows / ROWS_PER_FILE)))
+        persist(batch.drop("batch"), table_path, n_partitions, num_files=files)
     finally:
         batch.unpersist()
 

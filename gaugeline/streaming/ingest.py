@@ -57,7 +57,10 @@ def ingest_stream(spark: SparkSession, csv_dir: str, log_path: str, checkpoint:
                   max_files_per_trigger: int | None = None, multi_line: bool = True) -> StreamingQuery:
     """Start the ingest query (poll interval = ``trigger``; 'availableNow' drains and stops)."""
     raw = stream_csv(spark, csv_dir, multi_line=multi_line, max_files_per_trigger=max_files_per_trigger)
-    parsed = parse_records(raw, event_time=event_time)
+    # parse-error counter per micro-batch, reported in the query progress
+    # (observedMetrics["ingest"]: rows, rejected) for rate alerts
+    parsed = parse_records(raw, event_time=event_time).observe(
+        "ingest", F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected"))
     w = (parsed.writeStream
          .foreachBatch(lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path))
          .option("checkpointLocation", checkpoint))

@@ -57,13 +57,16 @@ def test_processing_time_trigger_and_small_batches(spark, tmp_dir):
     csv, log = f"{tmp_dir}/csv", f"{tmp_dir}/log"
     for i, row in enumerate(ROWS):
         _csv(csv, f"{i}.csv", [row])
+    _csv(csv, "bad.csv", ["t,x,g,d,uuid-9,m,h,c,p,n,oops,"])
     q = ingest_stream(spark, csv, log, f"{tmp_dir}/ck", 3, trigger="1 second", max_files_per_trigger=2)
     try:
         q.processAllAvailable()
         batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
     finally:
         q.stop()
-    assert len(batches) == 3                                  # 5 files, 2 per micro-batch
+    assert len(batches) == 3                                  # 6 files, 2 per micro-batch
+    observed = [b["observedMetrics"]["ingest"] for b in batches]
+    assert sum(o["rows"] for o in observed) == 6 and sum(o["rejected"] for o in observed) == 1
     got = read_log(spark, log)
     assert got.count() == 5
     per_part = got.groupBy("partition_id").agg(F.count("*").alias("n"), F.max("offset").alias("mx"),
