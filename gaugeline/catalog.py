@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeline.functions.timeparse import utc_wall_clock
 from gaugeline.operators import partitioning, query
 from gaugeline.sources.adapters import events_as_telemetry
 
@@ -41,13 +42,12 @@ def register(name: str, oracle: str | None = None):
 def flat(df: DataFrame) -> DataFrame:
     """Comparable output: the label map replaced by its ``k`` entry, and the
     table's TIMESTAMP shown as the driver tables' TIMESTAMP_NTZ (UTC)."""
-    from pyspark.sql import types as T
     out = []
     for f in df.schema.fields:
         if f.name == "labels":
             out.append(F.col("labels")["k"].alias("label_k"))
-        elif isinstance(f.dataType, T.TimestampType):
-            out.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
+        elif f.name == "timestamp":
+            out.append(utc_wall_clock(F.col(f.name), f.dataType).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -282,7 +282,8 @@ def q_parse_value(spark, sf_dir):
     """P1 + P2 + F2: CSV text lines -> typed records; bad rows drop out of the good set."""
     from gaugeline.operators.parse import valid
     good = valid(parsed_events(spark, sf_dir))
-    return good.select("event_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+    return good.select("event_id", utc_wall_clock(F.col("timestamp"), good.schema["timestamp"].dataType)
+                       .alias("timestamp"),
                        "uuid", "metric_name", "gpu_id", "value",
                        F.col("labels")["k"].alias("label_k"), F.col("labels")["type"].alias("label_type"))
 
@@ -324,7 +325,8 @@ def q_csv_scan(spark, sf_dir):
               ignoreTrailingWhiteSpace="false")
      .csv(path))
     good = valid(parse_records(read_csv(spark, path), event_time="source"))
-    return good.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "uuid",
+    return good.select(utc_wall_clock(F.col("timestamp"), good.schema["timestamp"].dataType)
+                       .alias("timestamp"), "uuid",
                        "metric_name", "value", F.col("labels")["k"].alias("label_k"))
 
 
@@ -353,7 +355,7 @@ def q_record_json(spark, sf_dir):
     """P7: record -> one JSON object (empty optional fields omitted) and back."""
     from gaugeline.functions.records import record_from_json, record_to_json
     t = telemetry(spark, sf_dir)
-    j = t.select("id", record_to_json().alias("record_json"))
+    j = t.select("id", record_to_json(ntz=True).alias("record_json"))
     back = j.select("id", "record_json", record_from_json("record_json").alias("r"))
     return back.select("id", "record_json", F.col("r.uuid").alias("uuid"), F.col("r.value").alias("value"))
 
@@ -389,9 +391,10 @@ def written_log(spark: SparkSession, sf_dir: str) -> str:
     return _LOGS[key]
 
 
-def _log_out(df):
-    return df.select("partition_id", "offset", "uuid",
-                     F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "metric_name", "value")
+def _log_out(df, *extra):
+    return df.select(*extra, "partition_id", "offset", "uuid",
+                     utc_wall_clock(F.col("timestamp"), df.schema["timestamp"].dataType).alias("timestamp"),
+                     "metric_name", "value")
 
 
 @register("log_offsets", f"SELECT partition_id, \"offset\", id FROM {_LOG_SQL} l")
@@ -467,7 +470,7 @@ def q_consume_group(spark, sf_dir):
     from gaugeline.sources.log import read_log
     log = read_log(spark, written_log(spark, sf_dir))
     out = consume_groups(log, {"g1": POSITIONS["g1"]}, ["g1"], MAX_RECORDS, N_PARTITIONS)
-    return out.select("group", *_log_out(out).columns)
+    return _log_out(out, "group")
 
 
 @register("consume_two_groups", _consume_sql(["g1", "g2"]))
@@ -477,7 +480,7 @@ def q_consume_two_groups(spark, sf_dir):
     from gaugeline.sources.log import read_log
     log = read_log(spark, written_log(spark, sf_dir))
     out = consume_groups(log, POSITIONS, ["g1", "g2"], MAX_RECORDS, N_PARTITIONS)
-    return out.select("group", *_log_out(out).columns)
+    return _log_out(out, "group")
 
 
 @register("consume_status", f"""
@@ -520,7 +523,7 @@ def q_table_scan(spark, sf_dir):
     """K3 + S5 + S4: records persisted (partitioned, clustered) and scanned back."""
     from gaugeline.sources.table import read_table
     t = read_table(spark, written_table(spark, sf_dir))
-    return flat(t.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+    return flat(t)
 
 
 @register("table_device_page",
@@ -532,7 +535,7 @@ def q_table_device_page(spark, sf_dir):
     t = read_table(spark, written_table(spark, sf_dir))
     rows, _ = query.telemetry_by_uuid(t, DEVICE, RANGE_START, RANGE_END, page=2,
                                       page_size=PAGE_SIZE, n_partitions=N_PARTITIONS)
-    return flat(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+    return flat(rows)
 
 
 @register("insert_if_absent", f"""

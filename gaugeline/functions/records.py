@@ -8,10 +8,21 @@ from gaugeline.schema import OMIT_EMPTY, TELEMETRY_COLUMNS, TELEMETRY_SCHEMA
 
 # Fixed value: timestamp text format (RFC 3339, microseconds, UTC 'Z').
 JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+_UTC_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
-def record_to_json(prefix: str | None = None) -> Column:
-    """JSON object of the 12 record fields; empty optional fields are omitted."""
+def utc_text(ts: Column, ntz: bool) -> Column:
+    """RFC 3339 text in UTC whatever the session time zone (NTZ values hold UTC)."""
+    if ntz:
+        return F.date_format(ts, _UTC_TEXT)
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), _UTC_TEXT)
+
+
+def record_to_json(prefix: str | None = None, ntz: bool = False) -> Column:
+    """JSON object of the 12 record fields; empty optional fields are omitted.
+
+    ``ntz``: the timestamp column is TIMESTAMP_NTZ (UTC wall clock).
+    """
     fields = []
     for c in TELEMETRY_COLUMNS:
         col = F.col(f"{prefix}.{c}" if prefix else c)
@@ -20,10 +31,9 @@ def record_to_json(prefix: str | None = None) -> Column:
         elif c in OMIT_EMPTY:
             col = F.nullif(col, F.lit(""))
         elif c == "timestamp":
-            col = col.cast("timestamp")
+            col = utc_text(col, ntz)
         fields.append(col.alias(c))
-    return F.to_json(F.struct(*fields), {"timestampFormat": JSON_TS_FORMAT,
-                                         "ignoreNullFields": "true"})
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
 
 
 def record_from_json(text) -> Column:

@@ -44,3 +44,18 @@ def ts_literal(value: datetime, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampNTZType):
         return F.lit(text).cast("timestamp_ntz")
     return F.to_timestamp(F.lit(text + "Z"), "yyyy-MM-dd HH:mm:ss.SSSSSSX")
+
+
+def utc_instant(ts: Column, dtype: T.DataType) -> Column:
+    """TIMESTAMP of a column; a TIMESTAMP_NTZ value is read as a UTC wall clock
+    (not through the session time zone)."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+    return ts.cast("timestamp")
+
+
+def utc_wall_clock(ts: Column, dtype: T.DataType) -> Column:
+    """TIMESTAMP_NTZ holding the UTC wall clock of a column's instants."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return ts
+    return F.to_utc_timestamp(ts, F.current_timezone()).cast("timestamp_ntz")

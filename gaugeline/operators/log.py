@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from gaugeline.functions.timeparse import utc_instant
 from gaugeline.operators.numbering import number_rows
 from gaugeline.operators.partitioning import with_partition
 from gaugeline.operators.query import order_key
@@ -75,7 +76,7 @@ def to_log_rows(df: DataFrame, batch: int | None = None) -> DataFrame:
         if f.name == "batch":
             c = F.lit(batch).cast("long") if batch is not None or "batch" not in df.columns else F.col("batch")
         elif f.name == "timestamp":
-            c = F.col("timestamp").cast(T.TimestampType())
+            c = utc_instant(F.col("timestamp"), df.schema["timestamp"].dataType)
         else:
             c = F.col(f.name).cast(f.dataType)
         cols.append(c.alias(f.name))
@@ -313,7 +314,9 @@ def export_log_json(log: DataFrame, path: str) -> None:
     # the record object with one more member: {...,"offset":N}
     body = F.concat(F.substr(F.col("_j"), F.lit(1), F.length("_j") - 1),
                     F.lit(',"offset":'), F.col("offset").cast("string"), F.lit("}"))
-    (log.select("partition_id", "offset", record_to_json().alias("_j"))
+    from pyspark.sql import types as T
+    ntz = isinstance(log.schema["timestamp"].dataType, T.TimestampNTZType)
+    (log.select("partition_id", "offset", record_to_json(ntz=ntz).alias("_j"))
      .select("partition_id", "offset", body.alias("value"))
      .repartition("partition_id").sortWithinPartitions("partition_id", "offset")
      .select("partition_id", "value")

@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
 
 from gaugeline.operators.partitioning import with_partition
 from gaugeline.schema import DEFAULT_PARTITIONS, TELEMETRY_COLUMNS
@@ -49,11 +48,14 @@ def table_layout(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS,
 
 
 def table_rows(df: DataFrame) -> DataFrame:
-    """The 12 record columns (timestamp as TIMESTAMP) plus any key columns present."""
+    """The 12 record columns plus any key columns present.
+
+    The timestamp keeps its type: ingested records carry TIMESTAMP instants,
+    tables derived from TIMESTAMP_NTZ sources keep their UTC wall clock (no
+    conversion through the session time zone).
+    """
     extra = [c for c in ("id", "partition_id", "offset") if c in df.columns]
-    cols = [F.col(c).cast(T.TimestampType()).alias(c) if c == "timestamp" else F.col(c)
-            for c in TELEMETRY_COLUMNS]
-    return df.select(*cols, *extra)
+    return df.select(*TELEMETRY_COLUMNS, *extra)
 
 
 def persist(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS, mode: str = "append",
