@@ -146,3 +146,17 @@ def test_positions_saved_and_reloaded(spark, log5, tmp_dir):
         got = {(r.group, r.partition_id): r.next_offset for r in load_positions(spark, path).collect()}
         assert got[(group, pid)] == expect
     assert got[("b", pid)] == 1
+
+
+def test_log_times_do_not_depend_on_session_time_zone(spark, tmp_dir):
+    from gaugeline.functions.timeparse import utc_wall_clock
+    rec = records(spark, 1).withColumn("timestamp", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        append_log(rec, tmp_dir, 3, ORDER).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    log = read_log(spark, tmp_dir)
+    got = log.select(utc_wall_clock(F.col("timestamp"), log.schema["timestamp"].dataType).alias("t")).collect()
+    assert str(got[0].t) == "2024-01-15 12:00:00"
