@@ -419,6 +419,26 @@ def q_append_report(spark, sf_dir):
     return append_log(ev.where(F.col("timestamp") >= split), path, N_PARTITIONS, ["timestamp", "id"])
 
 
+@register("append_responses", f"""
+SELECT id, partition_id, true AS success, n AS "offset" FROM (
+  SELECT id, "timestamp", partition_id, count(*) OVER (PARTITION BY partition_id) AS n
+  FROM (SELECT *, {_PID} AS partition_id FROM {_T} t) s) x
+WHERE "timestamp" >= TIMESTAMP '{SPLIT_TS}'""")
+def q_append_responses(spark, sf_dir):
+    """K2 per record: success and the partition's next offset for every record of the second append."""
+    from gaugeline.operators.log import append_log, produce_responses
+    from gaugeline.session import scratch_path
+    path = scratch_path(spark, "log-responses")
+    ev = _log_events(spark, sf_dir).select("id", "uuid", "timestamp", "metric_name", "gpu_id", "device",
+                                           "model_name", "hostname", "container", "pod", "namespace",
+                                           "value", "labels")
+    split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    append_log(ev.where(F.col("timestamp") < split), path, N_PARTITIONS, ["timestamp", "id"]).collect()
+    second = ev.where(F.col("timestamp") >= split)
+    report = append_log(second, path, N_PARTITIONS, ["timestamp", "id"])
+    return produce_responses(second, report, N_PARTITIONS).select("id", "partition_id", "success", "offset")
+
+
 @register("log_scan", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l")
 def q_log_scan(spark, sf_dir):
     """S3: the written log read back (records + partition + offset)."""

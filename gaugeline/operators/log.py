@@ -207,6 +207,17 @@ def _report(rows: DataFrame) -> DataFrame:
         (F.max("offset") + 1).cast("long").alias("next_offset"))
 
 
+def produce_responses(batch: DataFrame, report: DataFrame,
+                      n_partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
+    """K2 per record: each appended record answered with success and the next
+    offset of its partition after the append (the report has <= n_partitions
+    rows: a bounded broadcast)."""
+    p = batch if "partition_id" in batch.columns else with_partition(batch, n_partitions)
+    r = report.select("partition_id", F.col("next_offset").alias("offset"))
+    return p.join(F.broadcast(r), "partition_id", "left").withColumn(
+        "success", F.col("offset").isNotNull())
+
+
 def append_report(logged: DataFrame) -> DataFrame:
     """K2 for a numbered (not yet written) batch."""
     return _report(logged)
