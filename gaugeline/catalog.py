@@ -324,7 +324,7 @@ def q_csv_scan(spark, sf_dir):
      .options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
               ignoreTrailingWhiteSpace="false")
      .csv(path))
-    good = valid(parse_records(read_csv(spark, path), event_time="source"))
+    good = valid(parse_records(read_csv(spark, path, multi_line="auto"), event_time="source"))
     return good.select(utc_wall_clock(F.col("timestamp"), good.schema["timestamp"].dataType)
                        .alias("timestamp"), "uuid",
                        "metric_name", "value", F.col("labels")["k"].alias("label_k"))

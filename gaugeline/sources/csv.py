@@ -22,18 +22,43 @@ CSV_OPTIONS = {
 }
 
 
-def read_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+# Up to this many files with line breaks inside quoted cells are listed for a
+# whole-file read; beyond it every file is read whole (multiLine).
+MAX_MULTILINE_FILES = 10_000
+
+
+def read_csv(spark: SparkSession, path, multi_line: bool | str = True) -> DataFrame:
     """Batch scan of one file, a directory or a glob.
 
-    ``multi_line`` honours line breaks inside quoted cells; such files are not
-    splittable, so at scale land many moderately sized files (the scan then
-    parallelises over files) or turn it off when cells never hold newlines.
+    ``multi_line=True`` honours line breaks inside quoted cells, but such files
+    are read whole by one task each.  ``"auto"`` keeps that exactness without
+    the cost for files that do not need it: one splittable text pass finds the
+    files holding a line with an odd number of quote characters (where a quoted
+    cell may continue on the next line); only those are read whole, all other
+    files are split across tasks, so one huge file is not one task.
+    ``False`` splits every file (cells must not contain line breaks).
     """
+    if multi_line == "auto":
+        return _read_csv_auto(spark, path)
     df = (spark.read.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
-          .option("multiLine", str(multi_line).lower()).csv(path))
+          .option("multiLine", str(bool(multi_line)).lower()).csv(path))
     return with_source_file(df)
 
 
+def _read_csv_auto(spark: SparkSession, path) -> DataFrame:
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = text.where(quotes % 2 == 1).select("f").distinct()
+    whole = [r.f for r in odd.limit(MAX_MULTILINE_FILES + 1).collect()]
+    if len(whole) > MAX_MULTILINE_FILES:
+        return read_csv(spark, path, True)
+    split = read_csv(spark, path, False)
+    if not whole:
+        return split
+    split = split.where(~F.col("source_file").isin(whole))
+    return split.unionByName(read_csv(spark, whole, True))
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     """Add the file each row came from (kept on rejects for tracing)."""
     return df.withColumn("source_file", F.col("_metadata.file_path"))

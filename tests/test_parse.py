@@ -116,3 +116,15 @@ def test_csv_lines_from_column(spark):
     parsed = parse_records(csv_lines(df, "line", keep=["id"]), keep=["id"])
     got = {r.id: r.reject_reason for r in parsed.collect()}
     assert got == {1: None, 2: "column_count"}
+
+
+def test_csv_auto_split_keeps_multiline_files_whole(spark, tmp_dir):
+    plain = [HEADER] + ROWS * 40
+    tricky = [HEADER, 't,x,g,d,uuid-8,m,h,c,p,n,7,"multi\nline=1"', ROWS[0]]
+    _write(f"{tmp_dir}/plain.csv", plain)
+    _write(f"{tmp_dir}/tricky.csv", tricky)
+    auto = valid(parse_records(read_csv(spark, tmp_dir, multi_line="auto")))
+    whole = valid(parse_records(read_csv(spark, tmp_dir, multi_line=True)))
+    key = lambda r: (r.uuid, r.value, str(r.labels))
+    assert sorted(map(key, auto.collect())) == sorted(map(key, whole.collect()))
+    assert auto.count() == 202
