@@ -31,6 +31,9 @@ from gaugeline.sources.log import read_log
 
 POSITIONS_SCHEMA = "group string, partition_id int, next_offset long"
 
+# Output batching: no log or table file holds more rows than this.
+MAX_RECORDS_PER_FILE = 4_000_000
+
 
 # --------------------------------------------------------------------- append
 def end_offsets(log: DataFrame, n_partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
@@ -190,7 +193,8 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
         logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, total=sum(counts.values()))
         rows = to_log_rows(logged, batch)
         (rows.sortWithinPartitions("partition_id", "offset")
-         .write.mode("append").partitionBy("partition_id").parquet(path))
+         .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
+         .partitionBy("partition_id").parquet(path))
     finally:
         p.unpersist()
     ends = {k: base_rows.get(k, 0) for k in range(n_partitions)}

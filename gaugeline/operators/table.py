@@ -61,8 +61,10 @@ def table_rows(df: DataFrame) -> DataFrame:
 def persist(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS, mode: str = "append",
             num_files: int | None = None) -> None:
     """K3: write records to the table (one job; the commit protocol makes it all or nothing)."""
+    from gaugeline.operators.log import MAX_RECORDS_PER_FILE
     rows = table_layout(enforce_not_null(table_rows(df)), n_partitions, num_files)
-    rows.write.mode(mode).partitionBy("partition_id").parquet(path)
+    (rows.write.mode(mode).option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
+     .partitionBy("partition_id").parquet(path))
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
