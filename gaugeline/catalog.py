@@ -135,8 +135,8 @@ def q_count_time_range(spark, sf_dir):
 
 @register("page_meta",
           f"SELECT 1 AS page, {PAGE_SIZE} AS page_size, count(*) AS total, "
-          f"greatest(CAST(ceil(count(*) / {PAGE_SIZE}.0) AS BIGINT), 1) AS total_pages "
-          f"FROM {_T} t WHERE uuid = '{DEVICE}'")
+          f"greatest(CAST(ceil(count(*) / {PAGE_SIZE}.0) AS BIGINT), 1) AS total_pages, "
+          f"count(*) > 0 AS found FROM {_T} t WHERE uuid = '{DEVICE}'")
 def q_page_meta(spark, sf_dir):
     """A4 + A1: pagination of the device query."""
     _, meta = query.telemetry_by_uuid(table(spark, sf_dir), DEVICE, page=1, page_size=PAGE_SIZE,

@@ -104,11 +104,16 @@ def count_records(df: DataFrame, uuid: str, start=None, end=None,
 
 def page_meta(df: DataFrame, uuid: str, start=None, end=None, page=1,
               page_size=DEFAULT_PAGE_SIZE, n_partitions: int | None = None) -> DataFrame:
-    """One row: page, page_size, total, total_pages (at least 1)."""
+    """One row: page, page_size, total, total_pages (at least 1), found.
+
+    ``found`` is false when the requested page holds no record (the service's
+    "not found" answer, also when the device has records on earlier pages).
+    """
     p, s = normalize_page(page), normalize_page_size(page_size)
     total = count_records(df, uuid, start, end, n_partitions)
     return total.select(F.lit(p).alias("page"), F.lit(s).alias("page_size"), "total",
-                        _total_pages(F.col("total"), s).alias("total_pages"))
+                        _total_pages(F.col("total"), s).alias("total_pages"),
+                        (F.col("total") > F.lit((p - 1) * s)).alias("found"))
 
 
 def _total_pages(total: Column, size: int) -> Column:

@@ -53,20 +53,20 @@ def test_found_page_and_meta(table):
     assert len(got) == 20 and got[0].timestamp.second == 20
     assert got[0].labels == {"key": "value"}
     m = meta.collect()[0]
-    assert (m.page, m.page_size, m.total, m.total_pages) == (2, 20, 50, 3)
+    assert (m.page, m.page_size, m.total, m.total_pages, m.found) == (2, 20, 50, 3, True)
 
 
 def test_empty_page_still_counts(table):
     rows, meta = query.telemetry_by_uuid(table, SAMPLE[3], page=3, page_size=25)
     assert rows.count() == 0
     m = meta.collect()[0]
-    assert (m.total, m.total_pages) == (50, 2)
+    assert (m.total, m.total_pages, m.found) == (50, 2, False)
 
 
 def test_no_rows(table):
     rows, meta = query.telemetry_by_uuid(table, "missing")
     assert rows.count() == 0
-    assert tuple(meta.collect()[0]) == (1, 100, 0, 1)
+    assert tuple(meta.collect()[0]) == (1, 100, 0, 1, False)
 
 
 def test_inclusive_time_bounds_with_offsets(table):
