@@ -31,8 +31,17 @@ SAMPLE_PER_RANGE = 100
 SAMPLE_SEED = 20240101
 
 
-def default_ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# A (range, group) window partition is sorted by one task: keep ranges to about
+# this many rows.  Small inputs then need a single range (no key sample, no
+# lookup); large ones get up to spark.sql.shuffle.partitions ranges.
+ROWS_PER_RANGE = 2_000_000
+
+
+def default_ranges(df: DataFrame, total: int | None = None) -> int:
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total is None:
+        return cap
+    return max(1, min(cap, -(-total // ROWS_PER_RANGE)))
 
 
 def _key(cols: list[str]) -> Column:
@@ -112,10 +121,17 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     """Append ``out_col`` = start + 0-based rank of the row in its group under ``order_cols``.
 
     ``start`` may be a Column already on the row (e.g. a per-group base offset).
+    ``num_ranges`` forces the number of key ranges; by default it follows the
+    row count (``total``, counted when not given), see ROWS_PER_RANGE.
     """
-    n = num_ranges or default_ranges(df)
     group_cols, order_cols = list(group_cols), list(order_cols)
     key_cols = group_cols + order_cols
+    if num_ranges:
+        n = num_ranges
+    else:
+        if total is None:
+            total = df.count()
+        n = default_ranges(df, total)
     bounds = split_keys(df, key_cols, n, total)
     gk = _key(group_cols) if group_cols else F.lit(0)
     tagged = df.withColumn(_RANGE, range_of(df, key_cols, bounds)).withColumn(_GK, gk)

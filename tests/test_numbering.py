@@ -58,3 +58,12 @@ def test_many_ranges_binary_search(spark):
     assert got == _expected(df, ["g"], ["t", "id"])
     bounds = split_keys(df, ["g", "t", "id"], 300)
     assert len(bounds) > numbering.TREE_MAX_BOUNDS
+
+
+def test_range_count_follows_rows(spark):
+    from gaugeline.operators import numbering
+    df = spark.range(1)
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert numbering.default_ranges(df, 10) == 1
+    assert numbering.default_ranges(df, numbering.ROWS_PER_RANGE * 3 + 1) == min(cap, 4)
+    assert numbering.default_ranges(df, numbering.ROWS_PER_RANGE * 10_000) == cap
