@@ -109,6 +109,22 @@ def q_telemetry_time_range(spark, sf_dir):
     return flat(rows)
 
 
+CURSOR_ID = 1722   # with RANGE_START: the order key of an existing record of the device
+
+
+@register("telemetry_after",
+          f"SELECT {_REC} FROM {_T} t WHERE uuid = '{DEVICE}' AND "
+          f"(\"timestamp\" > TIMESTAMP '{RANGE_START[:-1].replace('T', ' ')}' OR "
+          f"(\"timestamp\" = TIMESTAMP '{RANGE_START[:-1].replace('T', ' ')}' AND id > {CURSOR_ID})) "
+          f"ORDER BY \"timestamp\", id LIMIT {PAGE_SIZE}")
+def q_telemetry_after(spark, sf_dir):
+    """L2 by keyset: the page after a (timestamp, id) cursor, one page of work at any depth."""
+    from gaugeline.functions.timeparse import parse_rfc3339
+    rows = query.records_after(table(spark, sf_dir), DEVICE, (parse_rfc3339(RANGE_START), CURSOR_ID),
+                               PAGE_SIZE, n_partitions=N_PARTITIONS)
+    return flat(rows.select(*[c for c in query.TELEMETRY_COLUMNS if c in rows.columns]))
+
+
 @register("telemetry_page",
           f"SELECT {_REC} FROM {_T} t WHERE uuid = '{DEVICE}' ORDER BY \"timestamp\", id "
           f"LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE}")

@@ -10,7 +10,7 @@ partition is added as a literal so the scan prunes directories.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -139,6 +139,33 @@ def records_page(df: DataFrame, uuid: str, start=None, end=None, page=1,
             .orderBy("_rn").drop("_rn"))
 
 
+def records_after(df: DataFrame, uuid: str, after: tuple | None = None, page_size=DEFAULT_PAGE_SIZE,
+                  start=None, end=None, n_partitions: int | None = None) -> DataFrame:
+    """Keyset paging: the next ``page_size`` records of a device after a cursor.
+
+    ``after`` is the order key of the last record of the previous page, e.g.
+    ``(timestamp, id)`` (see ``order_key``); None starts at the beginning.  The
+    cost is one page at any depth (no offset rows are gathered), and the cursor's
+    timestamp is a pushed lower bound on the scan.
+    """
+    s = normalize_page_size(page_size)
+    sel = select_records(df, uuid, start, end, n_partitions)
+    key = order_key(sel)
+    if after is not None:
+        if len(after) != len(key):
+            raise ValueError(f"cursor must hold {len(key)} values: {key}")
+        types = {f.name: f.dataType for f in sel.schema.fields}
+        vals = [ts_literal(v if v.tzinfo else v.replace(tzinfo=timezone.utc), types[c])
+                if isinstance(v, datetime) else F.lit(v).cast(types[c]) for c, v in zip(key, after)]
+        # (k1, k2, ...) > (v1, v2, ...), plus k1 >= v1 as a pushable bound
+        later = None
+        for i in range(len(key) - 1, -1, -1):
+            here = F.col(key[i]) > vals[i]
+            later = here if later is None else here | ((F.col(key[i]) == vals[i]) & later)
+        sel = sel.where((F.col(key[0]) >= vals[0]) & later)
+    return sel.orderBy(*key).limit(s)
+
+
 def telemetry_by_uuid(df: DataFrame, uuid: str, start_time=None, end_time=None, page=1,
                       page_size=DEFAULT_PAGE_SIZE, n_partitions: int | None = None
                       ) -> tuple[DataFrame, DataFrame]:

@@ -100,3 +100,20 @@ def test_page_all_and_meta_all(spark):
     meta = query.page_meta_all(t, 10)
     j = pages.join(meta, "uuid").collect()
     assert len(j) == 15 and all(r.n == r.total and r.p == r.total_pages for r in j)
+
+
+def test_keyset_paging_walks_all_pages(spark):
+    from gaugeline.plans import pushed_filters
+    t = events_as_telemetry(spark, SF001)
+    expected = [r.id for r in t.where(F.col("uuid") == "GPU-8").orderBy("timestamp", "id").collect()]
+    seen, cursor = [], None
+    while True:
+        page = query.records_after(t, "GPU-8", cursor, page_size=10).collect()
+        if not page:
+            break
+        seen += [r.id for r in page]
+        cursor = (page[-1].timestamp, page[-1].id)
+    assert seen == expected
+    first = (t.where(F.col("uuid") == "GPU-8").orderBy("timestamp", "id").first())
+    sel = query.records_after(t, "GPU-8", (first.timestamp, first.id), page_size=5)
+    assert any("GreaterThanOrEqual(ts" in p for p in pushed_filters(sel))
