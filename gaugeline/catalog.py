@@ -18,7 +18,6 @@ from gaugeline.sources.adapters import events_as_telemetry
 
 # Fixed parameters of the registered queries.
 DEVICE = "GPU-8"
-DEVICE_USER = 8
 RANGE_START = "2024-01-06T00:38:38.318794Z"   # equal to an existing ts (inclusive bound)
 RANGE_END = "2024-01-21T05:34:46.602205Z"     # equal to an existing ts (inclusive bound)
 PAGE_SIZE = 25
