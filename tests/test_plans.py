@@ -16,3 +16,18 @@ def test_column_pruning_reaches_scan(spark):
     df = query.count_records(events_as_telemetry(spark, SF001), "GPU-3")
     schemas = read_schema(df)
     assert schemas and all("props" not in s and "value" not in s for s in schemas)
+
+
+def test_numbering_windows_are_bounded_by_key_ranges(spark):
+    """With several key ranges, the row_number window is partitioned by (range, group),
+    never by the group alone (a hot group would be one task).  With one range
+    (inputs below ROWS_PER_RANGE rows) the constant range id is folded away."""
+    import re
+    from gaugeline.operators import numbering, query
+    from gaugeline.plans import plan_text
+    from gaugeline.sources.adapters import events_as_telemetry
+    t = events_as_telemetry(spark, SF001).select("id", "uuid", "timestamp")
+    text = plan_text(query.page_all(t, 10, num_tasks=4))
+    rn = re.findall(r"row_number\(\) windowspecdefinition\(([^,]+),", text)
+    assert rn and all("_nr_range" in p for p in rn), rn
+    assert t.count() < numbering.ROWS_PER_RANGE
