@@ -121,6 +121,11 @@ def _read_marker(spark: SparkSession, path: str):
         return None
 
 
+# Marker this process wrote last, per log: a marker that is still exactly that
+# one needs no probe (one writer per log; a restarted process probes again).
+_WRITTEN: dict[tuple[str, str], tuple[dict, int | None]] = {}
+
+
 def _write_marker(spark: SparkSession, path: str, ends: dict, batch: int | None) -> None:
     """Overwrite the marker in the log's own (shared) file system, no Spark job."""
     doc = json.dumps({"ends": {str(k): int(v) for k, v in sorted(ends.items())}, "batch": batch})
@@ -130,13 +135,16 @@ def _write_marker(spark: SparkSession, path: str, ends: dict, batch: int | None)
         out.write(bytearray(doc.encode("utf-8")))
     finally:
         out.close()
+    _WRITTEN[(spark.sparkContext.applicationId, path.rstrip("/"))] = (
+        {int(k): int(v) for k, v in ends.items()}, batch)
 
 
 def log_state(spark: SparkSession, path: str, n_partitions: int = DEFAULT_PARTITIONS):
     """(end offsets by partition, last streaming batch or None, marker trusted?).
 
     The end-offset marker written by each append is checked with one pruned
-    probe — any row at or beyond a recorded end?  Files are sorted by offset,
+    probe — any row at or beyond a recorded end? — unless it is the marker this
+    process wrote last.  Files are sorted by offset,
     so row-group statistics skip everything below the ends.  Only a stale
     marker (a crash between data and marker writes) costs the full aggregate
     over the log's partition_id/offset columns.
@@ -147,6 +155,9 @@ def log_state(spark: SparkSession, path: str, n_partitions: int = DEFAULT_PARTIT
     marker = _read_marker(spark, path)
     if marker is not None:
         ends, last_batch = marker
+        mine = _WRITTEN.get((spark.sparkContext.applicationId, path.rstrip("/")))
+        if mine is not None and mine == (ends, last_batch):
+            return {p: ends.get(p, 0) for p in range(n_partitions)}, last_batch, True
         probe = reduce(lambda a, b: a | b, [
             (F.col("partition_id") == F.lit(p)) & (F.col("offset") >= F.lit(ends.get(p, 0)))
             for p in range(n_partitions)])
@@ -192,6 +203,9 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
                                      "partition_id int, next_offset long") if base_rows else None
         logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, total=sum(counts.values()))
         rows = to_log_rows(logged, batch)
+        # from here until the new marker is written the marker may lag the data:
+        # forget it, so a failure in between is caught by the probe next time
+        _WRITTEN.pop((spark.sparkContext.applicationId, path.rstrip("/")), None)
         (rows.sortWithinPartitions("partition_id", "offset")
          .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
          .partitionBy("partition_id").parquet(path))

@@ -106,6 +106,8 @@ def test_stale_marker_falls_back_to_scan(spark, tmp_dir):
     ends, _, trusted = log_state(spark, tmp_dir, 3)
     assert trusted and ends[pid] == 4
     _write_marker(spark, tmp_dir, {pid: 2}, None)          # as if the marker lagged the data
+    from gaugeline.operators import log as log_module
+    log_module._WRITTEN.clear()                              # ... seen by a restarted process
     ends, _, trusted = log_state(spark, tmp_dir, 3)
     assert not trusted and ends[pid] == 4
     rep = append_log(records(spark, 2, start=10), tmp_dir, 3, ORDER).collect()
@@ -160,3 +162,20 @@ def test_log_times_do_not_depend_on_session_time_zone(spark, tmp_dir):
     log = read_log(spark, tmp_dir)
     got = log.select(utc_wall_clock(F.col("timestamp"), log.schema["timestamp"].dataType).alias("t")).collect()
     assert str(got[0].t) == "2024-01-15 12:00:00"
+
+
+def test_failed_marker_write_is_caught_in_the_same_process(spark, tmp_dir, monkeypatch):
+    from gaugeline.operators import log as log_module
+    append_log(records(spark, 3), tmp_dir, 3, ORDER).collect()
+    real = log_module._write_marker
+
+    def boom(*a, **k):
+        raise OSError("marker store unavailable")
+
+    monkeypatch.setattr(log_module, "_write_marker", boom)
+    with pytest.raises(OSError):
+        append_log(records(spark, 2, start=3), tmp_dir, 3, ORDER)   # data written, marker not
+    monkeypatch.setattr(log_module, "_write_marker", real)
+    append_log(records(spark, 2, start=5), tmp_dir, 3, ORDER).collect()
+    offsets = sorted(r.offset for r in read_log(spark, tmp_dir).collect())
+    assert offsets == list(range(7))
