@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.decontaminate import contaminated
+from gaugeline.llm.embedding_dedup import embedding_duplicates
+from gaugeline.llm.licenses import known_statements, scan_licenses
 from gaugeline.llm.minhash_dedup import near_duplicates
 from gaugeline.llm.mixing import mix
+from gaugeline.llm.ppm import score_texts
+from gaugeline.llm.quality import quality_scores
 from gaugeline.llm.secrets import digest_columns, find_secrets
+from gaugeline.llm.token_counts import count_tokens
 from gaugeline.llm.toxicity import toxicity
+from gaugeline.session import scratch_path
+
+#: The tokenizer of the token counts: a file of the public vocabulary package.
+TOKENIZER = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +91,30 @@ def op9_secret_scan(spark, sf_dir):
 @_query("op10_toxicity")
 def op10_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_statements(spark)).withColumnRenamed("id", "doc_id")
+
+
+@_query("op4_ppm_scores")
+def op4_ppm_scores(spark, sf_dir):
+    return score_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op6_quality")
+def op6_quality(spark, sf_dir):
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    """A cache of its own per run: every distinct text is encoded, none is taken from an earlier run."""
+    return (count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), scratch_path(spark, "llm-token-cache"))
+            .withColumnRenamed("id", "doc_id"))
+
+
+@_query("op8_embedding_dedup")
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
