@@ -6,51 +6,39 @@ Rules of the source parser (applied in this order):
   skip pieces without one; trim key and value; strip one pair of surrounding
   double quotes from the value; a repeated key keeps its last value.
 
-The split/trim/first-'=' steps are one native regex scan per text; only the
-unquoting and the (rare) duplicate-key fold are array lambdas.
+The text is split on commas once; everything after is a character-set trim, a substring and array lambdas, so the cost
+is linear in the text, whatever it holds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gaugeline.functions.text import _c, strip_quotes
+from gaugeline.functions.text import _c, strip_quotes, utrim
 from gaugeline.schema import LABELS_TYPE
 
 
-# One label pair: at the start or after a comma, optional white space, the key
-# (no comma, no '='), white space, the first '=', white space, the value (no
-# comma), white space, then a comma or the end of the text.  Pieces without
-# '=' (empty, blank or bare words) never match, and the surrounding white
-# space is left out of the groups, which is the piece/key/value trimming.
-# (?U): \s is Unicode White_Space, the set the source trims.
-PAIR_PATTERN = r"(?U)(?:^|,)\s*([^,=]*?)\s*=\s*([^,]*?)\s*(?=,|\z)"
+def _entries(text) -> Column:
+    """array<struct<key,value>> in text order, duplicates kept."""
+    pieces = F.filter(F.split(_c(text), ","), lambda p: F.instr(p, "=") > 0)
+    return F.transform(pieces, lambda p: F.struct(
+        utrim(F.substring_index(p, "=", 1)).alias("key"),
+        strip_quotes(utrim(F.substr(p, F.instr(p, "=") + 1))).alias("value")))
 
 
-def _pairs(text):
-    t = _c(text)
-    keys = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 1)
-    values = F.transform(F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 2), strip_quotes)
-    return keys, values
-
-
-def label_entries(text) -> Column:
-    """array<struct<key,value>> in text order, duplicates kept (native regex scan)."""
-    keys, values = _pairs(text)
-    return F.arrays_zip(keys.alias("key"), values.alias("value"))
+def _last_wins(entries: Column) -> Column:
+    """One entry per key, a later one replacing an earlier one."""
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    fold = F.aggregate(entries, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["key"] != x["key"]), F.array(x)))
+    repeated = F.size(F.array_distinct(entries.getField("key"))) < F.size(entries)
+    return F.when(repeated, fold).otherwise(entries)
 
 
 def parse_labels(text) -> Column:
     """map<string,string>; NULL text gives NULL, any other text a map."""
-    keys, values = _pairs(text)
-    e = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    # last one wins: fold left, an entry replaces an earlier one with its key
-    # (only when a key repeats; the lambdas see just the accumulator and element)
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    last = F.aggregate(e, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["key"] != x["key"]),
-                                                         F.array(x)))
-    dedup = F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(e)
-    return F.map_from_entries(dedup).cast(LABELS_TYPE)
+    # the lambda binds the entries to a name: they are computed once, though used three times
+    once = F.transform(F.array(_entries(text)), lambda e: F.map_from_entries(_last_wins(e)))
+    return F.when(_c(text).isNotNull(), F.element_at(once, 1)).cast(LABELS_TYPE)
 
 
 def labels_to_json(labels) -> Column:

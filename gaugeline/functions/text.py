@@ -25,11 +25,3 @@ def strip_quotes(c) -> Column:
     quoted = (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
     return F.when(quoted, F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
 
-
-def before_first(c, sep: str) -> Column:
-    return F.substring_index(_c(c), sep, 1)
-
-
-def after_first(c, sep: str) -> Column:
-    c = _c(c)
-    return F.substr(c, F.instr(c, sep) + len(sep))

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 from gaugeline.functions.labels import parse_labels
 from gaugeline.functions.values import is_strict_float
 from gaugeline.schema import CORRUPT_COLUMN, LABELS_TYPE, MIN_CSV_CELLS, TELEMETRY_COLUMNS
-from gaugeline.sources.csv import cell_count
+from gaugeline.sources.csv import ARRIVAL, cell_count
 
 # Reject reasons.
 REJECT_COLUMN_COUNT = "column_count"
 REJECT_VALUE = "invalid_value"
+REJECT_TIME = "invalid_timestamp"
 
 # Fixed value: accepted text of the source timestamp cell (RFC 3339).
 SOURCE_TS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"
@@ -26,7 +27,8 @@ def parse_records(raw: DataFrame, event_time: str = "ingest", keep: list[str] |
     """Type the 12 cells; add ``reject_reason``.
 
     event_time='ingest' stamps rows with the processing time (the source's
-    behaviour, the CSV time cell is ignored); 'source' parses the cell instead.
+    behaviour, the CSV time cell is ignored); 'source' parses the cell instead, and
+    rejects a row whose cell is no RFC 3339 time.
     Missing strings become '' (never NULL); an empty label cell gives a NULL
     map, any other label text a (possibly empty) map.  A row with fewer than 12
     cells is rejected, extra cells are ignored.
@@ -40,7 +42,8 @@ def parse_records(raw: DataFrame, event_time: str = "ingest", keep: list[str] |
     if event_time == "ingest":
         ts = F.current_timestamp()
     elif event_time == "source":
-        ts = F.to_timestamp(F.col("timestamp"), SOURCE_TS_PATTERN)
+        ts = F.try_to_timestamp(F.col("timestamp"), F.lit(SOURCE_TS_PATTERN))
+        reason = reason.when(ts.isNull(), F.lit(REJECT_TIME))
     else:
         raise ValueError("event_time must be 'ingest' or 'source'")
     labels_txt = F.col("labels")
@@ -56,14 +59,13 @@ def parse_records(raw: DataFrame, event_time: str = "ingest", keep: list[str] |
             out.append(labels.alias(c))
         else:
             out.append(F.coalesce(F.col(c), F.lit("")).alias(c))
-    trace = [F.col("source_file")] if "source_file" in raw.columns else []
+    trace = [F.col(c) for c in ARRIVAL if c in raw.columns]
     return raw.select(*[F.col(k) for k in keep], *out, reason.alias("reject_reason"),
                       corrupt.alias("source_record"), *trace)
 
 
 def valid(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason", "source_record",
-                                                               "source_file")
+    return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason", "source_record", *ARRIVAL)
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

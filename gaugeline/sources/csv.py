@@ -7,10 +7,16 @@ reason) instead of failing the job.
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeline.schema import CORRUPT_COLUMN, CSV_SCHEMA
 
+# Files of one folder that a micro-batch takes unless told otherwise.
+DEFAULT_FILES_PER_TRIGGER = 1000
+
 CSV_OPTIONS = {
     "header": "true",          # first line of every file is skipped, names unused
     "enforceSchema": "true",   # positional, whatever the header says
@@ -19,14 +25,10 @@ CSV_OPTIONS = {
     "escape": '"',             # "" inside a quoted cell is one quote
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": CORRUPT_COLUMN,
+    "columnPruning": "false",  # a pruned parser doesn't notice short rows
 }
 
 
-# Up to this many files with line breaks inside quoted cells are listed for a
-# whole-file read; beyond it every file is read whole (multiLine).
-MAX_MULTILINE_FILES = 10_000
-
-
 def read_csv(spark: SparkSession, path, multi_line: bool | str = True) -> DataFrame:
     """Batch scan of one file, a directory or a glob.
 
@@ -49,14 +51,15 @@ def _read_csv_auto(spark: SparkSession, path) -> DataFrame:
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value")
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     odd = text.where(quotes % 2 == 1).select("f").distinct()
-    whole = [r.f for r in odd.limit(MAX_MULTILINE_FILES + 1).collect()]
-    if len(whole) > MAX_MULTILINE_FILES:
-        return read_csv(spark, path, True)
+    # file names only; the driver lists every file of a scan anyway
+    whole = [r.f for r in odd.collect()]
     split = read_csv(spark, path, False)
     if not whole:
         return split
-    split = split.where(~F.col("source_file").isin(whole))
-    return split.unionByName(read_csv(spark, whole, True))
+    names = spark.createDataFrame([(f,) for f in whole], "source_file string")
+    # the metadata column holds URI-encoded names, the reader takes plain ones
+    return (split.join(names, "source_file", "left_anti").select(*split.columns)
+            .unionByName(read_csv(spark, [unquote(f) for f in whole], True)))
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
@@ -64,14 +67,25 @@ def with_source_file(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def stream_csv(spark: SparkSession, path: str, multi_line: bool = True,
-               max_files_per_trigger: int | None = None) -> DataFrame:
-    """Continuous source: every new file in ``path`` is read once."""
+# Where a streamed row came from: with the place inside the block they give its arrival order.
+ARRIVAL = ["source_time", "source_file", "source_block"]
+
+
+def stream_csv(spark: SparkSession, path, multi_line: bool = False,
+               max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
+    """Continuous source: every new file in ``path`` (one folder or several) is read once.
+
+    A micro-batch takes ``max_files_per_trigger`` files of each folder at most (None: all there are).  Files are split across
+    tasks; ``multi_line=True`` is for files with line breaks inside quoted cells, which are then one task each.
+    """
     r = (spark.readStream.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
          .option("multiLine", str(multi_line).lower()))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return with_source_file(r.csv(path))
+    folders = [path] if isinstance(path, str) else list(path)
+    return reduce(DataFrame.unionAll, [
+        with_source_file(r.csv(f)).withColumns({"source_time": F.col("_metadata.file_modification_time"),
+                                                "source_block": F.col("_metadata.file_block_start")}) for f in folders])
 
 
 def csv_lines(df: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:
@@ -84,11 +98,12 @@ def csv_lines(df: DataFrame, line_col: str = "line", keep: list[str] | None = No
     return df.select(*cols, F.inline(F.array(parsed)))
 
 
-# A CSV cell at the start of the text or after a separator: a quoted cell
-# (doubled quotes inside) or a run without separators.
-_CELL = r'(^|,)("([^"]|"")*"|[^,]*)'
+# A quoted cell, or a part of one between doubled quotes: after the start, a separator or a quote.  The run inside is
+# possessive, so the match neither recurses nor goes back.  A quote elsewhere in an unquoted cell is ordinary text.
+_QUOTED = r'(?<=^|,|")"[^"]*+"'
 
 
 def cell_count(raw: Column) -> Column:
-    """Number of cells in one raw CSV record text."""
-    return F.size(F.regexp_extract_all(raw, F.lit(_CELL), 0))
+    """Number of cells in one raw CSV record text: its separators outside quotes, plus one."""
+    bare = F.regexp_replace(raw, _QUOTED, "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
