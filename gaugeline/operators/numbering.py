@@ -1,140 +1,43 @@
 """Exact, skew-safe sequential numbering within groups.
 
-``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every group to one
-task; with a hot group (one device or one log partition holding a third of all
-rows) that task sorts a third of the data.  Here the key space (g, o) is cut
-into ``n`` ranges of similar size, so a hot group spans many ranges, and
+``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every group to one task; with a hot group (one device or one log
+partition holding a third of all rows) that task sorts a third of the data.  Here the rows are range-partitioned by Spark
+on (g, o) and written once with the range they fell into, so a hot group spans many ranges, and
 
-    rn = row_number() OVER (PARTITION BY range, g ORDER BY o)      -- bounded
+    rn = row_number() OVER (PARTITION BY range, g ORDER BY o)      -- one range's rows
          + rows of the same group in earlier ranges                  -- small table
 
-The range of a row is a pure function of its key: split keys are picked once
-from a bounded, seeded sample of the keys and enter the plan as literals, and
-each row finds its range by a balanced comparison tree (log2 n comparisons).
-Nothing depends on physical partition ids, so the result is the same under any
-plan shape, AQE decision or task re-execution after an executor loss.
+The range is a stored column, not a physical partition id of a plan that may run again: the numbering is the same under
+any later plan, AQE decision or task re-execution.  The same path serves every size; nothing is collected.
 
-The order must be total (add a unique tie-break) for the numbering to be
-deterministic.  The per-range table has at most (#groups + n) rows.
+The order must be total (end it with a unique key): equal keys fall into one range, and the numbering of equal keys is
+arbitrary.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_RANGE, _GK, _LOCAL, _BEFORE, _N = "_nr_range", "_nr_gk", "_nr_local", "_nr_before", "_nr_n"
-
-# Sample rows per range used to pick split keys (the same hint Spark's own
-# range partitioner uses); the sample collected on the driver is bounded by
-# about SAMPLE_PER_RANGE * n keys.
-SAMPLE_PER_RANGE = 100
-SAMPLE_SEED = 20240101
-
-
-# A (range, group) window partition is sorted by one task: keep ranges to about
-# this many rows.  Small inputs then need a single range (no key sample, no
-# lookup); large ones get up to spark.sql.shuffle.partitions ranges.
-ROWS_PER_RANGE = 2_000_000
-
-
-def default_ranges(df: DataFrame, total: int | None = None) -> int:
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if total is None:
-        return cap
-    return max(1, min(cap, -(-total // ROWS_PER_RANGE)))
-
-
-def _key(cols: list[str]) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
-
-
-def split_keys(df: DataFrame, key_cols: list[str], n: int, total: int | None = None) -> list[tuple]:
-    """n-1 (or fewer) ascending split keys from a seeded sample of the key columns.
-
-    ``total`` (the row count, when the caller knows it) saves one pass.
-    """
-    if n <= 1:
-        return []
-    if total is None:
-        total = df.count()
-    if total == 0:
-        return []
-    frac = min(1.0, SAMPLE_PER_RANGE * n / total)
-    sample = df.select(*key_cols).sample(False, frac, SAMPLE_SEED).limit(4 * SAMPLE_PER_RANGE * n)
-    keys = sorted((tuple(r) for r in sample.collect()),
-                  key=lambda t: tuple((v is not None, v) for v in t))
-    if not keys:
-        return []
-    step = len(keys) / n
-    out = []
-    for i in range(1, n):
-        k = keys[min(len(keys) - 1, int(round(i * step)))]
-        if not out or out[-1] != k:
-            out.append(k)
-    return out
+from gaugeline.session import scratch_path
 
-
-# Up to this many split keys the range lookup is a comparison tree (codegen'd);
-# beyond, a binary search over one literal array keeps the expression small.
-TREE_MAX_BOUNDS = 63
-
-
-def range_of(df: DataFrame, key_cols: list[str], bounds: list[tuple]) -> Column:
-    """Index of the key range holding the row: the number of split keys <= key."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = _key(key_cols)
-
-    def lit(b):
-        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(key_cols, b)])
-
-    if len(bounds) > TREE_MAX_BOUNDS:
-        return _binary_search(key, F.array(*[lit(b) for b in bounds]), len(bounds))
-
-    def tree(lo: int, hi: int) -> Column:  # answer in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2      # key >= bounds[mid-1]  <=>  answer >= mid
-        return F.when(key >= lit(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-
-    return tree(0, len(bounds)).cast("int")
-
-
-def _binary_search(key: Column, bounds: Column, m: int) -> Column:
-    """ceil(log2(m+1)) halving steps over [lo, hi) as an aggregate over a step sequence."""
-    steps = max(1, m.bit_length())
-    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
-
-    def step(acc, _i):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        le = F.element_at(bounds, mid + 1) <= key
-        return (F.when(lo >= hi, acc)
-                .when(le, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
-                .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"].cast("int")
+_RANGE, _GK, _LOCAL, _BEFORE, _N = "_nr_range", "_nr_gk", "_nr_local", "_nr_before", "_nr_n"
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "rn",
-                num_ranges: int | None = None, start: Column | int = 1,
-                total: int | None = None) -> DataFrame:
+                num_ranges: int | None = None, start: Column | int = 1) -> DataFrame:
     """Append ``out_col`` = start + 0-based rank of the row in its group under ``order_cols``.
 
-    ``start`` may be a Column already on the row (e.g. a per-group base offset).
-    ``num_ranges`` forces the number of key ranges; by default it follows the
-    row count (``total``, counted when not given), see ROWS_PER_RANGE.
+    ``start`` may be a Column already on the row (e.g. a per-group base offset).  There are ``num_ranges`` ranges,
+    by default spark.sql.shuffle.partitions.  The ranged rows are written to the shared scratch folder now (one job).
     """
+    spark = df.sparkSession
     group_cols, order_cols = list(group_cols), list(order_cols)
-    key_cols = group_cols + order_cols
-    if num_ranges:
-        n = num_ranges
-    else:
-        if total is None:
-            total = df.count()
-        n = default_ranges(df, total)
-    bounds = split_keys(df, key_cols, n, total)
-    gk = _key(group_cols) if group_cols else F.lit(0)
-    tagged = df.withColumn(_RANGE, range_of(df, key_cols, bounds)).withColumn(_GK, gk)
+    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "numbering")
+    ranged = df.repartitionByRange(n, *group_cols, *order_cols).withColumn(_RANGE, F.spark_partition_id())
+    ranged.write.parquet(path)
+    gk = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
+    tagged = spark.read.schema(ranged.schema).parquet(path).withColumn(_GK, gk)
 
     runs = tagged.groupBy(_RANGE, _GK).agg(F.count(F.lit(1)).alias(_N))
     before = Window.partitionBy(_GK).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)

@@ -9,37 +9,43 @@ partition is added as a literal so the scan prunes directories.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.functions.partition import partition_id_of
-from gaugeline.functions.timeparse import parse_rfc3339, ts_literal
+from gaugeline.functions.timeparse import parse_rfc3339, ts_literal, utc_wall_clock
 from gaugeline.operators.numbering import number_rows
-from gaugeline.schema import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, TELEMETRY_COLUMNS
+from gaugeline.schema import DATE_COLUMN, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, TELEMETRY_COLUMNS
 
-# Pages whose row offset is beyond this are cut from an exact distributed
-# numbering instead of a top-(offset+size) per task.
-DEEP_OFFSET_ROWS = 100_000
+# OFFSET and LIMIT are 32-bit.
+MAX_ROW_NUMBER = 2**31 - 1
+
+# Fixed value: accepted text of a page argument (within 64 bits).
+_INTEGER = re.compile(r"[+-]?[0-9]+")
+
+
+def _integer(arg) -> int | None:
+    if isinstance(arg, bool) or not isinstance(arg, (int, str)):
+        return None
+    if isinstance(arg, str) and not _INTEGER.fullmatch(arg):
+        return None
+    n = int(arg)
+    return n if -2**63 <= n < 2**63 else None
 
 
 def normalize_page(page) -> int:
     """Page number argument: anything not an integer >= 1 means page 1."""
-    try:
-        p = int(str(page).strip()) if not isinstance(page, int) else page
-    except (TypeError, ValueError):
-        return 1
-    return p if p >= 1 else 1
+    p = _integer(page)
+    return p if p is not None and p >= 1 else 1
 
 
 def normalize_page_size(size) -> int:
     """Page size argument: anything not an integer in [1, 1000] means 100."""
-    try:
-        s = int(str(size).strip()) if not isinstance(size, int) else size
-    except (TypeError, ValueError):
-        return DEFAULT_PAGE_SIZE
-    return s if 1 <= s <= MAX_PAGE_SIZE else DEFAULT_PAGE_SIZE
+    s = _integer(size)
+    return s if s is not None and 1 <= s <= MAX_PAGE_SIZE else DEFAULT_PAGE_SIZE
 
 
 @dataclass(frozen=True)
@@ -61,7 +67,7 @@ def order_key(df: DataFrame) -> list[str]:
         return ["timestamp", "id"]
     if "offset" in df.columns and "partition_id" in df.columns:
         return ["timestamp", "partition_id", "offset"]
-    return ["timestamp", "metric_name"]
+    raise ValueError("no total order: the records need an 'id' or a log key (partition_id, offset)")
 
 
 def time_filter(df: DataFrame, rng: TimeRange) -> Column:
@@ -71,6 +77,17 @@ def time_filter(df: DataFrame, rng: TimeRange) -> Column:
         cond = cond & (F.col("timestamp") >= ts_literal(rng.start, dt))
     if rng.end is not None:
         cond = cond & (F.col("timestamp") <= ts_literal(rng.end, dt))
+    return cond & _dates(df, rng.start, rng.end)
+
+
+def _dates(df: DataFrame, start: datetime | None, end: datetime | None) -> Column:
+    """The same bounds on the table's UTC date directories, if it has them."""
+    cond = F.lit(True)
+    if DATE_COLUMN in df.columns:
+        if start is not None:
+            cond = cond & (F.col(DATE_COLUMN) >= F.lit(start.astimezone(timezone.utc).date()))
+        if end is not None:
+            cond = cond & (F.col(DATE_COLUMN) <= F.lit(end.astimezone(timezone.utc).date()))
     return cond
 
 
@@ -113,7 +130,7 @@ def page_meta(df: DataFrame, uuid: str, start=None, end=None, page=1,
     total = count_records(df, uuid, start, end, n_partitions)
     return total.select(F.lit(p).alias("page"), F.lit(s).alias("page_size"), "total",
                         _total_pages(F.col("total"), s).alias("total_pages"),
-                        (F.col("total") > F.lit((p - 1) * s)).alias("found"))
+                        (F.col("total") > F.lit(min((p - 1) * s, 2**63 - 1))).alias("found"))
 
 
 def _total_pages(total: Column, size: int) -> Column:
@@ -124,19 +141,16 @@ def records_page(df: DataFrame, uuid: str, start=None, end=None, page=1,
                  page_size=DEFAULT_PAGE_SIZE, n_partitions: int | None = None) -> DataFrame:
     """L1+L2: one page of a device's records in time order.
 
-    Near pages: ORDER BY + OFFSET/LIMIT, planned as a per-task top-(o+n) and
-    one merge.  Deep pages (o > DEEP_OFFSET_ROWS) would make that merge large,
-    so they are cut from an exact distributed numbering instead.
+    ORDER BY + OFFSET/LIMIT: Spark keeps a top-(offset + size) per task and sorts fully by range beyond
+    spark.sql.execution.topKSortFallbackThreshold.  To walk deep into a device use ``records_after`` (one page of
+    work at any depth) or ``page_all``.
     """
     p, s = normalize_page(page), normalize_page_size(page_size)
     sel = select_records(df, uuid, start, end, n_partitions)
-    key = order_key(sel)
-    o = (p - 1) * s
-    if o <= DEEP_OFFSET_ROWS:
-        return sel.orderBy(*key).offset(o).limit(s)
-    numbered = number_rows(sel, [], key, out_col="_rn")
-    return (numbered.where((F.col("_rn") > o) & (F.col("_rn") <= o + s))
-            .orderBy("_rn").drop("_rn"))
+    skip = (p - 1) * s
+    if skip + s > MAX_ROW_NUMBER:   # beyond any row that OFFSET can name
+        return sel.limit(0)
+    return sel.orderBy(*order_key(sel)).offset(skip).limit(s)
 
 
 def records_after(df: DataFrame, uuid: str, after: tuple | None = None, page_size=DEFAULT_PAGE_SIZE,
@@ -212,4 +226,8 @@ def recent_records(df: DataFrame, as_of, duration: str = "2 minutes") -> DataFra
     dt = df.schema["timestamp"].dataType
     hi = ts_literal(at, dt)
     lo = hi - F.expr(f"INTERVAL {duration}")
-    return df.where((F.col("timestamp") >= lo) & (F.col("timestamp") <= hi))
+    cond = (F.col("timestamp") >= lo) & (F.col("timestamp") <= hi)
+    if DATE_COLUMN in df.columns:
+        first = utc_wall_clock(lo, dt).cast("date")
+        cond = cond & (F.col(DATE_COLUMN) >= first) & (F.col(DATE_COLUMN) <= utc_wall_clock(hi, dt).cast("date"))
+    return df.where(cond)

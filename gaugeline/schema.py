@@ -17,7 +17,7 @@ MIN_CSV_CELLS = 12
 # The 12 record fields, in the order the query API returns them.
 TELEMETRY_COLUMNS = list(CSV_COLUMNS)
 
-# Record fields that are omitted from JSON when empty.
+# Record fields that are omitted from JSON when empty.
 OMIT_EMPTY = ["gpu_id", "device", "model_name", "hostname", "container",
               "pod", "namespace", "labels"]
 
@@ -60,9 +60,11 @@ LOG_SCHEMA = T.StructType(
 )
 LOG_COLUMNS = LOG_SCHEMA.fieldNames()
 
+# The table's UTC date directory.
+DATE_COLUMN = "date"
+
 # Defaults of the original service configuration.
 DEFAULT_PARTITIONS = 3
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
 DEFAULT_MAX_RECORDS = 100
-RECENT_WINDOW = "2 minutes"

@@ -21,14 +21,7 @@ def table(spark):
     df = spark.createDataFrame(rows, "ts string, metric_name string, gpu_id string, device string, uuid string, "
                                      "model_name string, hostname string, container string, pod string, "
                                      "namespace string, value double, labels map<string,string>")
-    return df.select(F.col("ts").cast("timestamp").alias("timestamp"), *df.columns[1:])
-
-
-def test_page_arguments():
-    assert query.normalize_page("invalid") == 1 and query.normalize_page(0) == 1
-    assert query.normalize_page("3") == 3
-    assert query.normalize_page_size("invalid") == 100 and query.normalize_page_size(2000) == 100
-    assert query.normalize_page_size(0) == 100 and query.normalize_page_size(1000) == 1000
+    return df.select(F.col("ts").cast("timestamp").alias("timestamp"), *df.columns[1:], F.unix_timestamp("ts").alias("id"))
 
 
 def test_argument_errors(table):
@@ -75,10 +68,23 @@ def test_inclusive_time_bounds_with_offsets(table):
     assert rows.count() == 10 and meta.collect()[0].total == 10
 
 
-def test_deep_page_uses_exact_numbering(table, monkeypatch):
-    monkeypatch.setattr(query, "DEEP_OFFSET_ROWS", 5)
-    rows, _ = query.telemetry_by_uuid(table, SAMPLE[3], page=3, page_size=10)
-    assert [r.timestamp.second for r in rows.collect()] == list(range(20, 30))
+def test_page_arguments():
+    for bad in (" 5 ", "1_0", "٣", "1.0", "", None, "0", "-3", "x", str(2**63), 2**63, True, 2.0):
+        assert query.normalize_page(bad) == 1, bad
+        assert query.normalize_page_size(bad) == 100, bad
+    assert [query.normalize_page(x) for x in ("7", "+7", 7, "007")] == [7] * 4
+    assert query.normalize_page_size("1001") == 100 and query.normalize_page_size("1000") == 1000
+
+
+def test_page_beyond_any_row(table):
+    rows, _ = query.telemetry_by_uuid(table, SAMPLE[3], page=2**62, page_size=1000)
+    assert rows.count() == 0
+
+
+def test_order_must_be_total(table):
+    import pytest
+    with pytest.raises(ValueError):
+        query.order_key(table.select("timestamp", "metric_name"))
 
 
 def test_pushdown_on_table(spark, tmp_dir):
