@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeline.functions.timeparse import utc_wall_clock
 from gaugeline.operators import partitioning, query
+from gaugeline.schema import CSV_COLUMNS, DATE_COLUMN
 from gaugeline.sources.adapters import events_as_telemetry
 
 # Fixed parameters of the registered queries.
@@ -43,6 +44,8 @@ def flat(df: DataFrame) -> DataFrame:
     table's TIMESTAMP shown as the driver tables' TIMESTAMP_NTZ (UTC)."""
     out = []
     for f in df.schema.fields:
+        if f.name == DATE_COLUMN:
+            continue   # a directory of the table, derived from the timestamp
         if f.name == "labels":
             out.append(F.col("labels")["k"].alias("label_k"))
         elif f.name == "timestamp":
@@ -186,7 +189,7 @@ def q_page_all(spark, sf_dir):
           f"AND \"timestamp\" <= TIMESTAMP '{AS_OF[:-1].replace('T', ' ')}'")
 def q_recent_records(spark, sf_dir):
     """ST9: the recent-records window, boundary inclusive, at a fixed as-of time."""
-    t = table(spark, sf_dir).select("id", "timestamp", "uuid", "metric_name", "value")
+    t = table(spark, sf_dir).select("id", "timestamp", "uuid", "metric_name", "value", DATE_COLUMN)
     return flat(query.recent_records(t, AS_OF, RECENT))
 
 
@@ -254,28 +257,37 @@ def _ts_text(c):
 
 
 def csv_line_col():
-    """One CSV source line per event; some rows are made bad on purpose by content:
-    value < 2 -> only 5 cells; error with value in [2,4) -> 'invalid';
-    view with value in [2,5) -> '1e400' (overflow); value > 470 -> leading space."""
+    """One CSV source line per event; some rows are made odd on purpose, by content:
+    value < 2 -> only 5 cells; error with value in [2,4) -> 'invalid'; view with value in [2,5) -> '1e400' (overflow);
+    value > 470 -> leading space; value in [6,9) -> a time cell that is no time; value in [10,12) -> a 13th cell, quoted, long
+    and full of doubled quotes and commas; value in [12,14) -> a long blank label piece.  The device cell holds the
+    event id: the line's number."""
     v = F.col("value")
     vtxt = (F.when((F.col("event_type") == "error") & (v >= 2) & (v < 4), F.lit("invalid"))
             .when((F.col("event_type") == "view") & (v >= 2) & (v < 5), F.lit("1e400"))
             .when(v > 470, F.concat(F.lit(" "), v.cast("string")))
             .otherwise(v.cast("string")))
     k = F.get_json_object(F.col("props"), "$.k")
-    labels = F.concat(F.lit('"k=""'), k, F.lit('"",type='), F.col("event_type"), F.lit('"'))
+    blank = F.when((v >= 12) & (v < 14), F.concat(F.lit(","), F.repeat(F.lit(" "), F.lit(2000)))).otherwise("")
+    labels = F.concat(F.lit('"k=""'), k, F.lit('"",type='), F.col("event_type"), blank, F.lit('"'))
+    extra = F.when((v >= 10) & (v < 12), F.concat(F.lit(',"'), F.repeat(F.lit('x"",'), F.lit(1000)), F.lit('"'))).otherwise("")
     uid = F.col("user_id").cast("string")
     uuid = F.concat(F.lit("GPU-"), uid)
-    full = F.concat_ws(",", _ts_text("ts"), F.col("event_type"), uid, F.lit(""), uuid,
-                       F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), vtxt, labels)
-    short = F.concat_ws(",", _ts_text("ts"), F.col("event_type"), uid, F.lit(""), uuid)
+    time = F.when((v >= 6) & (v < 9), F.lit("2024-13-99T25:00:00Z")).otherwise(_ts_text("ts"))
+    device = F.col("event_id").cast("string")
+    full = F.concat(F.concat_ws(",", time, F.col("event_type"), uid, device, uuid,
+                                F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), vtxt, labels), extra)
+    short = F.concat_ws(",", time, F.col("event_type"), uid, device, uuid)
     return F.when(v < 2, short).otherwise(full)
 
 
-_REASON_SQL = """CASE WHEN value < 2 THEN 'column_count'
+_INGEST_REASONS = """WHEN value < 2 THEN 'column_count'
        WHEN event_type = 'error' AND value >= 2 AND value < 4 THEN 'invalid_value'
        WHEN event_type = 'view' AND value >= 2 AND value < 5 THEN 'invalid_value'
-       WHEN value > 470 THEN 'invalid_value' END"""
+       WHEN value > 470 THEN 'invalid_value'"""
+# why a row is rejected; with the processing time as event time the time cell doesn't matter
+_REASON_INGEST_SQL = f"CASE {_INGEST_REASONS} END"
+_REASON_SQL = f"CASE {_INGEST_REASONS} WHEN value >= 6 AND value < 9 THEN 'invalid_timestamp' END"
 
 
 def parsed_events(spark, sf_dir):
@@ -326,28 +338,47 @@ def q_parse_reject_rate(spark, sf_dir):
 SELECT "timestamp", uuid, metric_name, value, label_k FROM (
   SELECT ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name, value,
          json_extract_string(props, '$.k') AS label_k, {_REASON_SQL} AS reason
-  FROM events WHERE value >= 2) s WHERE reason IS NULL""")
+  FROM events) s WHERE reason IS NULL""")
 def q_csv_scan(spark, sf_dir):
     """S1: CSV files (header row, RFC 4180 quoting) written from the events, scanned and parsed."""
     from gaugeline.operators.parse import parse_records, valid
     from gaugeline.session import scratch_path
     from gaugeline.sources.csv import read_csv
     path = scratch_path(spark, "csv-scan")
-    cells = (_events(spark, sf_dir).where(F.col("value") >= 2)
-             .select(F.from_csv(csv_line_col(), _CELLS_DDL, {"escape": '"'}).alias("c")).select("c.*"))
-    (cells.write.mode("overwrite")
-     .options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
-              ignoreTrailingWhiteSpace="false")
-     .csv(path))
+    _write_csv(spark, sf_dir, path)
     good = valid(parse_records(read_csv(spark, path, multi_line="auto"), event_time="source"))
     return good.select(utc_wall_clock(F.col("timestamp"), good.schema["timestamp"].dataType)
                        .alias("timestamp"), "uuid",
                        "metric_name", "value", F.col("labels")["k"].alias("label_k"))
 
 
-_CELLS_DDL = ", ".join(f"{c} string" for c in [
-    "timestamp", "metric_name", "gpu_id", "device", "uuid", "model_name", "hostname",
-    "container", "pod", "namespace", "value", "labels"])
+def _write_csv(spark, sf_dir, path, cond=None, files: int = 8):
+    """A CSV drop folder of ``files`` files in event order, each with its header row, modified one after the other."""
+    from gaugeline.operators.commits import file_system
+    first = F.monotonically_increasing_id() % (1 << 33) == 0   # of a task, so of a file
+    header = F.lit(",".join(CSV_COLUMNS))
+    events = _events(spark, sf_dir)
+    (events.where(F.lit(True) if cond is None else cond).select("event_id", csv_line_col().alias("line"))
+     .repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
+     .select(F.explode(F.when(first, F.array(header, "line")).otherwise(F.array("line"))).alias("value"))
+     .write.mode("append").text(path))
+    fs, hpath = file_system(spark, f"{path}/part-*")
+    found = sorted(fs.globStatus(hpath), key=lambda s: (s.getModificationTime() // 60_000, s.getPath().getName()))
+    for k, s in enumerate(found):
+        fs.setTimes(s.getPath(), s.getModificationTime() // 60_000 * 60_000 + k, -1)
+
+
+@register("csv_rejects", f"""
+SELECT reason AS reject_reason, count(*) AS rows FROM (SELECT {_REASON_SQL} AS reason FROM events) s
+WHERE reason IS NOT NULL GROUP BY reason""")
+def q_csv_rejects(spark, sf_dir):
+    """F1 + F2 on files: rejected rows per reason, short and bad rows included."""
+    from gaugeline.operators.parse import parse_records, reject_counts
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.csv import read_csv
+    path = scratch_path(spark, "csv-rejects")
+    _write_csv(spark, sf_dir, path)
+    return reject_counts(parse_records(read_csv(spark, path, multi_line="auto"), event_time="source"))
 
 
 @register("labels_json", """
@@ -586,42 +617,77 @@ def q_insert_if_absent(spark, sf_dir):
     return insert_if_absent(new, existing, ["id"])
 
 
+@register("persist_table", f"SELECT id, {_REC}, {_PID} AS partition_id FROM {_T} t")
+def q_persist_table(spark, sf_dir):
+    """K3 + S5: the write itself, into a new table each time, and its scan."""
+    from gaugeline.operators.table import persist
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.table import read_table
+    path = scratch_path(spark, "persist-table")
+    persist(telemetry(spark, sf_dir), path, N_PARTITIONS)
+    return flat(read_table(spark, path))
+
+
+@register("not_null_rejects", """
+SELECT event_id AS id, CASE WHEN event_type = 'error' AND value < 50 THEN 'null_uuid' ELSE 'null_value' END AS violation
+FROM events WHERE (event_type = 'error' AND value < 50) OR value > 250""")
+def q_not_null_rejects(spark, sf_dir):
+    """S5: rows that break NOT NULL are set aside with the violation when a table is written."""
+    from gaugeline.operators.table import persist
+    from gaugeline.session import scratch_path
+    path = scratch_path(spark, "not-null")
+    t = telemetry(spark, sf_dir)
+    broken = t.withColumns({"uuid": F.when((F.col("metric_name") == "error") & (F.col("value") < 50), None).otherwise(F.col("uuid")),
+                            "value": F.when(F.col("value") > 250, None).otherwise(F.col("value"))})
+    persist(broken, f"{path}/table", N_PARTITIONS, rejects_path=f"{path}/rejects")
+    return spark.read.parquet(f"{path}/rejects").select("id", "violation")
+
+
 # ------------------------------------------------------------ streaming
-_STREAM_LOG_SQL = f"""
-SELECT partition_id, row_number() OVER (PARTITION BY partition_id ORDER BY "timestamp") - 1 AS "offset",
-       uuid, "timestamp", metric_name, value FROM (
-  SELECT ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name, value,
-         {_PID.replace('sha256(uuid)', "sha256(concat('GPU-', user_id))")} AS partition_id,
-         {_REASON_SQL} AS reason
-  FROM events WHERE value >= 2) s WHERE reason IS NULL"""
+def _arrival_sql(reason: str, slices: str = "0"):
+    """The log of a streamed ingest: offsets in arrival order, which is slice by slice the line order."""
+    return f"""
+SELECT partition_id, row_number() OVER (PARTITION BY partition_id ORDER BY slice, event_id) - 1 AS "offset",
+       uuid, "timestamp", metric_name, value, CAST(event_id AS VARCHAR) AS device FROM (
+  SELECT event_id, ts AS "timestamp", concat('GPU-', user_id) AS uuid, event_type AS metric_name, value, {slices} AS slice,
+         {_PID.replace('sha256(uuid)', "sha256(concat('GPU-', user_id))")} AS partition_id, {reason} AS reason
+  FROM events) s WHERE reason IS NULL"""
 
 
-def _write_csv_slice(spark, sf_dir, path, cond, files: int = 8):
-    """A CSV drop folder of ``files`` files (each with its header row)."""
-    cells = (_events(spark, sf_dir).where((F.col("value") >= 2) & cond)
-             .select(F.from_csv(csv_line_col(), _CELLS_DDL, {"escape": '"'}).alias("c")).select("c.*")
-             .repartition(files))
-    (cells.write.mode("append")
-     .options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
-              ignoreTrailingWhiteSpace="false")
-     .csv(path))
+_STREAM_COLUMNS = ["partition_id", "offset", "uuid", "metric_name", "value", "device"]
+_SLICE_SQL = f"CASE WHEN ts < TIMESTAMP '{SPLIT_TS}' THEN 0 ELSE 1 END"
 
 
-@register("stream_ingest", _STREAM_LOG_SQL)
+@register("stream_ingest", f"SELECT {', '.join(_STREAM_COLUMNS).replace('offset', chr(34) + 'offset' + chr(34))} FROM ({_arrival_sql(_REASON_INGEST_SQL)}) l")
 def q_stream_ingest(spark, sf_dir):
-    """S2 + ST7 + ST10 + K1: CSV folder -> stream -> parse -> log (availableNow drain)."""
+    """S2 + ST7 + ST10 + K1 + ST1: CSV folder -> stream -> parse -> log (availableNow drain); stamped with the processing
+    time, so offsets follow the line order alone."""
     from gaugeline.session import scratch_path
     from gaugeline.sources.log import read_log
     from gaugeline.streaming.ingest import ingest_stream
     base = scratch_path(spark, "stream-ingest")
-    _write_csv_slice(spark, sf_dir, f"{base}/csv", F.lit(True))
-    q = ingest_stream(spark, f"{base}/csv", f"{base}/log", f"{base}/ckpt", N_PARTITIONS,
-                      event_time="source", trigger="availableNow", rejects_path=f"{base}/rejects")
-    q.awaitTermination()
-    return _log_out(read_log(spark, f"{base}/log"))
+    _write_csv(spark, sf_dir, f"{base}/csv")
+    ingest_stream(spark, f"{base}/csv", f"{base}/log", f"{base}/ckpt", N_PARTITIONS,
+                  event_time="ingest", trigger="availableNow").awaitTermination()
+    return read_log(spark, f"{base}/log").select(*_STREAM_COLUMNS)
 
 
-@register("stream_resume", _STREAM_LOG_SQL)
+@register("stream_rejects", f"""
+SELECT reason AS reject_reason, count(*) AS rows FROM (SELECT {_REASON_SQL} AS reason FROM events) s
+WHERE reason IS NOT NULL GROUP BY reason""")
+def q_stream_rejects(spark, sf_dir):
+    """F1 + F2 in a stream: the dead-letter folder's rows per reason."""
+    from gaugeline.session import scratch_path
+    from gaugeline.streaming.ingest import ingest_stream
+    base = scratch_path(spark, "stream-rejects")
+    _write_csv(spark, sf_dir, f"{base}/csv")
+    ingest_stream(spark, f"{base}/csv", f"{base}/log", f"{base}/ckpt", N_PARTITIONS, event_time="source",
+                  trigger="availableNow", rejects_path=f"{base}/rejects").awaitTermination()
+    return (spark.read.parquet(f"{base}/rejects").groupBy("reject_reason")
+            .agg(F.count(F.lit(1)).cast("long").alias("rows")))
+
+
+@register("stream_resume", _arrival_sql(_REASON_SQL, _SLICE_SQL))
 def q_stream_resume(spark, sf_dir):
     """ST8 + ST5 + K3: ingest restarted on the same checkpoint after new files
     arrive; a consumer group restarted likewise persists the log to the table."""
@@ -632,15 +698,63 @@ def q_stream_resume(spark, sf_dir):
     base = scratch_path(spark, "stream-resume")
     csv, log, table = f"{base}/csv", f"{base}/log", f"{base}/table"
     split = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
-    _write_csv_slice(spark, sf_dir, csv, split)
+    _write_csv(spark, sf_dir, csv, split)
     for _run in range(2):
         ingest_stream(spark, csv, log, f"{base}/ingest-ckpt", N_PARTITIONS, event_time="source",
                       trigger="availableNow").awaitTermination()
         consume_stream(spark, log, "g2", table, f"{base}/groups", N_PARTITIONS,
                        trigger="availableNow").awaitTermination()
         if _run == 0:
-            _write_csv_slice(spark, sf_dir, csv, ~split)
-    return _log_out(read_table(spark, table))
+            _write_csv(spark, sf_dir, csv, ~split)
+    return _log_out(read_table(spark, table), "device")
+
+
+@register("stream_two_sources", _arrival_sql(_REASON_SQL, _SLICE_SQL))
+def q_stream_two_sources(spark, sf_dir):
+    """S2 + K1: two folders with a checkpoint each fill one log; both streams count their batches from 0."""
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.log import read_log
+    from gaugeline.streaming.ingest import ingest_stream
+    base = scratch_path(spark, "stream-two")
+    split = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    for name, cond in (("a", split), ("b", ~split)):
+        _write_csv(spark, sf_dir, f"{base}/{name}", cond)
+        ingest_stream(spark, f"{base}/{name}", f"{base}/log", f"{base}/ckpt-{name}", N_PARTITIONS, event_time="source",
+                      trigger="availableNow").awaitTermination()
+    return _log_out(read_log(spark, f"{base}/log"), "device")
+
+
+@register("append_replay_partial", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l")
+def q_append_replay_partial(spark, sf_dir):
+    """K1 + ST8: one partition's files of a micro-batch landed, then the writer died; the replay makes the batch whole."""
+    from gaugeline.operators import log as logs
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.log import read_log
+    path, order = scratch_path(spark, "log-partial"), ["timestamp", "id"]
+    ev = _log_events(spark, sf_dir)
+    early = F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    logs.append_log(ev.where(early), path, N_PARTITIONS, order, batch=0, stream="s")
+    base = logs.end_offsets(read_log(spark, path), N_PARTITIONS)
+    landed = logs.to_log_rows(logs.assign_offsets(ev.where(~early), N_PARTITIONS, order, base), 1).where("partition_id = 1")
+    landed.write.mode("append").partitionBy("partition_id").parquet(path)
+    logs._WRITTEN.pop((spark.sparkContext.applicationId, path), None)   # a new process
+    for _ in range(2):   # the second replay finds the batch committed
+        logs.append_log(ev.where(~early), path, N_PARTITIONS, order, batch=1, stream="s")
+    return _log_out(read_log(spark, path))
+
+
+@register("collect_loop", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l")
+def q_collect_loop(spark, sf_dir):
+    """ST3 + ST4 + ST6 + K3: poll, persist, commit until nothing is left, stopped and started again in the middle."""
+    from gaugeline.operators.log import log_state
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.table import read_table
+    from gaugeline.streaming.collect import collect_loop
+    base, log = scratch_path(spark, "collect"), written_log(spark, sf_dir)
+    third = max(log_state(spark, log, N_PARTITIONS)[0].values()) // 3 + 1
+    for most in (2, None):
+        collect_loop(spark, log, f"{base}/table", f"{base}/positions", "g1", third, N_PARTITIONS, max_polls=most)
+    return _log_out(read_table(spark, f"{base}/table"))
 
 
 @register("log_json_scan", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l")
@@ -656,7 +770,7 @@ def q_log_json_scan(spark, sf_dir):
 
 @register("ingest_time", f"""
 SELECT event_id, uuid, metric_name, value, true AS stamped_after_source FROM (
-  SELECT event_id, concat('GPU-', user_id) AS uuid, event_type AS metric_name, value, {_REASON_SQL} AS reason
+  SELECT event_id, concat('GPU-', user_id) AS uuid, event_type AS metric_name, value, {_REASON_INGEST_SQL} AS reason
   FROM events) s WHERE reason IS NULL""")
 def q_ingest_time(spark, sf_dir):
     """P3: records stamped with the processing time (the CSV time cell is ignored)."""

@@ -5,27 +5,28 @@ offset o" is the range predicate o <= offset < o + m: no sort-and-limit, and
 the predicate reaches the Parquet scan (directory pruning on partition_id,
 row-group skipping on offset because files are written sorted by offset).
 
-Consumer-group positions are small control data (groups x partitions rows):
-a group read scans once under a per-partition offset span (a literal
-predicate) and picks each group's exact range with a size-checked broadcast.
-End offsets come from a tiny marker verified by one pruned probe, so an append
-does not scan the log.
+Consumer-group positions are small control data (groups x partitions rows): a group read scans once under literal
+offset intervals and joins the groups' ranges by band.
+
+An append is committed by a small numbered document (``commits``): the end offsets and the last micro-batch of each
+stream.  Rows beyond the committed ends are leftovers of an append that never finished; the next append removes their
+files first, so a replayed micro-batch is whole, however much of it had landed.
 """
 
 from __future__ import annotations
 
-import json
+import threading
+from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeline.functions.timeparse import utc_instant
+from gaugeline.operators.commits import exists, file_system, read_commit, write_commit
 from gaugeline.operators.numbering import number_rows
 from gaugeline.operators.partitioning import with_partition
 from gaugeline.operators.query import order_key
-from gaugeline.operators.sizing import BROADCAST_MAX_ROWS, broadcast_if_small
 from gaugeline.schema import DEFAULT_MAX_RECORDS, DEFAULT_PARTITIONS, LOG_SCHEMA
 from gaugeline.sources.log import read_log
 
@@ -49,8 +50,7 @@ def end_offsets(log: DataFrame, n_partitions: int = DEFAULT_PARTITIONS) -> DataF
 
 
 def assign_offsets(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS, order_cols=None,
-                   base: DataFrame | None = None, num_ranges: int | None = None,
-                   total: int | None = None) -> DataFrame:
+                   base: DataFrame | None = None, num_ranges: int | None = None) -> DataFrame:
     """ST1: ``partition_id`` + consecutive ``offset`` per partition in arrival order.
 
     ``order_cols`` is the arrival order (must be total); ``base`` holds the
@@ -67,8 +67,7 @@ def assign_offsets(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS, order_
     else:
         p = p.withColumn("_base", F.lit(0).cast("long"))
         start = F.col("_base")
-    out = number_rows(p, ["partition_id"], order, out_col="offset", num_ranges=num_ranges, start=start,
-                      total=total)
+    out = number_rows(p, ["partition_id"], order, out_col="offset", num_ranges=num_ranges, start=start)
     return out.drop("_base")
 
 
@@ -86,143 +85,88 @@ def to_log_rows(df: DataFrame, batch: int | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def log_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
-MARKER = "_end_offsets.json"   # hidden from the log reader (leading underscore)
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
-
-
-def _read_marker(spark: SparkSession, path: str):
-    """(ends by partition, last streaming batch) or None; a few bytes, read on the driver."""
-    fs, hpath = _fs(spark, f"{path.rstrip('/')}/{MARKER}")
-    if not fs.exists(hpath):
-        return None
-    stream = fs.open(hpath)
-    try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        text = reader.readLine()
-    finally:
-        stream.close()
-    try:
-        doc = json.loads(text or "")
-        return {int(k): int(v) for k, v in doc["ends"].items()}, doc.get("batch")
-    except (ValueError, KeyError, TypeError):
-        return None
-
-
-# Marker this process wrote last, per log: a marker that is still exactly that
-# one needs no probe (one writer per log; a restarted process probes again).
-_WRITTEN: dict[tuple[str, str], tuple[dict, int | None]] = {}
-
-
-def _write_marker(spark: SparkSession, path: str, ends: dict, batch: int | None) -> None:
-    """Overwrite the marker in the log's own (shared) file system, no Spark job."""
-    doc = json.dumps({"ends": {str(k): int(v) for k, v in sorted(ends.items())}, "batch": batch})
-    fs, hpath = _fs(spark, f"{path.rstrip('/')}/{MARKER}")
-    out = fs.create(hpath, True)
-    try:
-        out.write(bytearray(doc.encode("utf-8")))
-    finally:
-        out.close()
-    _WRITTEN[(spark.sparkContext.applicationId, path.rstrip("/"))] = (
-        {int(k): int(v) for k, v in ends.items()}, batch)
-
-
-def log_state(spark: SparkSession, path: str, n_partitions: int = DEFAULT_PARTITIONS):
-    """(end offsets by partition, last streaming batch or None, marker trusted?).
-
-    The end-offset marker written by each append is checked with one pruned
-    probe — any row at or beyond a recorded end? — unless it is the marker this
-    process wrote last.  Files are sorted by offset,
-    so row-group statistics skip everything below the ends.  Only a stale
-    marker (a crash between data and marker writes) costs the full aggregate
-    over the log's partition_id/offset columns.
+# The commit this process wrote last, per log: while it still is the newest one, no look at the data is needed.
+_WRITTEN: dict[tuple[str, str], int] = {}
+# One append at a time per log and process; of several processes, all but one fail at the commit.
+_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
+def _beyond(ends: dict, n_partitions: int) -> Column:
+    known = F.col("partition_id").isin(*range(n_partitions))
+    return reduce(lambda a, b: a | b, [(F.col("partition_id") == F.lit(p)) & (F.col("offset") >= F.lit(ends.get(p, 0)))
+                                       for p in range(n_partitions)], ~known)
+
+
+def log_state(spark: SparkSession, path: str, n_partitions: int = DEFAULT_PARTITIONS) -> tuple[dict, dict, int]:
+    """(end offsets by partition, last micro-batch by stream, commit number) of the newest commit, a few bytes.
+
+    A log without any commit (written by other means) is taken as it is, at the cost of one aggregate over
+    partition_id and offset.
     """
-    if not log_exists(spark, path):
-        return {}, None, True
-    log = read_log(spark, path)
-    marker = _read_marker(spark, path)
-    if marker is not None:
-        ends, last_batch = marker
-        mine = _WRITTEN.get((spark.sparkContext.applicationId, path.rstrip("/")))
-        if mine is not None and mine == (ends, last_batch):
-            return {p: ends.get(p, 0) for p in range(n_partitions)}, last_batch, True
-        probe = reduce(lambda a, b: a | b, [
-            (F.col("partition_id") == F.lit(p)) & (F.col("offset") >= F.lit(ends.get(p, 0)))
-            for p in range(n_partitions)])
-        if log.where(probe).limit(1).count() == 0:
-            return {p: ends.get(p, 0) for p in range(n_partitions)}, last_batch, True
-    full = {r.partition_id: r.next_offset for r in end_offsets(log, n_partitions).collect()}
-    return full, None, False
+    path = path.rstrip("/")
+    if not exists(spark, path):
+        return {p: 0 for p in range(n_partitions)}, {}, -1
+    number, doc = read_commit(spark, path)
+    if doc is None:
+        ends = {r.partition_id: r.next_offset for r in end_offsets(read_log(spark, path), n_partitions).collect()}
+        return ends, {}, number
+    return {p: int(doc["ends"].get(str(p), 0)) for p in range(n_partitions)}, doc.get("streams", {}), number
+
+
+def _remove_leftovers(spark: SparkSession, path: str, ends: dict, n_partitions: int) -> None:
+    """Delete the files of an append that was never committed (the writer calls this, readers never).
+
+    One pruned probe finds them: files are sorted by offset, so row-group statistics skip everything below the ends.
+    """
+    left = read_log(spark, path).where(_beyond(ends, n_partitions)).select(F.input_file_name()).distinct().collect()
+    for r in left:   # the files of one append; their names come URI-encoded
+        fs, hpath = file_system(spark, unquote(r[0]))
+        fs.delete(hpath, False)
 
 
 def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS, order_cols=None,
-               batch: int | None = None, num_ranges: int | None = None) -> DataFrame:
+               batch: int | None = None, num_ranges: int | None = None, stream: str = "") -> DataFrame:
     """K1: append records to the log at ``path``; returns the K2 report.
 
-    Jobs: the log state probe (see ``log_state``), records per partition of
-    the batch, the key sample of the numbering, the write, the marker.  The
-    report follows from base + counts because offsets are dense.  One writer
-    per log.  With a streaming ``batch`` id the append is idempotent: a
-    replayed micro-batch already in the log is skipped.
+    Jobs: the range write of the numbering, the records per partition, the log write; before the first and after the last
+    a commit.  With a ``batch`` id the append is idempotent per ``stream``: a micro-batch that is committed is
+    skipped (each stream counts its own), one that landed in part is replaced.
     """
-    spark = df.sparkSession
-    base_rows, last_batch, trusted = log_state(spark, path, n_partitions)
-    if batch is not None and base_rows:
-        if trusted and last_batch is not None and batch <= last_batch:
-            return _report(read_log(spark, path).where(F.col("batch") == F.lit(batch)))
-        if not trusted:
-            done = read_log(spark, path).where(F.col("batch") == F.lit(batch))
-            if done.limit(1).count() > 0:
-                return _report(done)
-    p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
-    # the batch is read by four jobs (counts, key sample, two numbering
-    # branches): keep it for the duration of this eager call; a lost block is
-    # recomputed from the (deterministic) lineage
-    p = p.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    spark, path = df.sparkSession, path.rstrip("/")
+    app = (spark.sparkContext.applicationId, path)
+    with _LOCKS[path]:
+        ends, streams, number = log_state(spark, path, n_partitions)
+        last = streams.get(stream)
+        if batch is not None and last is not None and batch <= last["batch"]:
+            return _report_rows(spark, last["report"] if batch == last["batch"] else [])
+        if number >= 0 and _WRITTEN.get(app) != number:   # another process wrote the commit, or an append failed here
+            _remove_leftovers(spark, path, ends, n_partitions)
+        if number < 0:   # from here on, rows without a commit of their own are leftovers
+            number += 1
+            write_commit(spark, path, number, {"ends": {str(k): v for k, v in ends.items()}, "streams": streams})
+        p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
+        base = spark.createDataFrame([(k, int(v)) for k, v in ends.items()], "partition_id int, next_offset long")
+        logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges)
         counts = {r.partition_id: r.n for r in
-                  p.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
-        report = spark.createDataFrame(
-            [(k, int(v), int(base_rows.get(k, 0) + v)) for k, v in sorted(counts.items())],
-            "partition_id int, records long, next_offset long")
+                  logged.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
+        report = [[k, int(v), int(ends.get(k, 0) + v)] for k, v in sorted(counts.items())]
         if not counts:
-            return report
-        base = spark.createDataFrame([(k, int(v)) for k, v in base_rows.items()],
-                                     "partition_id int, next_offset long") if base_rows else None
-        logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, total=sum(counts.values()))
-        rows = to_log_rows(logged, batch)
-        # from here until the new marker is written the marker may lag the data:
-        # forget it, so a failure in between is caught by the probe next time
-        _WRITTEN.pop((spark.sparkContext.applicationId, path.rstrip("/")), None)
-        (rows.sortWithinPartitions("partition_id", "offset")
+            return _report_rows(spark, report)
+        _WRITTEN.pop(app, None)   # a failure in between is caught by the probe
+        (to_log_rows(logged, batch).sortWithinPartitions("partition_id", "offset")
          .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
          .partitionBy("partition_id").parquet(path))
-    finally:
-        p.unpersist()
-    ends = {k: base_rows.get(k, 0) for k in range(n_partitions)}
-    for k, v in counts.items():
-        ends[k] = ends.get(k, 0) + v
-    _write_marker(spark, path, ends, batch if batch is not None else last_batch)
-    return report
+        ends = {**ends, **{k: after for k, _, after in report}}
+        if batch is not None:
+            streams = {**streams, stream: {"batch": batch, "report": report}}
+        write_commit(spark, path, number + 1, {"ends": {str(k): int(v) for k, v in ends.items()}, "streams": streams})
+        _WRITTEN[app] = number + 1
+        return _report_rows(spark, report)
 
 
-def _report(rows: DataFrame) -> DataFrame:
+def _report_rows(spark: SparkSession, report: list) -> DataFrame:
     """K2: per partition, records appended and the next offset after them."""
-    return rows.groupBy("partition_id").agg(
-        F.count(F.lit(1)).cast("long").alias("records"),
-        (F.max("offset") + 1).cast("long").alias("next_offset"))
+    return spark.createDataFrame([tuple(r) for r in report], "partition_id int, records long, next_offset long")
 
 
 def produce_responses(batch: DataFrame, report: DataFrame,
@@ -236,11 +180,6 @@ def produce_responses(batch: DataFrame, report: DataFrame,
         "success", F.col("offset").isNotNull())
 
 
-def append_report(logged: DataFrame) -> DataFrame:
-    """K2 for a numbered (not yet written) batch."""
-    return _report(logged)
-
-
 # -------------------------------------------------------------------- consume
 def consume(log: DataFrame, partition_id: int, offset: int = 0,
             max_records: int = DEFAULT_MAX_RECORDS) -> DataFrame:
@@ -290,26 +229,44 @@ def consume_groups(log: DataFrame, positions, groups: list[str] | None = None,
     """ST3 + U1: for each group and partition, up to ``max_records`` records from
     the group's position (0 when it has none); output carries a ``group`` column.
 
-    One scan: per log partition, the span from the smallest to the largest
-    position (+ max_records) becomes a literal predicate (n_partitions
-    disjuncts, pushed to Parquet, so row groups outside are skipped); the
-    (group, partition, start) rows — groups x partitions, size-checked — are
-    broadcast to pick each group's exact range.
+    One scan: the groups' ranges, merged to INTERVALS intervals per log partition at most, become a literal predicate that
+    reaches Parquet, so an idle group does not make the others read everything between.  A row meets only the
+    groups whose range touches its band of ``max_records`` offsets (an equi-join), never all of them.
     """
     spark = log.sparkSession
     starts = group_starts(spark, positions, groups, n_partitions)
-    spans = starts.groupBy("partition_id").agg(F.min("start_offset").alias("lo"),
-                                                F.max("start_offset").alias("hi")).collect()
-    if not spans:
+    rows = starts.select("partition_id", "start_offset").distinct().collect()   # control data
+    if not rows:
         return log.limit(0).withColumn("group", F.lit(None).cast("string"))
     bound = reduce(lambda a, b: a | b, [
-        (F.col("partition_id") == F.lit(r.partition_id)) & (F.col("offset") >= F.lit(r.lo))
-        & (F.col("offset") < F.lit(r.hi + max_records)) for r in spans])
-    scoped = log.where(bound)
-    st = broadcast_if_small(starts.withColumnRenamed("partition_id", "_pid"), BROADCAST_MAX_ROWS)
-    cond = ((scoped["partition_id"] == st["_pid"]) & (scoped["offset"] >= st["start_offset"])
-            & (scoped["offset"] < st["start_offset"] + F.lit(max_records)))
-    return scoped.join(st, cond, "inner").drop("_pid", "start_offset")
+        (F.col("partition_id") == F.lit(p)) & (F.col("offset") >= F.lit(lo)) & (F.col("offset") < F.lit(hi))
+        for p in sorted({r.partition_id for r in rows})
+        for lo, hi in merged_intervals([r.start_offset for r in rows if r.partition_id == p], max_records)])
+    band = lambda c: F.expr(f"{c} div {max_records}")
+    ranges = starts.select("group", F.col("partition_id").alias("_pid"), "start_offset",
+                           F.explode(F.sequence(band("start_offset"), band(f"(start_offset + {max_records - 1})"))).alias("_band"))
+    scoped = log.where(bound).withColumn("_own", band("offset"))
+    cond = ((F.col("partition_id") == F.col("_pid")) & (F.col("_own") == F.col("_band"))
+            & (F.col("offset") >= F.col("start_offset")) & (F.col("offset") < F.col("start_offset") + F.lit(max_records)))
+    return scoped.join(ranges, cond, "inner").drop("_pid", "_own", "_band", "start_offset")
+
+
+# Literal offset intervals per log partition in one scan predicate.
+INTERVALS = 16
+
+
+def merged_intervals(starts: list[int], size: int, most: int = INTERVALS) -> list[tuple[int, int]]:
+    """The ranges [start, start + size) as at most ``most`` intervals, closing the smallest gaps."""
+    out: list[list[int]] = []
+    for s in sorted(set(starts)):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s + size)
+        else:
+            out.append([s, s + size])
+    while len(out) > most:
+        k = min(range(len(out) - 1), key=lambda i: out[i + 1][0] - out[i][1])
+        out[k:k + 2] = [[out[k][0], out[k + 1][1]]]
+    return [(a, b) for a, b in out]
 
 
 def consume_status(ends: DataFrame, positions, groups: list[str] | None = None,
@@ -345,31 +302,42 @@ def export_log_json(log: DataFrame, path: str) -> None:
                     F.lit(',"offset":'), F.col("offset").cast("string"), F.lit("}"))
     from pyspark.sql import types as T
     ntz = isinstance(log.schema["timestamp"].dataType, T.TimestampNTZType)
+    # contiguous offset ranges per task: as many tasks as the log needs, not one per log partition
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (log.select("partition_id", "offset", record_to_json(ntz=ntz).alias("_j"))
      .select("partition_id", "offset", body.alias("value"))
-     .repartition("partition_id").sortWithinPartitions("partition_id", "offset")
+     .repartitionByRange(n, "partition_id", "offset").sortWithinPartitions("partition_id", "offset")
      .select("partition_id", "value")
-     .write.mode("overwrite").partitionBy("partition_id").text(path))
+     .write.mode("overwrite").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE)).partitionBy("partition_id").text(path))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of the stored positions, oldest first."""
+    fs, hpath = file_system(spark, f"{path.rstrip('/')}/v=*/_SUCCESS")
+    return sorted(int(s.getPath().getParent().getName()[2:]) for s in fs.globStatus(hpath) or [])
 
 
 def save_positions(positions: DataFrame, path: str) -> None:
-    """Overwrite the stored positions.  The new positions usually derive from
-    the file being replaced, so lineage is cut first with a reliable checkpoint
-    (in the shared ``spark.checkpoint.dir``)."""
-    from gaugeline.session import shared_dir
-    shared_dir(positions.sparkSession)
-    positions.checkpoint(eager=True).coalesce(1).write.mode("overwrite").parquet(path)
+    """Store the positions as a new version; the one before stays until the next is complete, so a crash loses nothing."""
+    spark, path = positions.sparkSession, path.rstrip("/")
+    old = _versions(spark, path)
+    number = old[-1] + 1 if old else 0
+    positions.coalesce(1).write.mode("overwrite").parquet(f"{path}/v={number}")   # groups x partitions rows
+    for v in old[:-1]:
+        fs, hpath = file_system(spark, f"{path}/v={v}")
+        fs.delete(hpath, True)
 
 
 def load_positions(spark: SparkSession, path: str) -> DataFrame:
-    if not log_exists(spark, path):
+    """The newest complete version (none: no positions)."""
+    found = _versions(spark, path)
+    if not found:
         return spark.createDataFrame([], POSITIONS_SCHEMA)
-    return spark.read.schema(POSITIONS_SCHEMA).parquet(path)
-
+    return spark.read.schema(POSITIONS_SCHEMA).parquet(f"{path.rstrip('/')}/v={found[-1]}")
 
 
 def poll(log: DataFrame, positions, group: str, max_records: int = DEFAULT_MAX_RECORDS,
-         n_partitions: int = DEFAULT_PARTITIONS) -> tuple[DataFrame, DataFrame]:
+         n_partitions: int = DEFAULT_PARTITIONS, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One consumer-group read (offset -1 = "from my stored position").
 
     Returns (records, status); commit ``advance_positions(status)`` with
@@ -378,7 +346,8 @@ def poll(log: DataFrame, positions, group: str, max_records: int = DEFAULT_MAX_R
     pos = positions_frame(log.sparkSession, positions)
     mine = pos.where(F.col("group") == F.lit(group))
     records = consume_groups(log, mine, [group], max_records, n_partitions)
-    status = consume_status(end_offsets(log, n_partitions), mine, [group], max_records, n_partitions)
+    ends = end_offsets(log, n_partitions) if ends is None else ends
+    status = consume_status(ends, mine, [group], max_records, n_partitions)
     return records, status
 
 

@@ -1,9 +1,8 @@
 """The telemetry table: layout, NOT NULL expectations, persist, insert-if-absent.
 
-Layout: ``partition_id=<k>/`` directories (device hash, so a device query
-prunes to one directory), files range-clustered on (uuid, timestamp) so a
-device/time predicate skips row groups by their min/max statistics — the role
-of the original (uuid, timestamp) index.
+Layout: ``date=<UTC day>/partition_id=<k>/`` directories (a time window prunes to its days, a device query to its hash
+partition), files range-clustered on (uuid, timestamp) so a device/time predicate skips row groups by their min/max
+statistics — the role of the original (uuid, timestamp) index.
 """
 
 from __future__ import annotations
@@ -12,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from gaugeline.functions.timeparse import utc_wall_clock
 from gaugeline.operators.partitioning import with_partition
-from gaugeline.schema import DEFAULT_PARTITIONS, TELEMETRY_COLUMNS
+from gaugeline.schema import DATE_COLUMN, DEFAULT_PARTITIONS, TELEMETRY_COLUMNS
 
 # Fixed value: columns declared NOT NULL by the table definition.
 NOT_NULL = ["timestamp", "metric_name", "uuid", "value"]
@@ -28,22 +28,24 @@ def not_null_violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violation", reason).where(F.col("violation").isNotNull())
 
 
-def enforce_not_null(df: DataFrame) -> DataFrame:
-    cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in NOT_NULL])
-    return df.where(cond)
+def require_not_null(df: DataFrame) -> DataFrame:
+    """Rows as they are; a NULL in a NOT NULL column fails the job that reads them."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"NULL in NOT NULL column {c}")).cast(df.schema[c].dataType))
+                           for c in NOT_NULL if c in df.columns})
 
 
 def table_layout(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS,
                  num_files: int | None = None) -> DataFrame:
-    """Range-cluster rows on (partition_id, uuid, timestamp) for the write.
+    """Range-cluster rows on (date, partition_id, uuid, timestamp, row key) for the write.
 
-    One range shuffle: every task writes one contiguous key range, i.e. a few
-    files with tight uuid/timestamp statistics; a hot device spans several
-    tasks instead of one.
+    One range shuffle: every task writes one contiguous key range, i.e. a few files with tight uuid/timestamp statistics.  The
+    row key (log offset or id) comes last, so a hot device spans several tasks even where all its rows carry one timestamp.
     """
     p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
+    if DATE_COLUMN not in p.columns:
+        p = p.withColumn(DATE_COLUMN, utc_wall_clock(F.col("timestamp"), p.schema["timestamp"].dataType).cast("date"))
     n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["partition_id", "uuid", "timestamp"]
+    keys = [DATE_COLUMN, "partition_id", "uuid", "timestamp"] + [c for c in ("offset", "id") if c in p.columns]
     return p.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
@@ -59,33 +61,37 @@ def table_rows(df: DataFrame) -> DataFrame:
 
 
 def persist(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS, mode: str = "append",
-            num_files: int | None = None) -> None:
-    """K3: write records to the table (one job; the commit protocol makes it all or nothing)."""
+            num_files: int | None = None, rejects_path: str | None = None) -> None:
+    """K3: write records to the table, all or nothing.
+
+    A row that breaks NOT NULL fails the whole write, and nothing is committed; with ``rejects_path`` such rows are written there,
+    with the violation, and the others to the table.
+    """
     from gaugeline.operators.log import MAX_RECORDS_PER_FILE
-    rows = table_layout(enforce_not_null(table_rows(df)), n_partitions, num_files)
-    (rows.write.mode(mode).option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
-     .partitionBy("partition_id").parquet(path))
+    rows = table_rows(df)
+    if rejects_path:
+        not_null_violations(rows).write.mode("append").parquet(rejects_path)
+        rows = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in NOT_NULL]))
+    (table_layout(require_not_null(rows), n_partitions, num_files)
+     .write.mode(mode).option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
+     .partitionBy(DATE_COLUMN, "partition_id").parquet(path))
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """K4: rows of ``new`` whose key is absent from ``existing``; one row per key.
 
-    Both sides are reduced to one row per key first (partial aggregation on the
-    map side), so a key repeated a billion times costs one row in the shuffle.
+    The new side is reduced to one row per key; the existing side only lends its keys to an anti join.
     """
-    first = new.dropDuplicates(keys)
-    seen = existing.select(*keys).distinct()
-    return first.join(seen, keys, "left_anti")
+    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
 
 
-def key_range_filter(existing: DataFrame, new: DataFrame, max_parts: int = 4096) -> DataFrame:
+def key_range_filter(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Restrict ``existing`` to the log-key ranges of ``new`` (per-partition min/max
-    offset, a table of at most n_partitions rows) so an idempotent re-insert
+    offset, one row per log partition) so an idempotent re-insert
     scans only the matching row groups."""
-    ranges = new.groupBy("partition_id").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"))
-    rows = ranges.limit(max_parts + 1).collect()
-    if not rows or len(rows) > max_parts:
-        return existing
+    rows = new.groupBy("partition_id").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi")).collect()
+    if not rows:
+        return existing.limit(0)
     cond = reduce(lambda a, b: a | b, [
         (F.col("partition_id") == r.partition_id) & (F.col("offset") >= r.lo) & (F.col("offset") <= r.hi)
         for r in rows])

@@ -44,13 +44,17 @@ _PRIVATE_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts and scratch tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (tests,
-    a laptop) a private temporary folder is created and registered.
+    Read from ``spark.checkpoint.dir``; only when the session has none and runs on a
+    local master (tests, a laptop) a private temporary folder is created and
+    registered.  On a cluster a missing setting is an error: executors would each
+    write to a disk of their own.
     """
     sc = spark.sparkContext
     d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
          or _PRIVATE_DIRS.get(sc.applicationId))
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="gaugeline-ckpt-")
         _PRIVATE_DIRS[sc.applicationId] = d
         try:

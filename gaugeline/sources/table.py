@@ -12,7 +12,7 @@ from gaugeline.schema import TELEMETRY_COLUMNS
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Scan with the label column decoded to a map (bad JSON -> empty map).
 
-    Partition discovery exposes ``partition_id``; filters on it prune
+    Partition discovery exposes ``date`` and ``partition_id``; filters on them prune
     directories, filters on ``uuid``/``timestamp`` reach the Parquet reader.
     """
     df = spark.read.parquet(path)

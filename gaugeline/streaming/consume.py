@@ -1,11 +1,11 @@
 """ST3-ST5 + ST7 + ST8 + K3/K4: one streaming query per consumer group reads the
 log incrementally and persists it to the table.
 
-The group's position is the query's checkpoint: a group resumes where it left
-off after a restart (ST8), and groups never affect each other (ST5).  The
-checkpoint is committed after the batch is persisted (at-least-once); the
-write is an insert-if-absent on the log key (partition_id, offset), restricted
-to the batch's offset ranges, so a replayed batch adds nothing: effectively once.
+The group's position is the query's checkpoint: a group resumes where it left off after a restart (ST8), and groups never
+affect each other (ST5).  The checkpoint is committed after the batch is persisted (at-least-once).  The table keeps a
+commit per stream (``operators.commits``): the micro-batch begun and the one done.  A batch that is done is skipped; one
+that was begun and not done is inserted row by row only where its log key (partition_id, offset) is absent; any other
+is appended without a look at the table, so a micro-batch costs the same however large the table is.
 """
 
 from __future__ import annotations
@@ -15,32 +15,45 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeline.operators.log import log_exists
+from gaugeline.operators.commits import exists, read_commit, write_commit
 from gaugeline.operators.table import insert_if_absent, key_range_filter, persist
 from gaugeline.schema import DEFAULT_PARTITIONS, LOG_KEY, LOG_SCHEMA
-from gaugeline.streaming.ingest import _trigger
-
+from gaugeline.streaming.ingest import _trigger, query_id
 
 # Target rows per written file; a small micro-batch writes one file instead of
 # one per shuffle partition (no small-file build-up from frequent triggers).
 ROWS_PER_FILE = 4_000_000
 
 
-def persist_batch(batch: DataFrame, table_path: str, n_partitions: int) -> None:
+def _absent(batch: DataFrame, table_path: str) -> DataFrame:
     spark = batch.sparkSession
-    batch = batch.persist()
-    try:
-        rows = batch.count()
-        if rows == 0:
-            return
-        if log_exists(spark, table_path):
-            existing = key_range_filter(spark.read.parquet(table_path), batch)
-            batch = insert_if_absent(batch, existing, LOG_KEY)
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        files = max(1, min(cap, math.ceil(rows / ROWS_PER_FILE)))
+    keys = spark.read.schema("offset long, partition_id int").parquet(table_path)
+    return insert_if_absent(batch, key_range_filter(keys, batch), LOG_KEY)
+
+
+def persist_batch(batch: DataFrame, table_path: str, n_partitions: int, stream: str = "", batch_id: int | None = None) -> None:
+    """Persist one batch of log rows once: by (stream, batch id), or by log key alone without a batch id."""
+    spark, table_path = batch.sparkSession, table_path.rstrip("/")
+    rows = batch.count()
+    if rows == 0:
+        return
+    files = math.ceil(rows / ROWS_PER_FILE)
+    if batch_id is None:
+        batch = _absent(batch, table_path) if exists(spark, table_path) else batch
         persist(batch.drop("batch"), table_path, n_partitions, num_files=files)
-    finally:
-        batch.unpersist()
+        return
+    number, doc = read_commit(spark, table_path)
+    streams = (doc or {}).get("streams", {})
+    own = streams.get(stream, {"begun": -1, "done": -1})
+    if batch_id <= own["done"]:
+        return
+    if batch_id == own["begun"]:
+        batch = _absent(batch, table_path)
+    else:
+        number += 1
+        write_commit(spark, table_path, number, {"streams": {**streams, stream: {"begun": batch_id, "done": own["done"]}}})
+    persist(batch.drop("batch"), table_path, n_partitions, num_files=files)
+    write_commit(spark, table_path, number + 1, {"streams": {**streams, stream: {"begun": batch_id, "done": batch_id}}})
 
 
 def consume_stream(spark: SparkSession, log_path: str, group: str, table_path: str,
@@ -52,6 +65,6 @@ def consume_stream(spark: SparkSession, log_path: str, group: str, table_path: s
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = r.parquet(log_path)
     w = (stream.writeStream
-         .foreachBatch(lambda df, bid: persist_batch(df, table_path, n_partitions))
+         .foreachBatch(lambda df, bid: persist_batch(df, table_path, n_partitions, query_id(df.sparkSession), bid))
          .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/{group}"))
     return _trigger(w, trigger).start()

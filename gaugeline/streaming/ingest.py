@@ -1,10 +1,14 @@
 """S2 + ST7 + ST10 + K1: CSV files arriving in a folder -> parsed -> appended to the log.
 
-Every micro-batch is parsed once; good rows are appended to the log with
-offsets continuing the partitions' end offsets, bad rows go to a dead-letter
-folder keyed by the batch id.  The batch id is stored with the log rows, so a
-micro-batch replayed after a failure (written, not yet committed to the
-checkpoint) is recognised and not appended twice.
+Every micro-batch is parsed once and staged in the shared folder; good rows are
+appended to the log in arrival order, with offsets continuing the partitions'
+end offsets, bad rows go to a dead-letter folder keyed by stream and batch.  A
+stream is known by the id that Spark keeps in its checkpoint: several streams
+may fill one log, each with its own batch ids, and a renewed checkpoint is a
+new stream.  A micro-batch replayed after a failure is recognised by (stream,
+batch) and not appended twice.
+
+Arrival order: file modification time, file, block, place in the block.
 """
 
 from __future__ import annotations
@@ -13,21 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeline.operators.log import append_log
-from gaugeline.operators.parse import parse_records, rejects, valid
-from gaugeline.schema import DEFAULT_PARTITIONS, STRING_FIELDS
-from gaugeline.sources.csv import stream_csv
-
-# Arrival order inside a micro-batch: by content — time, device, metric, value,
-# then a 64-bit hash of the remaining fields as the tie-break.  (Identical rows
-# are interchangeable; distinct rows equal on the first four keys and on the
-# hash do not occur in practice.)  Comparing five narrow keys instead of every
-# string column keeps the numbering's range lookup and sort cheap.
-INGEST_ORDER = ["timestamp", "uuid", "metric_name", "value", "_row_hash"]
-
+from gaugeline.operators.parse import parse_records, rejects
+from gaugeline.schema import DEFAULT_PARTITIONS
+from gaugeline.session import scratch_path
+from gaugeline.sources.csv import ARRIVAL, DEFAULT_FILES_PER_TRIGGER, stream_csv
 
-def row_hash() -> "F.Column":
-    rest = [F.col(c) for c in STRING_FIELDS if c not in ("uuid", "metric_name")]
-    return F.xxhash64(*rest, F.coalesce(F.to_json("labels"), F.lit("")))
+_PLACE = "_place"
 
 
 def _trigger(writer, trigger):
@@ -38,30 +33,41 @@ def _trigger(writer, trigger):
     return writer.trigger(processingTime=trigger)
 
 
+def query_id(spark: SparkSession) -> str:
+    """Id of the streaming query that runs the current micro-batch (kept in its checkpoint)."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int,
-                 rejects_path: str | None) -> None:
-    batch = batch.persist()
-    try:
-        good = valid(batch).withColumn("_row_hash", row_hash())
-        append_log(good, log_path, n_partitions, INGEST_ORDER, batch=batch_id).collect()
-        if rejects_path:
-            (rejects(batch).withColumn("batch", F.lit(batch_id))
-             .write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}"))
-    finally:
-        batch.unpersist()
+                 rejects_path: str | None, stream: str = "") -> None:
+    spark = batch.sparkSession
+    path = scratch_path(spark, "ingest")
+    # the place of a row inside its task grows along each block that the task reads
+    batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(path)
+    staged = spark.read.parquet(path)
+    arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
+    good = staged.where(F.col("reject_reason").isNull())
+    append_log(good, log_path, n_partitions, arrival, batch=batch_id, stream=stream)
+    if rejects_path:
+        (rejects(staged).drop(_PLACE).withColumn("batch", F.lit(batch_id))
+         .write.mode("overwrite").parquet(f"{rejects_path}/stream={stream or 'none'}/batch={batch_id}"))
 
 
-def ingest_stream(spark: SparkSession, csv_dir: str, log_path: str, checkpoint: str,
+def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,
                   n_partitions: int = DEFAULT_PARTITIONS, event_time: str = "ingest",
                   trigger: str = "1 second", rejects_path: str | None = None,
-                  max_files_per_trigger: int | None = None, multi_line: bool = True) -> StreamingQuery:
-    """Start the ingest query (poll interval = ``trigger``; 'availableNow' drains and stops)."""
+                  max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER, multi_line: bool = False) -> StreamingQuery:
+    """Start the ingest query (poll interval = ``trigger``; 'availableNow' drains and stops).
+
+    ``csv_dir`` is one folder or a list of folders (several producers, one writer).  ``multi_line`` is for files whose
+    quoted cells hold line breaks; without it such rows go to the dead letters.
+    """
     raw = stream_csv(spark, csv_dir, multi_line=multi_line, max_files_per_trigger=max_files_per_trigger)
     # parse-error counter per micro-batch, reported in the query progress
     # (observedMetrics["ingest"]: rows, rejected) for rate alerts
     parsed = parse_records(raw, event_time=event_time).observe(
         "ingest", F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected"))
     w = (parsed.writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path))
+         .foreachBatch(lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession)))
          .option("checkpointLocation", checkpoint))
     return _trigger(w, trigger).start()

@@ -21,9 +21,9 @@ def records(spark, n, uuid="uuid-1", start=0):
 ORDER = ["timestamp", "value"]
 
 
-def test_same_uuid_pair_one_partition(spark, tmp_dir):
-    rep = append_log(records(spark, 2, "same-uuid"), tmp_dir, 3, ORDER).collect()
-    pid = partition_id_of("same-uuid", 3)
+def test_one_device_one_partition(spark, tmp_dir):
+    rep = append_log(records(spark, 2, "rack7-slot2"), tmp_dir, 3, ORDER).collect()
+    pid = partition_id_of("rack7-slot2", 3)
     assert [(r.partition_id, r.records, r.next_offset) for r in rep] == [(pid, 2, 2)]
     assert sorted(r.offset for r in read_log(spark, tmp_dir).collect()) == [0, 1]
 
@@ -42,8 +42,8 @@ def test_offsets_continue_and_reopen(spark, tmp_dir):
 
 @pytest.fixture()
 def log5(spark, tmp_dir):
-    append_log(records(spark, 5, "test-uuid-same"), tmp_dir, 3, ORDER).collect()
-    return read_log(spark, tmp_dir), partition_id_of("test-uuid-same", 3)
+    append_log(records(spark, 5, "rack1-slot9"), tmp_dir, 3, ORDER).collect()
+    return read_log(spark, tmp_dir), partition_id_of("rack1-slot9", 3)
 
 
 def _status(log, positions, group, m):
@@ -52,8 +52,8 @@ def _status(log, positions, group, m):
 
 def test_fetch_from_offset(spark, log5):
     log, pid = log5
-    for start, m, n_rows, nxt, more in [(2, 10, 3, 5, False), (0, 2, 2, 2, True), (4, 1, 1, 5, False),
-                                       (5, 10, 0, 5, False), (1000, 10, 0, 1000, False)]:
+    for start, m, n_rows, nxt, more in [(1, 9, 4, 5, False), (0, 3, 3, 3, True), (3, 1, 1, 4, True),
+                                       (5, 7, 0, 5, False), (64, 7, 0, 64, False)]:
         rows = consume(log, pid, start, m).collect()
         assert len(rows) == n_rows
         st = [r for r in _status(log, {"g": {pid: start}}, "g", m) if r.partition_id == pid][0]
@@ -99,22 +99,87 @@ def test_consume_is_pruned(spark, log5):
     assert any("offset" in p for p in pushed_filters(sel))
 
 
-def test_stale_marker_falls_back_to_scan(spark, tmp_dir):
-    from gaugeline.operators.log import _write_marker, log_state
-    append_log(records(spark, 4), tmp_dir, 3, ORDER).collect()
-    pid = partition_id_of("uuid-1", 3)
-    ends, _, trusted = log_state(spark, tmp_dir, 3)
-    assert trusted and ends[pid] == 4
-    _write_marker(spark, tmp_dir, {pid: 2}, None)          # as if the marker lagged the data
+def _restart():
     from gaugeline.operators import log as log_module
-    log_module._WRITTEN.clear()                              # ... seen by a restarted process
-    ends, _, trusted = log_state(spark, tmp_dir, 3)
-    assert not trusted and ends[pid] == 4
-    rep = append_log(records(spark, 2, start=10), tmp_dir, 3, ORDER).collect()
-    assert rep[0].next_offset == 6
+    log_module._WRITTEN.clear()
+
+
+def test_leftovers_of_an_unfinished_append_are_replaced(spark, tmp_dir):
+    from gaugeline.operators.log import log_state, to_log_rows
+    append_log(records(spark, 4), tmp_dir, 3, ORDER, batch=0, stream="a")
+    pid = partition_id_of("uuid-1", 3)
+    part = records(spark, 2, start=4).withColumns({"partition_id": F.lit(pid), "offset": F.col("value").cast("long")})
+    to_log_rows(part, 1).write.mode("append").partitionBy("partition_id").parquet(tmp_dir)
+    _restart()
+    assert log_state(spark, tmp_dir, 3)[0][pid] == 4
+    rep = append_log(records(spark, 5, start=4), tmp_dir, 3, ORDER, batch=1, stream="a").collect()
+    assert [(r.records, r.next_offset) for r in rep] == [(5, 9)]
+    back = read_log(spark, tmp_dir).collect()
+    assert sorted((r.offset, r.value) for r in back) == [(k, float(k)) for k in range(9)]
+
+
+def test_batches_are_counted_per_stream(spark, tmp_dir):
+    for stream, start in (("a", 0), ("b", 10)):
+        for _ in range(2):   # the second time it is a replay
+            rep = append_log(records(spark, 10, start=start), tmp_dir, 3, ORDER, batch=0, stream=stream).collect()
+            assert [(r.records, r.next_offset) for r in rep] == [(10, start + 10)]
+    assert sorted(r.value for r in read_log(spark, tmp_dir).collect()) == [float(k) for k in range(20)]
+
+
+def test_appends_of_one_process_take_turns(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+    append_log(records(spark, 1), tmp_dir, 3, ORDER)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: append_log(records(spark, 10, start=10 * k), tmp_dir, 3, ORDER), range(1, 5)))
+    got = read_log(spark, tmp_dir)
+    assert sorted(r.offset for r in got.collect()) == list(range(41)) and got.select("value").distinct().count() == 41
+
+
+def test_two_writers_cannot_both_commit(spark, tmp_dir):
+    from gaugeline.operators.commits import read_commit, write_commit
+    append_log(records(spark, 1), tmp_dir, 3, ORDER)
+    number, doc = read_commit(spark, tmp_dir)
+    with pytest.raises(Exception, match="already exists"):
+        write_commit(spark, tmp_dir, number, doc)
+
+
+def test_a_torn_commit_is_passed_over(spark, tmp_dir):
+    from gaugeline.operators.commits import read_commit
+    append_log(records(spark, 3), tmp_dir, 3, ORDER)
+    number, doc = read_commit(spark, tmp_dir)
+    with open(f"{tmp_dir}/_commit-{number + 1:012d}.json", "w") as f:
+        f.write('{"ends": {"0"')
+    assert read_commit(spark, tmp_dir) == (number + 1, doc)
+    _restart()
+    assert append_log(records(spark, 2, start=3), tmp_dir, 3, ORDER).first().next_offset == 5
+
+
+def test_a_log_without_commits_is_taken_as_it_is(spark, tmp_dir):
+    from gaugeline.operators.log import assign_offsets, to_log_rows
+    rows = to_log_rows(assign_offsets(records(spark, 4), 3, ORDER))
+    rows.write.mode("append").partitionBy("partition_id").parquet(tmp_dir)
+    assert append_log(records(spark, 2, start=4), tmp_dir, 3, ORDER).first().next_offset == 6
     assert sorted(r.offset for r in read_log(spark, tmp_dir).collect()) == list(range(6))
 
 
+def test_interrupted_position_write_keeps_the_old_ones(spark, tmp_dir):
+    import os
+    from gaugeline.operators.log import load_positions, save_positions
+    at = lambda n: spark.createDataFrame([("g", 0, n)], "group string, partition_id int, next_offset long")
+    for n in (1, 2, 3):
+        save_positions(at(n), f"{tmp_dir}/p")
+    os.makedirs(f"{tmp_dir}/p/v=3")   # begun, never finished
+    assert load_positions(spark, f"{tmp_dir}/p").first().next_offset == 3
+    save_positions(at(4), f"{tmp_dir}/p")
+    assert load_positions(spark, f"{tmp_dir}/p").first().next_offset == 4
+
+
+def test_an_idle_group_does_not_widen_the_scan():
+    from gaugeline.operators.log import merged_intervals
+    assert merged_intervals([0, 10**9, 10**9 + 50], 100) == [(0, 100), (10**9, 10**9 + 150)]
+    assert merged_intervals([0, 500, 10_000], 100, most=2) == [(0, 600), (10_000, 10_100)]
+
+
 def test_consume_groups_single_pruned_scan(spark, log5):
     from gaugeline.plans import plan_text, pushed_filters
     log, pid = log5
@@ -164,18 +229,18 @@ def test_log_times_do_not_depend_on_session_time_zone(spark, tmp_dir):
     assert str(got[0].t) == "2024-01-15 12:00:00"
 
 
-def test_failed_marker_write_is_caught_in_the_same_process(spark, tmp_dir, monkeypatch):
+def test_a_failed_commit_undoes_the_append(spark, tmp_dir, monkeypatch):
     from gaugeline.operators import log as log_module
-    append_log(records(spark, 3), tmp_dir, 3, ORDER).collect()
-    real = log_module._write_marker
+    append_log(records(spark, 3), tmp_dir, 3, ORDER)
+    real = log_module.write_commit
 
     def boom(*a, **k):
-        raise OSError("marker store unavailable")
+        raise OSError("commit store unavailable")
 
-    monkeypatch.setattr(log_module, "_write_marker", boom)
+    monkeypatch.setattr(log_module, "write_commit", boom)
     with pytest.raises(OSError):
-        append_log(records(spark, 2, start=3), tmp_dir, 3, ORDER)   # data written, marker not
-    monkeypatch.setattr(log_module, "_write_marker", real)
-    append_log(records(spark, 2, start=5), tmp_dir, 3, ORDER).collect()
-    offsets = sorted(r.offset for r in read_log(spark, tmp_dir).collect())
-    assert offsets == list(range(7))
+        append_log(records(spark, 2, start=3), tmp_dir, 3, ORDER)   # data written, not committed
+    monkeypatch.setattr(log_module, "write_commit", real)
+    append_log(records(spark, 2, start=5), tmp_dir, 3, ORDER)
+    back = sorted((r.offset, r.value) for r in read_log(spark, tmp_dir).collect())
+    assert back == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 5.0), (4, 6.0)]

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.operators.parse import parse_records
@@ -44,13 +45,74 @@ def test_ingest_restart_and_groups(spark, tmp_dir):
 def test_replayed_batches_are_not_duplicated(spark, tmp_dir):
     _csv(f"{tmp_dir}/csv", "1.csv", ROWS)
     batch = parse_records(read_csv(spark, f"{tmp_dir}/csv"), event_time="source")
-    ingest_batch(batch, 7, f"{tmp_dir}/log", 3, None)
-    ingest_batch(batch, 7, f"{tmp_dir}/log", 3, None)     # replay of the same micro-batch
+    for _ in range(2):                                     # replay of the same micro-batch
+        ingest_batch(batch, 7, f"{tmp_dir}/log", 3, None, "s")
     log = read_log(spark, f"{tmp_dir}/log")
     assert log.count() == 5
-    persist_batch(log, f"{tmp_dir}/table", 3)
-    persist_batch(log, f"{tmp_dir}/table", 3)             # replay of a consumer batch
+    for _ in range(2):                                     # replay of a consumer batch, by key and by id
+        persist_batch(log, f"{tmp_dir}/table", 3)
+        persist_batch(log, f"{tmp_dir}/other", 3, "g", 0)
     assert spark.read.parquet(f"{tmp_dir}/table").count() == 5
+    assert spark.read.parquet(f"{tmp_dir}/other").count() == 5
+
+
+def test_a_consumer_batch_that_landed_in_part_is_completed(spark, tmp_dir, monkeypatch):
+    from gaugeline.streaming import consume
+    _csv(f"{tmp_dir}/csv", "1.csv", ROWS)
+    ingest_batch(parse_records(read_csv(spark, f"{tmp_dir}/csv"), event_time="source"), 0, f"{tmp_dir}/log", 3, None, "s")
+    log, table = read_log(spark, f"{tmp_dir}/log"), f"{tmp_dir}/table"
+    real = consume.persist
+
+    def dies(df, *a, **k):
+        real(df.limit(2), *a, **k)
+        raise OSError("lost")
+
+    monkeypatch.setattr(consume, "persist", dies)
+    with pytest.raises(OSError):
+        persist_batch(log, table, 3, "g", 4)
+    monkeypatch.setattr(consume, "persist", real)
+    persist_batch(log, table, 3, "g", 4)
+    got = spark.read.parquet(table)
+    assert got.count() == 5 and got.select("partition_id", "offset").distinct().count() == 5
+
+
+def test_a_micro_batch_does_not_look_at_the_table(spark, tmp_dir, monkeypatch):
+    from gaugeline.streaming import consume
+    _csv(f"{tmp_dir}/csv", "1.csv", ROWS)
+    ingest_batch(parse_records(read_csv(spark, f"{tmp_dir}/csv"), event_time="source"), 0, f"{tmp_dir}/log", 3, None, "s")
+    looked = []
+    monkeypatch.setattr(consume, "_absent", lambda batch, path: looked.append(path) or batch)
+    for k in range(3):
+        persist_batch(read_log(spark, f"{tmp_dir}/log"), f"{tmp_dir}/table", 3, "g", k)
+    assert not looked and spark.read.parquet(f"{tmp_dir}/table").count() == 15
+
+
+def test_offsets_follow_the_lines_of_the_files(spark, tmp_dir):
+    """Values out of order and equal readings: the log keeps the order of files and lines."""
+    csv, values = f"{tmp_dir}/csv", [50, 10, 30, 20, 0, 0, 0, 40]
+    for n, part in enumerate((values[:4], values[4:])):
+        _csv(csv, f"{9 - n}.csv", [f"t,m,g,line{4 * n + k},one,m,h,c,p,n,{v}," for k, v in enumerate(part)])
+        os.utime(f"{csv}/{9 - n}.csv", (1_700_000_000 + n, 1_700_000_000 + n))
+    ingest_stream(spark, csv, f"{tmp_dir}/log", f"{tmp_dir}/ck", 3, trigger="availableNow").awaitTermination()
+    got = read_log(spark, f"{tmp_dir}/log").orderBy("offset").collect()
+    assert [(r.device, r.value) for r in got] == [(f"line{k}", float(v)) for k, v in enumerate(values)]
+
+
+def test_two_streams_fill_one_log(spark, tmp_dir):
+    for name in "ab":
+        _csv(f"{tmp_dir}/{name}", "1.csv", [f"t,m,g,{name}{k},u{k},m,h,c,p,n,{k}," for k in range(10)])
+        ingest_stream(spark, f"{tmp_dir}/{name}", f"{tmp_dir}/log", f"{tmp_dir}/ck-{name}", 3, trigger="availableNow",
+                      rejects_path=f"{tmp_dir}/rej").awaitTermination()
+    log = read_log(spark, f"{tmp_dir}/log")
+    assert sorted(r.device for r in log.collect()) == sorted(f"{n}{k}" for n in "ab" for k in range(10))
+    assert len([d for d in os.listdir(f"{tmp_dir}/rej") if d.startswith("stream=")]) == 2
+
+
+def test_several_folders_in_one_stream(spark, tmp_dir):
+    for name in "ab":
+        _csv(f"{tmp_dir}/{name}", "1.csv", ROWS)
+    ingest_stream(spark, [f"{tmp_dir}/a", f"{tmp_dir}/b"], f"{tmp_dir}/log", f"{tmp_dir}/ck", 3, trigger="availableNow").awaitTermination()
+    assert read_log(spark, f"{tmp_dir}/log").count() == 2 * len(ROWS)
 
 
 def test_processing_time_trigger_and_small_batches(spark, tmp_dir):
