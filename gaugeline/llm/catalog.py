@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm import licenses
 from gaugeline.llm.decontaminate import contaminated
 from gaugeline.llm.embedding_dedup import embedding_duplicates
 from gaugeline.llm.licenses import known_statements, scan_licenses
@@ -65,7 +66,25 @@ def op1_minhash_dedup(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80).withColumnRenamed("id", "doc_id")
 
 
-@_query("op2_source_mix")
+@_query("op2_source_mix", f"""
+WITH r AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|42|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key
+  FROM documents),
+s AS (SELECT source, sum(size) AS n FROM r GROUP BY source),
+w AS (SELECT source, n, [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS w FROM s),
+o AS (SELECT *, 3.0 * n / w AS fill, sum(n) OVER () AS total,
+             sum(3 * n) OVER (ORDER BY 3.0 * n / w, encode(source) NULLS LAST) - 3 * n AS spent,
+             sum(w) OVER () - sum(w) OVER (ORDER BY 3.0 * n / w, encode(source) NULLS LAST) + w AS open FROM w),
+level AS (SELECT arg_min((total - spent) / open, fill) AS level FROM o WHERE (total - spent) / open * w <= 3 * n),
+t AS (SELECT source, CAST(n AS BIGINT) AS source_size, CAST(least(3.0 * n, level * w) AS DOUBLE) AS target FROM o, level),
+p AS (SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+             sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(budget // greatest(source_size, 1) * size
+            + least(greatest(budget - budget // greatest(source_size, 1) * source_size - start, 0), size) AS BIGINT) AS taken
+FROM p""")
 def op2_source_mix(spark, sf_dir):
     return (mix(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
             .select("doc_id", "size", "source_size", "target", "taken"))
@@ -93,7 +112,30 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-@_query("op3_license_scan")
+def _canonical_sql(text: str) -> str:
+    """The canonical form of a licence text, in SQL."""
+    t = f"regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')"
+    t = f"('  ' || {t} || '  ')"
+    for written, read in licenses.EQUIVALENT.items():
+        t = f"replace({t}, ' {written.replace(' ', '  ')} ', ' {read.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.statement_rows())
+
+
+@_query("op3_license_scan", f"""
+WITH known AS (SELECT c, min(license) AS license FROM (SELECT license, {_canonical_sql('text')} AS c FROM (VALUES {_KNOWN}) k(license, text)) x
+               WHERE c <> '' GROUP BY c),
+whole AS (SELECT doc_id, row_number() OVER () AS rid, {_canonical_sql("coalesce(text, '')")} AS c, text FROM documents),
+part AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM whole),
+lines AS (SELECT rid, {_canonical_sql('line')} AS c FROM part),
+stated AS (SELECT rid, license FROM lines JOIN known USING (c)),
+found AS (SELECT rid, license FROM stated UNION SELECT rid, license FROM whole JOIN known USING (c)),
+names AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS licenses FROM found GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM stated GROUP BY rid)
+SELECT doc_id, sha256(whole.c) AS digest, known.license AS whole_license, coalesce(n.n, 0) AS n_statements, coalesce(names.licenses, '') AS licenses
+FROM whole LEFT JOIN known USING (c) LEFT JOIN names USING (rid) LEFT JOIN n USING (rid)""")
 def op3_license_scan(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents"), known_statements(spark)).withColumnRenamed("id", "doc_id")
 

@@ -22,7 +22,7 @@ EQUIVALENT = {
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "percent": "per cent",
     "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
     "signalling": "signaling", "sub license": "sublicense", "utilisation": "utilization", "whilst": "while",
-    "wilful": "wilfull", "merchantability": "merchantability",
+    "wilful": "wilfull",
 }
 
 #: SPDX identifiers and the names under which statements refer to them.
@@ -46,7 +46,7 @@ STATEMENTS = ["{}", "Licensed under {}", "Licensed under the {}", "Released unde
               "Available under the {}", "This work is licensed under the {}", "This work is licensed under {}",
               "This project is licensed under the {}", "This software is licensed under the {}", "SPDX-License-Identifier: {id}"]
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\n(©]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\n(©]*(?:copyright |\(c\)|©|all rights reserved)[^\n]*$"
 #: Known digests that may be broadcast (32 bytes and a name each); beyond it the join is left to Spark.
 BROADCAST_ROWS = 100_000
 
@@ -55,22 +55,25 @@ def canonical(text: Column) -> Column:
     """The canonical form of a licence text ('' if nothing but copyright lines and punctuation is left)."""
     t = F.lower(text)
     t = F.when(t.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    spelled = t
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  ")
+    # every word now has spaces of its own on both sides: words and phrases are replaced as they stand
+    t = F.concat(F.lit("  "), t, F.lit("  "))
     for written, read in EQUIVALENT.items():
-        if written != read:
-            spelled = F.regexp_replace(spelled, rf"(?<![\p{{L}}\p{{N}}]){written}(?![\p{{L}}\p{{N}}])", read)
-    return F.when(t.rlike("|".join(EQUIVALENT)), spelled).otherwise(t)
+        t = F.replace(t, F.lit(f" {written.replace(' ', '  ')} "), F.lit(f" {read.replace(' ', '  ')} "))
+    return F.trim(F.regexp_replace(t, " +", " "))
 
 
 def canonical_digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def statement_rows() -> list[tuple[str, str]]:
+    return sorted({(spdx, s.format(name, id=spdx)) for spdx, names in NAMES.items() for name in names for s in STATEMENTS})
+
+
 def known_statements(spark) -> DataFrame:
     """``license, text`` of the statements above, made by rule."""
-    rows = [(spdx, s.format(name, id=spdx)) for spdx, names in NAMES.items() for name in names for s in STATEMENTS]
-    return spark.createDataFrame(sorted(set(rows)), "license string, text string")
+    return spark.createDataFrame(statement_rows(), "license string, text string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",

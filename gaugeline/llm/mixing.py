@@ -1,6 +1,6 @@
 """Mixing sources to target weights with distributed prefix sums; DataFrame functions only.
 
-Every row gets a hash-random key.  Inside a source, rows are ordered by that key.  The key's high bits cut each source
+Every row gets a hash-random key: the first KEY_BITS of an MD5.  Inside a source, rows are ordered by that key.  The key's high bits cut each source
 into slots; as the keys are uniform, a slot holds about SLOT_ROWS rows however large its source is, so a source with a
 third of all rows is as parallel as the others.  A row's prefix sum is the sum of the earlier slots of its source (one
 row per slot) plus the running sum inside its slot.  A source's budget is its target: whole epochs while it lasts,
@@ -21,6 +21,7 @@ MAX_EPOCHS = 3
 #: Rows of one slot, about; slots are powers of two.
 SLOT_ROWS = 16_384
 MAX_SLOT_BITS = 30
+KEY_BITS = 60
 
 
 def n_words(text: Column) -> Column:
@@ -28,6 +29,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def random_key(id_: Column, text: Column, seed: int) -> Column:
+    """A key that hangs on the id, the text and the seed only, uniform over KEY_BITS bits."""
+    none = F.lit("")
+    said = F.concat_ws("|", F.coalesce(id_.cast("string"), none), F.lit(str(seed)), F.md5(F.coalesce(text, none).cast("binary")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``; one row per source.
 
@@ -65,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = cut(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-                           n_words(text).alias("size"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(seed)).alias("key")), "sizes")
+                           n_words(text).alias("size"), random_key(F.col(f"`{id_col}`").cast("long"), text, seed).alias("key")), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(totals.select("source", "source_size"), weights, max_epochs)
     # one row per source
@@ -75,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.least(F.greatest(F.ceil(F.log2(F.col("n") / slot_rows)), F.lit(0)), F.lit(MAX_SLOT_BITS)).cast("int").alias("bits")), "plan")
     named = plan.select(F.col("source").alias("name"), "source_size", "target", "budget", "bits")
     keyed = (rows.join(named, F.expr("source <=> name")).drop("name")
-             .withColumn("slot", F.expr("shiftrightunsigned(key, 63 - bits) >> 1")))
+             .withColumn("slot", F.expr(f"shiftright(key, {KEY_BITS} - bits)")))
     slots = keyed.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     before = (slots.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("slot")
                                                               .rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
