@@ -6,7 +6,8 @@ later link sees are out-of-fold predictions, so they are as honest as those it m
 
 Features.  Words are runs of letters and digits, A-Z in lower case.  A word gives itself, its first 3 to 6 bytes and its
 last 4 and 5: word families with a common stem count as one.  Document frequencies of all features over the
-training rows are counted in Spark; the FEATURES most telling ones (likelihood ratio) stay.
+training rows are counted in Spark; the FEATURES most telling ones (likelihood ratio) stay, of those beyond what
+chance gives among so many candidates (a ratio of 2 log of their number).
 
 Fitting uses TRAIN_ROWS labelled rows at most, chosen by a hash of the id; scoring reads every document whole.
 """
@@ -28,8 +29,6 @@ CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
 #: Bound of the labelled rows that the models are fitted on.
 TRAIN_ROWS = 20_000
 FEATURES, MIN_DOCS, FOLDS, L2, THRESHOLD, MAX_FEATURE_BYTES = 256, 5, 4, 0.05, 0.5, 32
-#: A feature is kept only if its likelihood ratio is beyond chance among a million features.
-MIN_RATIO = 30.0
 
 _LETTERS = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(128)) + bytes(range(128, 256))
 _COUNTED = pa.schema([("feature", pa.binary()), ("n", pa.int64()), ("pos", pa.int64())])
@@ -163,10 +162,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     part = lambda k, of, r: F.when(k > 0, k * F.log(k / (of * r))).otherwise(0.0)
     ratio = 2 * (part(a, float(pos), rate) + part(b, m, rate) + part(pos - a, float(pos), 1 - rate) + part(m - b, m, 1 - rate))
     odds = F.log((a + 0.5) / (float(pos) + 1)) - F.log((b + 0.5) / (m + 1))
-    chosen = (rows.select("text", "toxic").mapInArrow(_count, "feature binary, n long, pos long")
-              .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-              .where((F.col("n") >= MIN_DOCS) & (F.col("n") < n)).withColumn("ratio", ratio).withColumn("odds", odds)
-              .where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect())
+    counted = cut(rows.select("text", "toxic").mapInArrow(_count, "feature binary, n long, pos long")
+                  .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+                  .where((F.col("n") >= MIN_DOCS) & (F.col("n") < n)), "features")
+    chosen = (counted.withColumn("ratio", ratio).withColumn("odds", odds)
+              .where(F.col("ratio") >= 2 * float(np.log(max(counted.count(), 2)))).orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect())
     names, weight = [bytes(r.feature) for r in chosen], np.array([r.odds for r in chosen], float)
     found = (rows.mapInArrow(_vectors(_Vectorizer(names)), "id long, toxic int, quality int, at array<int>, n array<int>")
              .orderBy("id").limit(2 * train_rows).collect())

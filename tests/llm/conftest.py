@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 #: Documents with everything that is odd: NULLs in any column, empty and long texts, repeated rows, clashing extra columns.
 EXTRA = ["id", "key", "n", "a", "b", "component", "row", "rid", "base", "spans", "score", "stats", "label", "digest", "word", "win",
-         "slot", "name", "toxic", "t", "item", "v", "__kept"]
+         "slot", "name", "toxic", "t", "item", "v", "kept_id", "turn", "found_id", "TURN_"]
 
 
 def document_schema():

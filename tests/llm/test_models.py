@@ -117,10 +117,10 @@ def test_quality_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity(docs, labels.where("doc_id % 3 <> 0")).withColumnRenamed("toxic", "said").join(labels, F.col("id") == F.col("doc_id")).where("doc_id % 3 = 0").collect()
     assert sum(r.said for r in scored if not r.toxic) == 0
-    assert sum(r.said for r in scored if r.toxic) >= 0.8 * sum(r.toxic for r in scored)
+    assert sum(r.said for r in scored if r.toxic) >= 0.85 * sum(r.toxic for r in scored)
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
