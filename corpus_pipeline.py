@@ -19,6 +19,14 @@ from gaugeline.llm.secrets import find_secrets, redact
 from gaugeline.llm.toxicity import THRESHOLD, fit_toxicity, score_column
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labels, doesn't call toxic."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,18 +36,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five-word shingles, similarity 0.8): the one with the smallest id; of rows that repeat
     an id, the one with the least text."""
-    kept = common.cut(near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("__kept")).distinct(), "kept")
+    key, turn = _fresh(docs, "kept_id"), _fresh(docs, "turn")
+    kept = common.cut(near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias(key)).distinct(), "kept")
     first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    named = (docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-             .withColumn("__turn", F.row_number().over(first)).where("__turn = 1").drop("__turn"))
+    named = (docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(key), "left_semi")
+             .withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn))
     return named.unionAll(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = common.cut(found.select(F.col("id").alias("__found")).distinct(), "contaminated")
-    return docs.join(ids, F.col("doc_id") == F.col("__found"), "left_anti")
+    key = _fresh(docs, "found_id")
+    ids = common.cut(found.select(F.col("id").alias(key)).distinct(), "contaminated")
+    return docs.join(ids, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
