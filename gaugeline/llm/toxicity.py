@@ -112,16 +112,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """L2 logistic regression by Newton steps; equal rows are summed first (most rows hold no feature at all)."""
-    x, at = np.unique(x, axis=0, return_inverse=True)
-    n = np.bincount(at.ravel(), minlength=len(x)).astype(float)
-    pos = np.bincount(at.ravel(), weights=y, minlength=len(x))
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """L2 logistic regression by Newton steps; row k stands for n[k] training rows."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], L2)
     ridge[-1] = 1e-3
     for _ in range(25):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (pos - n * p) - ridge * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * w)
         w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-4:
             break
@@ -170,18 +167,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     names, weight = [bytes(r.feature) for r in chosen], np.array([r.odds for r in chosen], float)
     found = (rows.mapInArrow(_vectors(_Vectorizer(names)), "id long, toxic int, quality int, at array<int>, n array<int>")
              .orderBy("id").limit(2 * train_rows).collect())
-    x = _dense([dict(zip(r["at"], r["n"], strict=True)) for r in found], weight)
-    toxic, good = np.array([r.toxic for r in found]), np.array([r.quality for r in found])
+    # equal rows of a fold are one row with a weight: most rows hold no feature at all
+    rows = Counter((tuple(sorted(zip(r["at"], r["n"], strict=True))), r.toxic, r.quality, k % FOLDS) for k, r in enumerate(found))
+    x, n = _dense([dict(r[0]) for r in rows], weight), np.array(list(rows.values()), float)
+    toxic, good, fold = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
     target = {"toxic_prose": toxic * good, "toxic_junk": toxic * (1 - good), "toxic": toxic}
-    fold = np.arange(len(found)) % FOLDS
-    links, p = [], np.zeros((len(found), 0))
+    links, p = [], np.zeros((len(rows), 0))
     for name in CATEGORIES:
         y, own = target[name].astype(float), np.column_stack([p, x])
-        out = np.zeros(len(found))
+        out = np.zeros(len(rows))
         for k in range(FOLDS):
             if (fold == k).any():
-                out[fold == k] = sigmoid(own[fold == k] @ _logistic(own[fold != k], y[fold != k]))
-        links.append(_logistic(own, y))
+                out[fold == k] = sigmoid(own[fold == k] @ _logistic(own[fold != k], y[fold != k], n[fold != k]))
+        links.append(_logistic(own, y, n))
         p = np.column_stack([p, out])
     return ToxicityModel(names, weight, links)
 
