@@ -18,9 +18,3 @@ def is_strict_float(text) -> Column:
     v = t.try_cast("double")
     ok = t.rlike(FLOAT_PATTERN) & v.isNotNull() & (F.abs(v) < F.lit(float("inf")))
     return F.coalesce(ok, F.lit(False))
-
-
-def parse_value(text) -> Column:
-    """double, or NULL when the text is not a finite decimal number."""
-    t = _c(text)
-    return F.when(is_strict_float(t), t.try_cast("double"))

@@ -25,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder, if it is there."""
+    fs, hpath = file_system(spark, path)
+    fs.delete(hpath, True)
+
+
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
     fs, hpath = file_system(spark, f"{folder}/{_PREFIX}*.json")
     found = fs.globStatus(hpath) or []

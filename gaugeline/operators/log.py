@@ -23,11 +23,12 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeline.functions.timeparse import utc_instant
-from gaugeline.operators.commits import exists, file_system, read_commit, write_commit
+from gaugeline.operators.commits import exists, file_system, read_commit, remove, write_commit
 from gaugeline.operators.numbering import number_rows
 from gaugeline.operators.partitioning import with_partition
 from gaugeline.operators.query import order_key
 from gaugeline.schema import DEFAULT_MAX_RECORDS, DEFAULT_PARTITIONS, LOG_SCHEMA
+from gaugeline.session import scratch_path
 from gaugeline.sources.log import read_log
 
 POSITIONS_SCHEMA = "group string, partition_id int, next_offset long"
@@ -50,7 +51,7 @@ def end_offsets(log: DataFrame, n_partitions: int = DEFAULT_PARTITIONS) -> DataF
 
 
 def assign_offsets(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS, order_cols=None,
-                   base: DataFrame | None = None, num_ranges: int | None = None) -> DataFrame:
+                   base: DataFrame | None = None, num_ranges: int | None = None, scratch: str | None = None) -> DataFrame:
     """ST1: ``partition_id`` + consecutive ``offset`` per partition in arrival order.
 
     ``order_cols`` is the arrival order (must be total); ``base`` holds the
@@ -67,7 +68,8 @@ def assign_offsets(df: DataFrame, n_partitions: int = DEFAULT_PARTITIONS, order_
     else:
         p = p.withColumn("_base", F.lit(0).cast("long"))
         start = F.col("_base")
-    out = number_rows(p, ["partition_id"], order, out_col="offset", num_ranges=num_ranges, start=start)
+    out = number_rows(p, ["partition_id"], order, out_col="offset", num_ranges=num_ranges, start=start,
+                      scratch=scratch)
     return out.drop("_base")
 
 
@@ -120,8 +122,7 @@ def _remove_leftovers(spark: SparkSession, path: str, ends: dict, n_partitions:
     """
     left = read_log(spark, path).where(_beyond(ends, n_partitions)).select(F.input_file_name()).distinct().collect()
     for r in left:   # the files of one append; their names come URI-encoded
-        fs, hpath = file_system(spark, unquote(r[0]))
-        fs.delete(hpath, False)
+        remove(spark, unquote(r[0]))
 
 
 def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS, order_cols=None,
@@ -146,16 +147,20 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
             write_commit(spark, path, number, {"ends": {str(k): v for k, v in ends.items()}, "streams": streams})
         p = df if "partition_id" in df.columns else with_partition(df, n_partitions)
         base = spark.createDataFrame([(k, int(v)) for k, v in ends.items()], "partition_id int, next_offset long")
-        logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges)
-        counts = {r.partition_id: r.n for r in
-                  logged.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
-        report = [[k, int(v), int(ends.get(k, 0) + v)] for k, v in sorted(counts.items())]
-        if not counts:
-            return _report_rows(spark, report)
-        _WRITTEN.pop(app, None)   # a failure in between is caught by the probe
-        (to_log_rows(logged, batch).sortWithinPartitions("partition_id", "offset")
-         .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
-         .partitionBy("partition_id").parquet(path))
+        scratch = scratch_path(spark, "append")
+        try:
+            logged = assign_offsets(p, n_partitions, order_cols, base, num_ranges, scratch)
+            counts = {r.partition_id: r.n for r in
+                      logged.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= n rows
+            report = [[k, int(v), int(ends.get(k, 0) + v)] for k, v in sorted(counts.items())]
+            if not counts:
+                return _report_rows(spark, report)
+            _WRITTEN.pop(app, None)   # a failure in between is caught by the probe
+            (to_log_rows(logged, batch).sortWithinPartitions("partition_id", "offset")
+             .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
+             .partitionBy("partition_id").parquet(path))
+        finally:
+            remove(spark, scratch)
         ends = {**ends, **{k: after for k, _, after in report}}
         if batch is not None:
             streams = {**streams, stream: {"batch": batch, "report": report}}
@@ -324,8 +329,7 @@ def save_positions(positions: DataFrame, path: str) -> None:
     number = old[-1] + 1 if old else 0
     positions.coalesce(1).write.mode("overwrite").parquet(f"{path}/v={number}")   # groups x partitions rows
     for v in old[:-1]:
-        fs, hpath = file_system(spark, f"{path}/v={v}")
-        fs.delete(hpath, True)
+        remove(spark, f"{path}/v={v}")
 
 
 def load_positions(spark: SparkSession, path: str) -> DataFrame:

@@ -24,16 +24,17 @@ _RANGE, _GK, _LOCAL, _BEFORE, _N = "_nr_range", "_nr_gk", "_nr_local", "_nr_befo
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "rn",
-                num_ranges: int | None = None, start: Column | int = 1) -> DataFrame:
+                num_ranges: int | None = None, start: Column | int = 1, scratch: str | None = None) -> DataFrame:
     """Append ``out_col`` = start + 0-based rank of the row in its group under ``order_cols``.
 
     ``start`` may be a Column already on the row (e.g. a per-group base offset).  There are ``num_ranges`` ranges,
-    by default spark.sql.shuffle.partitions.  The ranged rows are written to the shared scratch folder now (one job).
+    by default spark.sql.shuffle.partitions.  The ranged rows are written now (one job): to ``scratch``, which the
+    caller may delete when the result is no longer read, or to a new folder of the shared scratch space.
     """
     spark = df.sparkSession
     group_cols, order_cols = list(group_cols), list(order_cols)
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "numbering")
+    path = scratch or scratch_path(spark, "numbering")
     ranged = df.repartitionByRange(n, *group_cols, *order_cols).withColumn(_RANGE, F.spark_partition_id())
     ranged.write.parquet(path)
     gk = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugeline.operators.commits import remove
 from gaugeline.operators.log import append_log
 from gaugeline.operators.parse import parse_records, rejects
 from gaugeline.schema import DEFAULT_PARTITIONS
@@ -42,15 +43,18 @@ def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: i
                  rejects_path: str | None, stream: str = "") -> None:
     spark = batch.sparkSession
     path = scratch_path(spark, "ingest")
-    # the place of a row inside its task grows along each block that the task reads
-    batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(path)
-    staged = spark.read.parquet(path)
-    arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
-    good = staged.where(F.col("reject_reason").isNull())
-    append_log(good, log_path, n_partitions, arrival, batch=batch_id, stream=stream)
-    if rejects_path:
-        (rejects(staged).drop(_PLACE).withColumn("batch", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{rejects_path}/stream={stream or 'none'}/batch={batch_id}"))
+    try:
+        # the place of a row inside its task grows along each block that the task reads
+        batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(path)
+        staged = spark.read.parquet(path)
+        arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
+        good = staged.where(F.col("reject_reason").isNull())
+        append_log(good, log_path, n_partitions, arrival, batch=batch_id, stream=stream)
+        if rejects_path:
+            (rejects(staged).drop(_PLACE).withColumn("batch", F.lit(batch_id))
+             .write.mode("overwrite").parquet(f"{rejects_path}/stream={stream or 'none'}/batch={batch_id}"))
+    finally:
+        remove(spark, path)   # a micro-batch leaves nothing behind in the scratch space
 
 
 def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,

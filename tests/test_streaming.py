@@ -134,3 +134,12 @@ def test_processing_time_trigger_and_small_batches(spark, tmp_dir):
     per_part = got.groupBy("partition_id").agg(F.count("*").alias("n"), F.max("offset").alias("mx"),
                                                F.countDistinct("batch").alias("b")).collect()
     assert all(r.mx == r.n - 1 for r in per_part)
+
+
+def test_micro_batches_leave_no_scratch(spark, tmp_dir):
+    from gaugeline.session import shared_dir
+    scratch = os.path.join(shared_dir(spark), "gaugeline")
+    _csv(f"{tmp_dir}/csv", "1.csv", ROWS)
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    ingest_stream(spark, f"{tmp_dir}/csv", f"{tmp_dir}/log", f"{tmp_dir}/ck", 3, trigger="availableNow").awaitTermination()
+    assert set(os.listdir(scratch)) == before
