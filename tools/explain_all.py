@@ -1,4 +1,4 @@
-"""Write PLANS.md: the physical-plan facts of every registered query.
+"""Write PLANS.md: the physical-plan facts of every registered telemetry query.
 
 For each query: shuffles (with their partitioning), broadcasts, what reached the
 Parquet scans (partition filters, pushed filters, read schema) and whether any
@@ -36,12 +36,12 @@ def facts(text: str) -> dict:
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from gaugeline import catalog
     spark = get_spark("local[8]", shuffle_partitions=8)
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python tools/explain_all.py {sf_dir}` (Spark {spark.version}, AQE initial plans;"
           " at run time AQE may turn small shuffle joins into broadcasts and coalesce partitions).\n")
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         df = fn(spark, sf_dir)
         text = plan_text(df)
         f = facts(text)
