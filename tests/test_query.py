@@ -8,8 +8,7 @@ from gaugeline.plans import partition_filters, pushed_filters
 from gaugeline.sources.adapters import events_as_telemetry
 from tests.conftest import SF001
 
-SAMPLE = ("gpu_utilization", "0", "/dev/nvidia0", "GPU-0aba4c65-be7d-8418-977a-c950c14b989a", "A100",
-          "node-1", "container-1", "pod-1", "default", 85.5, {"key": "value"})
+SAMPLE = ("sm_clock", "3", "nv3", "dev-3c41", "H20", "rack3.lan", "box-3", "pod-3", "lab", 61.5, {"slot": "a"})
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +43,7 @@ def test_found_page_and_meta(table):
     rows, meta = query.telemetry_by_uuid(table, SAMPLE[3], page=2, page_size=20)
     got = rows.collect()
     assert len(got) == 20 and got[0].timestamp.second == 20
-    assert got[0].labels == {"key": "value"}
+    assert got[0].labels == SAMPLE[10]
     m = meta.collect()[0]
     assert (m.page, m.page_size, m.total, m.total_pages, m.found) == (2, 20, 50, 3, True)
 
