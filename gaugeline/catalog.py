@@ -260,8 +260,8 @@ def csv_line_col():
     """One CSV source line per event; some rows are made odd on purpose, by content:
     value < 2 -> only 5 cells; error with value in [2,4) -> 'invalid'; view with value in [2,5) -> '1e400' (overflow);
     value > 470 -> leading space; value in [6,9) -> a time cell that is no time; value in [10,12) -> a 13th cell, quoted, long
-    and full of doubled quotes and commas; value in [12,14) -> a long blank label piece.  The device cell holds the
-    event id: the line's number."""
+    and full of doubled quotes and commas; value in [12,14) -> a long blank label piece; value in [14,16) -> a line break
+    inside the quoted label cell.  The device cell holds the event id: the line's number."""
     v = F.col("value")
     vtxt = (F.when((F.col("event_type") == "error") & (v >= 2) & (v < 4), F.lit("invalid"))
             .when((F.col("event_type") == "view") & (v >= 2) & (v < 5), F.lit("1e400"))
@@ -269,7 +269,8 @@ def csv_line_col():
             .otherwise(v.cast("string")))
     k = F.get_json_object(F.col("props"), "$.k")
     blank = F.when((v >= 12) & (v < 14), F.concat(F.lit(","), F.repeat(F.lit(" "), F.lit(2000)))).otherwise("")
-    labels = F.concat(F.lit('"k=""'), k, F.lit('"",type='), F.col("event_type"), blank, F.lit('"'))
+    broken = F.when((v >= 14) & (v < 16), F.lit("\n")).otherwise("")
+    labels = F.concat(F.lit('"k=""'), k, F.lit('"",'), broken, F.lit("type="), F.col("event_type"), blank, F.lit('"'))
     extra = F.when((v >= 10) & (v < 12), F.concat(F.lit(',"'), F.repeat(F.lit('x"",'), F.lit(1000)), F.lit('"'))).otherwise("")
     uid = F.col("user_id").cast("string")
     uuid = F.concat(F.lit("GPU-"), uid)

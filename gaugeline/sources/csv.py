@@ -47,19 +47,28 @@ def read_csv(spark: SparkSession, path, multi_line: bool | str = True) -> DataFr
     return with_source_file(df)
 
 
-def _read_csv_auto(spark: SparkSession, path) -> DataFrame:
+def files_to_read_whole(spark: SparkSession, path) -> list[str]:
+    """URI-encoded names of the files holding a line with an odd number of quote characters."""
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value")
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     odd = text.where(quotes % 2 == 1).select("f").distinct()
     # file names only; the driver lists every file of a scan anyway
-    whole = [r.f for r in odd.collect()]
+    return [r.f for r in odd.collect()]
+
+
+def without_files(df: DataFrame, files: list[str]) -> DataFrame:
+    """The rows that don't come from ``files``."""
+    names = df.sparkSession.createDataFrame([(f,) for f in files], "source_file string")
+    return df.join(names, "source_file", "left_anti").select(*df.columns)
+
+
+def _read_csv_auto(spark: SparkSession, path) -> DataFrame:
+    whole = files_to_read_whole(spark, path)
     split = read_csv(spark, path, False)
     if not whole:
         return split
-    names = spark.createDataFrame([(f,) for f in whole], "source_file string")
     # the metadata column holds URI-encoded names, the reader takes plain ones
-    return (split.join(names, "source_file", "left_anti").select(*split.columns)
-            .unionByName(read_csv(spark, [unquote(f) for f in whole], True)))
+    return without_files(split, whole).unionByName(read_csv(spark, [unquote(f) for f in whole], True))
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
@@ -71,12 +80,25 @@ def with_source_file(df: DataFrame) -> DataFrame:
 ARRIVAL = ["source_time", "source_file", "source_block"]
 
 
-def stream_csv(spark: SparkSession, path, multi_line: bool = False,
+def with_arrival(df: DataFrame) -> DataFrame:
+    """Add the rest of ARRIVAL to rows that have their source file."""
+    return df.withColumns({"source_time": F.col("_metadata.file_modification_time"),
+                           "source_block": F.col("_metadata.file_block_start")})
+
+
+def read_whole_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The rows of ``stream_csv`` for files (URI-encoded names) that are read whole by one task each."""
+    r = spark.read.schema(CSV_SCHEMA).options(**CSV_OPTIONS).option("multiLine", "true")
+    return with_arrival(with_source_file(r.csv([unquote(f) for f in files])))
+
+
+def stream_csv(spark: SparkSession, path, multi_line: bool = True,
                max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
     """Continuous source: every new file in ``path`` (one folder or several) is read once.
 
-    A micro-batch takes ``max_files_per_trigger`` files of each folder at most (None: all there are).  Files are split across
-    tasks; ``multi_line=True`` is for files with line breaks inside quoted cells, which are then one task each.
+    A micro-batch takes ``max_files_per_trigger`` files of each folder at most (None: all there are).  ``multi_line=True``
+    honours line breaks inside quoted cells; each file is one task then.  ``False`` splits files across tasks and cuts such
+    rows into fragments (``streaming.ingest`` puts the files that hold any right).
     """
     r = (spark.readStream.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
          .option("multiLine", str(multi_line).lower()))
@@ -84,8 +106,7 @@ def stream_csv(spark: SparkSession, path, multi_line: bool = False,
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     folders = [path] if isinstance(path, str) else list(path)
     return reduce(DataFrame.unionAll, [
-        with_source_file(r.csv(f)).withColumns({"source_time": F.col("_metadata.file_modification_time"),
-                                                "source_block": F.col("_metadata.file_block_start")}) for f in folders])
+        with_arrival(with_source_file(r.csv(f))) for f in folders])
 
 
 def csv_lines(df: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:

@@ -9,10 +9,17 @@ new stream.  A micro-batch replayed after a failure is recognised by (stream,
 batch) and not appended twice.
 
 Arrival order: file modification time, file, block, place in the block.
+
+Line breaks inside quoted cells: the stream splits files across tasks, which cuts such rows.  Inside the micro-batch one
+splittable text pass finds the files that may hold any (a line with an odd number of quotes); their rows are replaced
+by those of the same files read whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +28,8 @@ from gaugeline.operators.log import append_log
 from gaugeline.operators.parse import parse_records, rejects
 from gaugeline.schema import DEFAULT_PARTITIONS
 from gaugeline.session import scratch_path
-from gaugeline.sources.csv import ARRIVAL, DEFAULT_FILES_PER_TRIGGER, stream_csv
+from gaugeline.sources.csv import (ARRIVAL, DEFAULT_FILES_PER_TRIGGER, files_to_read_whole, read_whole_files, stream_csv,
+                                   without_files)
 
 _PLACE = "_place"
 
@@ -40,13 +48,22 @@ def query_id(spark: SparkSession) -> str:
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int,
-                 rejects_path: str | None, stream: str = "") -> None:
+                 rejects_path: str | None, stream: str = "",
+                 whole: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Append one micro-batch.  ``whole`` parses files read whole, if the batch comes from files split across tasks."""
     spark = batch.sparkSession
     path = scratch_path(spark, "ingest")
     try:
         # the place of a row inside its task grows along each block that the task reads
-        batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(path)
-        staged = spark.read.parquet(path)
+        batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(f"{path}/split")
+        staged = spark.read.parquet(f"{path}/split")
+        # names of one micro-batch only (max_files_per_trigger)
+        files = [r.source_file for r in staged.select("source_file").distinct().collect()] if whole else []
+        cut = files_to_read_whole(spark, [unquote(f) for f in files]) if files else []
+        if cut:
+            (whole(read_whole_files(spark, cut)).withColumn(_PLACE, F.monotonically_increasing_id())
+             .write.parquet(f"{path}/whole"))
+            staged = without_files(staged, cut).unionByName(spark.read.parquet(f"{path}/whole"))
         arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
         good = staged.where(F.col("reject_reason").isNull())
         append_log(good, log_path, n_partitions, arrival, batch=batch_id, stream=stream)
@@ -60,18 +77,21 @@ def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: i
 def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,
                   n_partitions: int = DEFAULT_PARTITIONS, event_time: str = "ingest",
                   trigger: str = "1 second", rejects_path: str | None = None,
-                  max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER, multi_line: bool = False) -> StreamingQuery:
+                  max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER, multi_line: bool | str = "auto") -> StreamingQuery:
     """Start the ingest query (poll interval = ``trigger``; 'availableNow' drains and stops).
 
-    ``csv_dir`` is one folder or a list of folders (several producers, one writer).  ``multi_line`` is for files whose
-    quoted cells hold line breaks; without it such rows go to the dead letters.
+    ``csv_dir`` is one folder or a list of folders (several producers, one writer).  ``multi_line="auto"`` splits files
+    across tasks, and reads those again, whole, whose quoted cells may hold line breaks; ``True`` reads every file whole;
+    ``False`` splits every file (cells must not contain line breaks).
     """
-    raw = stream_csv(spark, csv_dir, multi_line=multi_line, max_files_per_trigger=max_files_per_trigger)
+    raw = stream_csv(spark, csv_dir, multi_line=multi_line is True, max_files_per_trigger=max_files_per_trigger)
+    whole = (lambda rows: parse_records(rows, event_time=event_time)) if multi_line == "auto" else None
     # parse-error counter per micro-batch, reported in the query progress
-    # (observedMetrics["ingest"]: rows, rejected) for rate alerts
+    # (observedMetrics["ingest"]: rows, rejected) for rate alerts; it counts before files are read again, so a row with
+    # line breaks counts as its fragments
     parsed = parse_records(raw, event_time=event_time).observe(
         "ingest", F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected"))
     w = (parsed.writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession)))
+         .foreachBatch(lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), whole))
          .option("checkpointLocation", checkpoint))
     return _trigger(w, trigger).start()

@@ -143,3 +143,15 @@ def test_micro_batches_leave_no_scratch(spark, tmp_dir):
     before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
     ingest_stream(spark, f"{tmp_dir}/csv", f"{tmp_dir}/log", f"{tmp_dir}/ck", 3, trigger="availableNow").awaitTermination()
     assert set(os.listdir(scratch)) == before
+
+
+def test_a_line_break_in_a_quoted_cell_is_one_record(spark, tmp_dir):
+    """By default, with a break in the last cell and in a middle one, beside a file without any."""
+    _csv(f"{tmp_dir}/csv", "a b.csv", ['t,m,g,d0,u0,m,h,c,p,n,1,"k=""a"",\ntype=x"', 't,m,g,"d\n1",u1,m,h,c,p,n,2,', "t,m,g,d2,u2,m,h,c,p,n,3,"])
+    _csv(f"{tmp_dir}/csv", "plain.csv", ["t,m,g,d3,u3,m,h,c,p,n,4,", "t,x,g,d,uuid-9,m,h,c,p,n,oops,"])
+    ingest_stream(spark, f"{tmp_dir}/csv", f"{tmp_dir}/log", f"{tmp_dir}/ck", 1, trigger="availableNow",
+                  rejects_path=f"{tmp_dir}/rej").awaitTermination()
+    got = {r.uuid: (r.device, r.value, r.labels) for r in read_log(spark, f"{tmp_dir}/log").collect()}
+    assert got == {"u0": ("d0", 1.0, {"k": "a", "type": "x"}), "u1": ("d\n1", 2.0, None), "u2": ("d2", 3.0, None), "u3": ("d3", 4.0, None)}
+    assert read_log(spark, f"{tmp_dir}/log").count() == 4
+    assert [r.uuid for r in spark.read.parquet(f"{tmp_dir}/rej").collect()] == ["uuid-9"]
