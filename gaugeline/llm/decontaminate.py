@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,32 +97,39 @@ def _search(index, size: int):
 
 
 def _shingles(size: int):
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())])
+    """Shingles of each text; ``key`` tells texts of one id apart (by their sets)."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingle_set(words(t), size) for t in part.column("text").to_pylist()]
             ids = np.repeat(np.arange(part.num_rows), [len(h) for h in sets])
-            yield record_batch(schema, part.column("id").take(pa.array(ids)),
+            keys = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield record_batch(schema, part.column("id").take(pa.array(ids)), keys[ids],
                                np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))
     return run
 
 
 def _search_by_join(docs: DataFrame, items: DataFrame, size: int, percent: int) -> DataFrame:
-    """The same search with the items too large to broadcast: joins on the shingle hash, sketches first."""
+    """The same search with the items too large to broadcast: joins on the shingle hash, sketches first.
+
+    Each pair of texts is counted by itself; several texts may carry one document or item id.
+    """
+    items = items.withColumn("item_key", F.xxhash64("hashes"))
+    item, pair = ["item", "item_key"], ["id", "key", "item", "item_key"]
     size_of, lacks = F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / 100)
     band = F.floor(F.log2(size_of)).cast("int")
     extra = F.coalesce(*[F.when(band == b, F.lit(x)) for b, x in EXTRA_BY_BAND.items()], F.lit(EXTRA_ABOVE))
     k = F.least(size_of, lacks + extra)
     # array_sort orders signed values; the unsigned order of the hashes is their order in the list
-    sketch = items.select("item", (k - lacks).alias("least"), F.explode(F.slice("hashes", 1, k.cast("int"))).alias("h"))
-    full = items.select("item", "n", F.explode("hashes").alias("h"))
-    grams = docs.mapInArrow(_shingles(size), "id long, h long").distinct()
-    near = (grams.join(sketch, "h").groupBy("id", "item").agg(F.count("*").alias("hit"), F.first("least").alias("least"))
-            .where("hit >= least").select("id", "item"))
-    texts = grams.join(near.select("id").distinct(), "id", "left_semi")
-    return (near.join(full, "item").join(texts, ["id", "h"]).groupBy("id", "item")
-            .agg(F.first("n").alias("n_item"), F.count("*").alias("n_shared"))
+    sketch = items.select(*item, (k - lacks).alias("least"), F.explode(F.slice("hashes", 1, k.cast("int"))).alias("h"))
+    full = items.select(*item, "n", F.explode("hashes").alias("h"))
+    grams = docs.mapInArrow(_shingles(size), "id long, key long, h long").distinct()
+    near = (grams.join(sketch, "h").groupBy(*pair, "least").agg(F.count("*").alias("hit"))
+            .where("hit >= least").select(*pair))
+    texts = grams.join(near.select("id", "key").distinct(), ["id", "key"], "left_semi")
+    return (near.join(full, item).join(texts, ["id", "key", "h"]).groupBy(*pair, F.col("n").alias("n_item"))
+            .agg(F.count("*").alias("n_shared"))
             .where(100 * F.col("n_shared") >= percent * F.col("n_item")).select("id", "item", "n_item", "n_shared"))
 
 

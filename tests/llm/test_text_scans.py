@@ -90,6 +90,18 @@ def test_decontamination_matches_brute_force(spark, odd_rows, limit):
     assert got == {k: v[1:] for k, v in want.items()} and (20, 1) in got and (21, 1) not in got
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontamination_counts_each_pair_of_texts(spark, limit):
+    """Item ids and document ids that repeat with different texts, through both paths."""
+    def text(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+    short, long, split = text("s", 7), text("l", 20), text("h", 20)   # 3, 16 and 16 shingles
+    rows = [(1, short + " x " + text("l", 9), "a"), (2, text("h", 12), "a"), (2, " ".join(split.split()[8:]), "b"), (3, split, "a"), (3, "other words", "b")]
+    known = spark.createDataFrame([(5, short), (5, long), (6, split)], "item_id long, text string")
+    got = {(r.id, r.item, r.n_item, r.n_shared) for r in contaminated(as_documents(spark, rows), known, broadcast_hashes=limit).collect()}
+    assert got == {(1, 5, 3, 3), (3, 6, 16, 16)}
+
+
 def test_decontamination_of_empty_tables(spark, no_docs, odd_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(odd_docs, none).count() == 0
