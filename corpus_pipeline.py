@@ -8,7 +8,6 @@ columns are handled as each operator states; rows with a NULL doc_id pass the fi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.llm import common
@@ -34,14 +33,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five-word shingles, similarity 0.8): the one with the smallest id; of rows that repeat
-    an id, the one with the least text."""
-    key, turn = _fresh(docs, "kept_id"), _fresh(docs, "turn")
-    kept = common.cut(near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias(key)).distinct(), "kept")
-    first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    named = (docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(key), "left_semi")
-             .withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn))
-    return named.unionAll(docs.where("doc_id is null"))
+    """One text of each group (five-word shingles, similarity 0.8): one with the smallest id.  Rows are compared one by one,
+    so an id that repeats with different texts keeps each that no other row has; of equal rows without words one stays."""
+    key = _fresh(docs, "kept_id")
+    # every row has a key of its own, written once so that it stays the same
+    rows = common.cut(docs.where("doc_id is not null").withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(key, "text"), id_col=key).select(F.col("id").alias("rid"), "component_id", (F.col("n_shingles") == 0).alias("bare"))
+    own = rows.select(F.col(key).alias("rid"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").isNull().alias("none"))
+    bare = lambda c: F.when(F.col("bare"), F.col(c))
+    kept = (groups.join(own, "rid").groupBy(F.when(~F.col("bare"), F.col("component_id")).alias("g"), bare("doc").alias("d"), bare("digest").alias("x"), bare("none").alias("y"))
+            .agg(F.min(F.struct("doc", "digest", "rid")).alias("best")))
+    kept = common.cut(kept.select(F.col("best.rid").alias(key)), "kept")
+    return rows.join(kept, key, "left_semi").select(*[f"`{c}`" for c in docs.columns]).unionAll(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,6 +229,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_similar(percent), "a long, b long").distinct())
 
 
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the classes of each id that has several: one per further class."""
+    several = (signed.where("id is not null and digest is not null").groupBy("id")
+               .agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id"))
+    named = (signed.join(several, "id", "left_semi").select(F.col("id").alias("doc"), "digest").distinct()
+             .join(classes.select("digest", F.col("id").alias("b")), "digest"))
+    first = named.groupBy("doc").agg(F.min("b").alias("a"))
+    return named.join(first, "doc").where("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept`` (kept: the smallest id of its component).
@@ -254,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = families.select("id").unionAll(across.select("a")).unionAll(across.select("b")).distinct()
     sets = cut(source.join(wanted, "id", "left_semi").mapInArrow(_set_of(shingle), "id long, hashes binary")
                .where("length(hashes) > 0").distinct(), "sets")
-    links = cut(_family_links(families, sets, percent).unionAll(_confirm(across, sets, percent)), "links")
+    links = cut(_family_links(families, sets, percent).unionAll(_confirm(across, sets, percent))
+                .unionAll(_same_id(signed, classes)), "links")
     components = connected_components(links)
     of_class = (classes.select("digest", "id").join(components, "id", "left")
                 .select("digest", F.coalesce("component", "id").alias("component_id")))

@@ -100,6 +100,13 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert M.near_duplicates(no_docs).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(20))
+    rows = [(1, text("a")), (12, text("a")), (12, text("b")), (20, text("b") + " more"), (30, text("c")), (30, text("d")), (31, text("e"))]
+    got = {(r.id, r.component_id, r.kept) for r in M.near_duplicates(as_documents(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == {(1, 1, True), (12, 1, False), (20, 1, False), (30, 30, True), (31, 31, True)}
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 32))

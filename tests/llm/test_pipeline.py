@@ -42,6 +42,15 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in safe.collect()}
 
 
+def test_near_duplicates_are_dropped_per_text(spark, sf_dir):
+    """The copy goes, whatever the order of the texts; another text under the same id stays."""
+    a, b, c = (" ".join(f"{name}{k}" for k in range(30)) for name in "abc")
+    docs = as_documents(spark, [(1, a, "s"), (12, a, "s"), (12, b, "s"), (13, c, "s"), (13, c, "s"), (14, b + " more", "s"), (14, "", "s"), (14, None, "s")])
+    got = P.drop_near_duplicates(spark, docs, sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (12, b), (13, c), (14, ""), (14, None)], key=str)
+    assert got.columns == docs.columns
+
+
 def test_run_equals_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in P.STAGES:
