@@ -14,7 +14,7 @@ from gaugeline.llm import common
 from gaugeline.llm.decontaminate import contaminated
 from gaugeline.llm.minhash_dedup import near_duplicates
 from gaugeline.llm.mixing import mix
-from gaugeline.llm.secrets import find_secrets, redact
+from gaugeline.llm.secrets import SYMMETRIC, find_secrets, redact
 from gaugeline.llm.toxicity import THRESHOLD, fit_toxicity, score_column
 
 
@@ -57,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with what the secret scan reports replaced in its text (n_chars follows)."""
-    found = find_secrets(docs, carry=True)
+    found = find_secrets(docs, carry=True, complements=SYMMETRIC)
     clean = F.when(F.size("spans") > 0, redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     out = found.select(clean.alias("clean"), "spans", "row")
     value = lambda c: F.col(f"row.`{c}`")

@@ -16,7 +16,7 @@ from gaugeline.llm.minhash_dedup import near_duplicates
 from gaugeline.llm.mixing import mix
 from gaugeline.llm.ppm import score_texts
 from gaugeline.llm.quality import quality_scores
-from gaugeline.llm.secrets import digest_columns, find_secrets
+from gaugeline.llm.secrets import SYMMETRIC, digest_columns, find_secrets
 from gaugeline.llm.token_counts import count_tokens
 from gaugeline.llm.toxicity import toxicity
 from gaugeline.session import scratch_path
@@ -104,7 +104,7 @@ def op5_decontamination(spark, sf_dir):
 
 @_query("op9_secret_scan")
 def op9_secret_scan(spark, sf_dir):
-    return digest_columns(find_secrets(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return digest_columns(find_secrets(_table(spark, sf_dir, "documents"), complements=SYMMETRIC)).withColumnRenamed("id", "doc_id")
 
 
 @_query("op10_toxicity")

@@ -30,6 +30,8 @@ SCOPE = 400
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 #: A weak part of a role is reported near a part of one of these roles.
 COMPLEMENTS = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
+#: The same in both directions: what is near an endpoint is reported with it.  The registered query and the pipeline use it.
+SYMMETRIC = {"identifier": ("secret", "endpoint"), "secret": ("identifier", "endpoint"), "endpoint": ("identifier", "secret")}
 
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
@@ -63,14 +65,14 @@ def _roles(kind: Column) -> Column:
     return F.when(kind.isin("access", "identifier"), "identifier").when(kind == "endpoint", "endpoint").otherwise("secret")
 
 
-def _linked(rows: DataFrame, scope: int) -> DataFrame:
+def _linked(rows: DataFrame, scope: int, complements: dict[str, tuple[str, ...]]) -> DataFrame:
     """``rid, added``: the weak parts of each row that have a complementary part in scope."""
     parts = rows.where(F.size("weak") > 0).select("rid", F.explode(F.concat("base", "weak")).alias("s"))
     parts = parts.select("rid", "s", _roles(F.col("s.kind")).alias("role"), F.floor(F.col("s.start") / scope).alias("bin"))
     near = parts.groupBy("rid", "bin", "role").agg(F.min("s.start").alias("first"), F.max("s.start").alias("last"))
     near = near.select(F.col("rid").alias("nrid"), F.col("role").alias("nrole"), "first", "last", F.col("bin").alias("nbin"),
                        F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("reach"))
-    needs = F.create_map(*[x for role, of in COMPLEMENTS.items() for x in (F.lit(role), F.array(*map(F.lit, of)))])
+    needs = F.create_map(*[x for role, of in complements.items() for x in (F.lit(role), F.array(*map(F.lit, of)))])
     weak = (parts.where(F.col("s.kind").isin(*KINDS[3:]))
             .select("rid", "s", "bin", F.explode(needs[F.col("role")]).alias("need")))
     start = F.col("s.start")
@@ -81,9 +83,10 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE,
-                 carry: bool = False) -> DataFrame:
+                 carry: bool = False, complements: dict[str, tuple[str, ...]] = COMPLEMENTS) -> DataFrame:
     """``id, spans, base`` per row: arrays of ``(start, ord, end, kind)`` by start and kind, base without the weak parts.
 
+    ``complements`` names, for each role, the roles that a weak part of it is reported near.
     With ``carry`` the row itself comes along as struct ``row``.  Places are code points, ends exclusive.  Defined cases:
     a NULL or empty text has no span; rows that repeat an id, or have none, are scanned one by one; equal places of
     several kinds come in the kinds' order; an empty table gives no rows; further columns are ignored (or carried).
@@ -107,7 +110,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.select("id", *kept, "base", F.filter("weak", apart).alias("weak"))
     rows = cut(found.withColumn("rid", F.monotonically_increasing_id()), "secrets")
     alone = rows.where(F.size("weak") == 0).select("id", *kept, F.col("base").alias("spans"), "base")
-    with_weak = rows.where(F.size("weak") > 0).join(_linked(rows, scope), "rid", "left")
+    with_weak = rows.where(F.size("weak") > 0).join(_linked(rows, scope, complements), "rid", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN))))
     return alone.unionAll(with_weak.select("id", *kept, spans.alias("spans"), "base"))
 
