@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm import licenses
 from gaugeline.llm.decontaminate import contaminated
 from gaugeline.llm.embedding_dedup import embedding_duplicates
+from gaugeline.llm.filter_audit import audit, orders
 from gaugeline.llm.licenses import known_statements, scan_licenses
 from gaugeline.llm.minhash_dedup import near_duplicates
 from gaugeline.llm.mixing import mix
@@ -19,6 +20,7 @@ from gaugeline.llm.quality import quality_scores
 from gaugeline.llm.secrets import SYMMETRIC, digest_columns, find_secrets
 from gaugeline.llm.token_counts import count_tokens
 from gaugeline.llm.toxicity import toxicity
+from gaugeline.llm.vector_codes import ENTRIES, PARTS, ROUNDS, vector_codes
 from gaugeline.session import scratch_path
 
 #: The tokenizer of the token counts: a file of the public vocabulary package.
@@ -160,3 +162,54 @@ def op7_token_counts(spark, sf_dir):
 @_query("op8_embedding_dedup")
 def op8_embedding_dedup(spark, sf_dir):
     return embedding_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _rounds_sql() -> str:
+    """CTEs ``a0, c1, a1, ... `` of the codebook rounds over ``p(vec_id, pos, x)`` and ``c0(pos, e, c)``."""
+    assign = ("a{r} AS MATERIALIZED (SELECT vec_id, pos, x, min(ROW(d, e)) AS best FROM (SELECT vec_id, pos, x, e, "
+              "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} USING (pos)) GROUP BY vec_id, pos, x)")
+    update = ("c{s} AS MATERIALIZED (SELECT c{r}.pos, c{r}.e, coalesce(u.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT pos, e, list(m ORDER BY i) AS c FROM ("
+              "SELECT pos, best[2] AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{r}, range(1, 1 + w) t(i) GROUP BY pos, e, i) GROUP BY pos, e) u "
+              "ON u.pos = c{r}.pos AND u.e = c{r}.e)")
+    lines = []
+    for r in range(ROUNDS):
+        lines += [assign.format(r=r), update.format(r=r, s=r + 1)]
+    return ",\n".join([*lines, assign.format(r=ROUNDS)])
+
+
+@_query("op11_vector_codes", f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, pos, len(v) // {PARTS} AS w, v[pos * (len(v) // {PARTS}) + 1 : (pos + 1) * (len(v) // {PARTS})] AS x FROM k, range({PARTS}) t(pos)),
+c0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < {ENTRIES}),
+{_rounds_sql().replace("range(1, 1 + w)", "range(1, 1 + (SELECT max(w) FROM p))")},
+z AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY pos) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY pos, e)) FROM c{ROUNDS}) AS codebooks_sha256
+FROM z JOIN k USING (vec_id)""")
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+_ORDERS = ", ".join(f"('{o}')" for o in orders())
+
+
+@_query("op13_filter_audit", f"""
+WITH l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS g, max(CAST(coalesce(toxic = 1, false) AS INT)) AS x
+           FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT part, coalesce(g, 0) AS g, coalesce(x, 0) AS x, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+             + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+             + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(g) AS g, sum(x) AS x FROM m GROUP BY part, mask),
+s AS (SELECT o, step, 1 << (ascii(o[step]) - 65) AS bit,
+             coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))), 0) AS earlier FROM (VALUES {_ORDERS}) v(o), range(1, 6) r(step)),
+f AS (SELECT part, o, step, bit, n, g, x, mask, mask & earlier = 0 AS alive, mask & bit <> 0 AS fails FROM c, s),
+a AS (SELECT part, o AS filter_order, CAST(step AS INT) AS step, bit, CAST(coalesce(sum(n) FILTER (alive AND NOT fails), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (alive AND fails), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (NOT alive AND fails), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(g) FILTER (alive AND fails), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(x) FILTER (alive AND fails), 0) AS BIGINT) AS toxic_lost FROM f GROUP BY part, o, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM a""")
+def op13_filter_audit(spark, sf_dir):
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
