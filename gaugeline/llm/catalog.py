@@ -12,6 +12,7 @@ from gaugeline.llm import licenses
 from gaugeline.llm.decontaminate import contaminated
 from gaugeline.llm.embedding_dedup import embedding_duplicates
 from gaugeline.llm.filter_audit import audit, orders
+from gaugeline.llm.html_extract import extract_text
 from gaugeline.llm.licenses import known_statements, scan_licenses
 from gaugeline.llm.minhash_dedup import near_duplicates
 from gaugeline.llm.mixing import mix
@@ -213,3 +214,14 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM a""")
 def op13_filter_audit(spark, sf_dir):
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: The SQL reads what the markup of the given pages amounts to: one article element, whose blocks end at p, br and h1.
+@_query("op12_html_extraction", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|br|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(coalesce(t, ''), '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""")
+def op12_html_extraction(spark, sf_dir):
+    return extract_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
