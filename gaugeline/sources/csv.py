@@ -8,11 +8,11 @@ reason) instead of failing the job.
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeline.schema import CORRUPT_COLUMN, CSV_SCHEMA
+from gaugeline.sources.csv_records import ARRIVAL, read_records  # noqa: F401 - ARRIVAL for users of both readers
 
 # Files of one folder that a micro-batch takes unless told otherwise.
 DEFAULT_FILES_PER_TRIGGER = 1000
@@ -29,76 +29,38 @@ CSV_OPTIONS = {
 }
 
 
-def read_csv(spark: SparkSession, path, multi_line: bool | str = True) -> DataFrame:
+def read_csv(spark: SparkSession, path, multi_line: bool | str = "auto") -> DataFrame:
     """Batch scan of one file, a directory or a glob.
 
-    ``multi_line=True`` honours line breaks inside quoted cells, but such files
-    are read whole by one task each.  ``"auto"`` keeps that exactness without
-    the cost for files that do not need it: one splittable text pass finds the
-    files holding a line with an odd number of quote characters (where a quoted
-    cell may continue on the next line); only those are read whole, all other
-    files are split across tasks, so one huge file is not one task.
-    ``False`` splits every file (cells must not contain line breaks).
+    ``"auto"`` honours line breaks inside quoted cells with every file split across tasks (``csv_records``): the lines are
+    read once and written to the shared folder, and the records are put together from them.  ``True`` reads every file
+    whole, by one task each, without a copy; ``False`` splits files and takes every line for a record.
     """
     if multi_line == "auto":
-        return _read_csv_auto(spark, path)
+        return csv_lines(read_records(spark, path), keep=["source_file"]).select(*CSV_SCHEMA.fieldNames(), "source_file")
     df = (spark.read.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
           .option("multiLine", str(bool(multi_line)).lower()).csv(path))
     return with_source_file(df)
 
 
-def files_to_read_whole(spark: SparkSession, path) -> list[str]:
-    """URI-encoded names of the files holding a line with an odd number of quote characters."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value")
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = text.where(quotes % 2 == 1).select("f").distinct()
-    # file names only; the driver lists every file of a scan anyway
-    return [r.f for r in odd.collect()]
-
-
-def without_files(df: DataFrame, files: list[str]) -> DataFrame:
-    """The rows that don't come from ``files``."""
-    names = df.sparkSession.createDataFrame([(f,) for f in files], "source_file string")
-    return df.join(names, "source_file", "left_anti").select(*df.columns)
-
-
-def _read_csv_auto(spark: SparkSession, path) -> DataFrame:
-    whole = files_to_read_whole(spark, path)
-    split = read_csv(spark, path, False)
-    if not whole:
-        return split
-    # the metadata column holds URI-encoded names, the reader takes plain ones
-    return without_files(split, whole).unionByName(read_csv(spark, [unquote(f) for f in whole], True))
-
-
 def with_source_file(df: DataFrame) -> DataFrame:
     """Add the file each row came from (kept on rejects for tracing)."""
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-# Where a streamed row came from: with the place inside the block they give its arrival order.
-ARRIVAL = ["source_time", "source_file", "source_block"]
-
-
 def with_arrival(df: DataFrame) -> DataFrame:
     """Add the rest of ARRIVAL to rows that have their source file."""
     return df.withColumns({"source_time": F.col("_metadata.file_modification_time"),
                            "source_block": F.col("_metadata.file_block_start")})
 
 
-def read_whole_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """The rows of ``stream_csv`` for files (URI-encoded names) that are read whole by one task each."""
-    r = spark.read.schema(CSV_SCHEMA).options(**CSV_OPTIONS).option("multiLine", "true")
-    return with_arrival(with_source_file(r.csv([unquote(f) for f in files])))
-
-
 def stream_csv(spark: SparkSession, path, multi_line: bool = True,
                max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
     """Continuous source: every new file in ``path`` (one folder or several) is read once.
 
     A micro-batch takes ``max_files_per_trigger`` files of each folder at most (None: all there are).  ``multi_line=True``
     honours line breaks inside quoted cells; each file is one task then.  ``False`` splits files across tasks and cuts such
-    rows into fragments (``streaming.ingest`` puts the files that hold any right).
+    rows into fragments (``streaming.ingest`` by default streams lines instead and puts records together).
     """
     r = (spark.readStream.schema(CSV_SCHEMA).options(**CSV_OPTIONS)
          .option("multiLine", str(multi_line).lower()))

@@ -10,17 +10,17 @@ batch) and not appended twice.
 
 Arrival order: file modification time, file, block, place in the block.
 
-Line breaks inside quoted cells: the stream splits files across tasks, which cuts such rows.  Inside the micro-batch one
-splittable text pass finds the files that may hold any (a line with an odd number of quotes); their rows are replaced
-by those of the same files read whole.
+Line breaks inside quoted cells: the stream reads lines, split across tasks, each file once.  Every line is parsed as it is
+read; inside the micro-batch the lines that are records by themselves keep that, and only records that go over several
+lines are put together from the staged lines (``sources.csv_records``) and parsed again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import unquote
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeline.operators.commits import remove
@@ -28,8 +28,8 @@ from gaugeline.operators.log import append_log
 from gaugeline.operators.parse import parse_records, rejects
 from gaugeline.schema import DEFAULT_PARTITIONS
 from gaugeline.session import scratch_path
-from gaugeline.sources.csv import (ARRIVAL, DEFAULT_FILES_PER_TRIGGER, files_to_read_whole, read_whole_files, stream_csv,
-                                   without_files)
+from gaugeline.sources.csv import ARRIVAL, DEFAULT_FILES_PER_TRIGGER, csv_lines, stream_csv
+from gaugeline.sources.csv_records import BLANK, split_records, stream_lines
 
 _PLACE = "_place"
 
@@ -47,51 +47,89 @@ def query_id(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int,
-                 rejects_path: str | None, stream: str = "",
-                 whole: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Append one micro-batch.  ``whole`` parses files read whole, if the batch comes from files split across tasks."""
+def _append(staged: DataFrame, batch_id: int, log_path: str, n_partitions: int, rejects_path: str | None, stream: str,
+            on_metrics: Callable[[int, int, int], None] | None) -> None:
+    """Append the good rows of a staged micro-batch and set the others aside."""
+    arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
+    append_log(staged.where(F.col("reject_reason").isNull()), log_path, n_partitions, arrival, batch=batch_id, stream=stream)
+    if rejects_path:
+        (rejects(staged).drop(_PLACE).withColumn("batch", F.lit(batch_id))
+         .write.mode("overwrite").parquet(f"{rejects_path}/stream={stream or 'none'}/batch={batch_id}"))
+    if on_metrics:
+        counts = staged.agg(F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected")).first()
+        on_metrics(batch_id, counts.rows, counts.rejected)
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int, rejects_path: str | None, stream: str = "",
+                 on_metrics: Callable[[int, int, int], None] | None = None) -> None:
+    """Append one micro-batch of parsed records."""
     spark = batch.sparkSession
     path = scratch_path(spark, "ingest")
     try:
         # the place of a row inside its task grows along each block that the task reads
-        batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(f"{path}/split")
-        staged = spark.read.parquet(f"{path}/split")
-        # names of one micro-batch only (max_files_per_trigger)
-        files = [r.source_file for r in staged.select("source_file").distinct().collect()] if whole else []
-        cut = files_to_read_whole(spark, [unquote(f) for f in files]) if files else []
-        if cut:
-            (whole(read_whole_files(spark, cut)).withColumn(_PLACE, F.monotonically_increasing_id())
-             .write.parquet(f"{path}/whole"))
-            staged = without_files(staged, cut).unionByName(spark.read.parquet(f"{path}/whole"))
-        arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
-        good = staged.where(F.col("reject_reason").isNull())
-        append_log(good, log_path, n_partitions, arrival, batch=batch_id, stream=stream)
-        if rejects_path:
-            (rejects(staged).drop(_PLACE).withColumn("batch", F.lit(batch_id))
-             .write.mode("overwrite").parquet(f"{rejects_path}/stream={stream or 'none'}/batch={batch_id}"))
+        batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(path)
+        _append(spark.read.parquet(path), batch_id, log_path, n_partitions, rejects_path, stream, on_metrics)
     finally:
         remove(spark, path)   # a micro-batch leaves nothing behind in the scratch space
 
 
+def ingest_lines(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int, rejects_path: str | None, stream: str = "",
+                 event_time: str = "ingest", on_metrics: Callable[[int, int, int], None] | None = None) -> None:
+    """Append one micro-batch of lines that were parsed one by one (``parsed_lines``): records that go over several lines
+    are put together first."""
+    spark = batch.sparkSession
+    path = scratch_path(spark, "ingest")
+    try:
+        batch.withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{path}/lines")
+        whole, joined = split_records(spark.read.parquet(f"{path}/lines"), f"{path}/blocks")
+        rows = whole.drop("line", "code", "cr").withColumnRenamed("place", _PLACE)
+        if joined is not None:
+            again = parse_records(csv_lines(joined, keep=[*ARRIVAL, "place"]), event_time=event_time, keep=["place"])
+            rows.unionByName(again.withColumnRenamed("place", _PLACE)).write.parquet(f"{path}/records")
+            rows = spark.read.parquet(f"{path}/records")
+        _append(rows, batch_id, log_path, n_partitions, rejects_path, stream, on_metrics)
+    finally:
+        remove(spark, path)
+
+
+def parsed_lines(lines: DataFrame, event_time: str) -> DataFrame:
+    """Every line parsed as if it were a record, beside its text, file, block and code."""
+    kept = ["line", "code", "cr"]
+    return parse_records(csv_lines(lines, keep=[*kept, *ARRIVAL]), event_time=event_time, keep=kept)
+
+
+def _files_begun() -> Column:
+    """Files whose first line is among the rows: as many header lines, which are no records."""
+    return F.size(F.collect_set(F.when(F.col("source_block") == 0, F.col("source_file"))))
+
+
 def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,
                   n_partitions: int = DEFAULT_PARTITIONS, event_time: str = "ingest",
                   trigger: str = "1 second", rejects_path: str | None = None,
-                  max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER, multi_line: bool | str = "auto") -> StreamingQuery:
+                  max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER, multi_line: bool | str = "auto",
+                  on_metrics: Callable[[int, int, int], None] | None = None) -> StreamingQuery:
     """Start the ingest query (poll interval = ``trigger``; 'availableNow' drains and stops).
 
     ``csv_dir`` is one folder or a list of folders (several producers, one writer).  ``multi_line="auto"`` splits files
-    across tasks, and reads those again, whole, whose quoted cells may hold line breaks; ``True`` reads every file whole;
-    ``False`` splits every file (cells must not contain line breaks).
+    across tasks and honours line breaks inside quoted cells; ``True`` reads every file whole; ``False`` takes every
+    line for a record.
+
+    Parse-error counters: the query progress holds observedMetrics["ingest"] (rows, rejected).  With ``"auto"`` that
+    counts lines, before records are put together; ``on_metrics(batch id, rows, rejected)`` is called after each
+    micro-batch with the counts of its records, which are those of the log and the dead-letter folder.
     """
-    raw = stream_csv(spark, csv_dir, multi_line=multi_line is True, max_files_per_trigger=max_files_per_trigger)
-    whole = (lambda rows: parse_records(rows, event_time=event_time)) if multi_line == "auto" else None
-    # parse-error counter per micro-batch, reported in the query progress
-    # (observedMetrics["ingest"]: rows, rejected) for rate alerts; it counts before files are read again, so a row with
-    # line breaks counts as its fragments
-    parsed = parse_records(raw, event_time=event_time).observe(
-        "ingest", F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected"))
-    w = (parsed.writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), whole))
-         .option("checkpointLocation", checkpoint))
+    if multi_line == "auto":
+        folders = [csv_dir] if isinstance(csv_dir, str) else list(csv_dir)
+        lines = reduce(DataFrame.unionAll, [stream_lines(spark, f, max_files_per_trigger) for f in folders])
+        line = F.when(F.col("code") != BLANK, F.lit(1))
+        failed = F.count(F.when(F.col("code") != BLANK, F.col("reject_reason")))
+        parsed = parsed_lines(lines, event_time).observe("ingest", (F.count(line) - _files_begun()).alias("rows"),
+                                                         F.greatest(failed - _files_begun(), F.lit(0)).alias("rejected"))
+        one = lambda df, bid: ingest_lines(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), event_time, on_metrics)
+    else:
+        raw = stream_csv(spark, csv_dir, multi_line=multi_line is True, max_files_per_trigger=max_files_per_trigger)
+        parsed = parse_records(raw, event_time=event_time).observe(
+            "ingest", F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected"))
+        one = lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), on_metrics)
+    w = parsed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
