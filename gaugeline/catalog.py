@@ -782,3 +782,196 @@ def q_ingest_time(spark, sf_dir):
                                keep=["event_id", "ts"]))
     return good.select("event_id", "uuid", "metric_name", "value",
                        (F.col("timestamp") > F.col("ts").cast("timestamp")).alias("stamped_after_source"))
+
+
+# ------------------------------------------------------------ typed labels
+def typed_label_text():
+    """Label JSON of many types, derived from each event; some texts are bad, no object, or missing."""
+    k, v = F.get_json_object(F.col("props"), "$.k"), F.col("value")
+    kind = F.col("event_id") % 7
+    good = F.concat(F.lit('{"b": '), F.when(v > 250, "true").otherwise("false"), F.lit(', "k": '), k, F.lit(', "o": {"type": "'), F.col("event_type"),
+                    F.lit('", "u": ['), F.col("user_id").cast("string"), F.lit(', null, "x"]}, "s": "'), k, F.lit('"}'))
+    return (F.when(kind == 0, F.lit('{"k": 1')).when(kind == 1, F.lit("[1, 2]")).when(kind == 2, F.lit(None).cast("string")).otherwise(good))
+
+
+@register("labels_typed", """
+WITH e AS (SELECT event_id, event_id % 7 AS kind, json_extract_string(props, '$.k') AS k, value > 250 AS b, event_type AS t, user_id AS u FROM events)
+SELECT event_id AS id, CASE WHEN kind < 2 THEN '{}' WHEN kind = 2 THEN NULL ELSE
+       '{"b":' || CAST(b AS VARCHAR) || ',"k":' || k || ',"o":{"type":"' || t || '","u":[' || u || ',null,"x"]},"s":"' || k || '"}' END AS labels_json,
+       CASE WHEN kind > 2 THEN CAST(k AS BIGINT) END AS label_k, CASE WHEN kind > 2 THEN b END AS label_b, CASE WHEN kind > 2 THEN u END AS label_u FROM e""")
+def q_labels_typed(spark, sf_dir):
+    """P5 + P6 + S4 + K3: label JSON of every type decoded, persisted as VARIANT, read back and encoded."""
+    from gaugeline.functions.labels import typed_label, typed_labels
+    from gaugeline.operators.table import persist
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.table import read_table
+    path = scratch_path(spark, "typed-table")
+    texts = _events(spark, sf_dir).select(F.col("event_id").alias("id"), typed_labels(typed_label_text()).alias("labels"))
+    persist(events_as_telemetry(spark, sf_dir, with_labels=False).join(texts, "id"), path, N_PARTITIONS)
+    t = read_table(spark, path, typed=True)
+    return t.select("id", F.to_json("labels").alias("labels_json"), typed_label("labels", "k", "long").alias("label_k"),
+                    typed_label("labels", "b", "boolean").alias("label_b"), F.try_variant_get("labels", F.lit("$.o.u[0]"), "long").alias("label_u"))
+
+
+# ------------------------------------------------------------ rollup
+_ROLLUPS: dict[tuple[str, str], str] = {}
+
+
+def written_rollup(spark: SparkSession, sf_dir: str) -> str:
+    """The rollup of the events, added in two batches, the second one twice (once per session and input)."""
+    from gaugeline.operators.rollup import add_to_rollup
+    from gaugeline.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLUPS:
+        path = scratch_path(spark, "rollup")
+        ev = telemetry(spark, sf_dir).select("uuid", "timestamp")
+        early = F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+        for batch, cond in ((0, early), (1, ~early), (1, ~early)):
+            add_to_rollup(ev.where(cond), path, batch, "s", N_PARTITIONS)
+        _ROLLUPS[key] = path
+    return _ROLLUPS[key]
+
+
+@register("count_rollup", f"SELECT count(*) AS total FROM {_T} t WHERE uuid = '{DEVICE}' AND {_RANGE}")
+def q_count_rollup(spark, sf_dir):
+    """A1 from the rollup: whole days by their counts, the two days at the ends by their records."""
+    from gaugeline.operators.rollup import count_by_rollup, read_rollup
+    return count_by_rollup(table(spark, sf_dir), read_rollup(spark, written_rollup(spark, sf_dir)), DEVICE, RANGE_START, RANGE_END, N_PARTITIONS)
+
+
+@register("page_rollup",
+          f"SELECT {_REC} FROM {_T} t WHERE uuid = '{DEVICE}' AND {_RANGE} ORDER BY \"timestamp\", id LIMIT 3 OFFSET 9")
+def q_page_rollup(spark, sf_dir):
+    """L2 + L6 by the rollup: the page's day is found by a running sum over days, only its days are read."""
+    from gaugeline.operators.rollup import page_by_rollup, read_rollup
+    rows, _ = page_by_rollup(table(spark, sf_dir), read_rollup(spark, written_rollup(spark, sf_dir)), DEVICE, 4, 3, RANGE_START, RANGE_END, N_PARTITIONS)
+    return flat(rows.select(*[c for c in query.TELEMETRY_COLUMNS if c in rows.columns]))
+
+
+@register("compact_latest", f"""
+SELECT partition_id, "offset", uuid, "timestamp", metric_name, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY uuid, metric_name, "timestamp" ORDER BY "offset" DESC) AS rk FROM (
+    SELECT partition_id, "offset", uuid, date_trunc('day', "timestamp") AS "timestamp", metric_name, value FROM {_LOG_SQL} l) s) r WHERE rk = 1""")
+def q_compact_latest(spark, sf_dir):
+    """2.11 compaction: the last record of every (device, metric, time), times cut to days so that keys repeat."""
+    from gaugeline.operators.rollup import latest_per_key
+    from gaugeline.session import scratch_path
+    from gaugeline.sources.log import read_log
+    log = read_log(spark, written_log(spark, sf_dir))
+    path = scratch_path(spark, "compacted")
+    latest_per_key(log.withColumn("timestamp", F.date_trunc("day", "timestamp")).drop("labels")).write.partitionBy("partition_id").parquet(path)
+    return _log_out(spark.read.parquet(path))
+
+
+# ------------------------------------------------------------ device metadata
+def _with_models(df: DataFrame) -> DataFrame:
+    """Models that change with the weeks, hosts that change with the readings."""
+    u = F.col("gpu_id").cast("int")
+    return df.withColumns({"model_name": F.concat(F.lit("M"), (F.dayofmonth("timestamp") / 10).cast("int").cast("string"), F.lit("-"), (u % 3).cast("string")),
+                           "hostname": F.when((u % 2 == 0) & (F.col("value") > 50), "big").otherwise("small")})
+
+
+_META_SQL = f"""o AS (SELECT uuid, "timestamp" AS valid_from, max(ROW('M' || CAST(floor(day("timestamp") / 10) AS INT) || '-' || CAST(gpu_id AS INT) % 3,
+          CASE WHEN CAST(gpu_id AS INT) % 2 = 0 AND value > 50 THEN 'big' ELSE 'small' END)) AS v FROM {_T} t GROUP BY uuid, "timestamp"),
+c AS (SELECT *, lag(v) OVER (PARTITION BY uuid ORDER BY valid_from) AS b FROM o),
+i AS (SELECT uuid, valid_from, v[1] AS model_name, v[2] AS hostname, lead(valid_from) OVER (PARTITION BY uuid ORDER BY valid_from) AS valid_to
+      FROM c WHERE b IS DISTINCT FROM v)"""
+
+
+def _intervals(spark, sf_dir, t):
+    """The intervals after two batches, the later one first."""
+    from gaugeline.operators.metadata import changes, merge_changes, observations, validity
+    early = F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    known = changes(observations(t.where(~early)))
+    return validity(merge_changes(known, t.where(early)))
+
+
+@register("metadata_intervals", f"WITH {_META_SQL} SELECT uuid, model_name, hostname, valid_from, valid_to FROM i")
+def q_metadata_intervals(spark, sf_dir):
+    """2.11 side table: which model and host each device had when, merged from two batches."""
+    t = _with_models(telemetry(spark, sf_dir).select("uuid", "gpu_id", "timestamp", "value"))
+    return _intervals(spark, sf_dir, t).select("uuid", "model_name", "hostname", "valid_from", "valid_to")
+
+
+@register("metadata_as_of", f"""
+WITH {_META_SQL} SELECT id, t.uuid, i.model_name AS valid_model, i.hostname AS valid_host
+FROM {_T} t JOIN i ON t.uuid = i.uuid AND t."timestamp" >= i.valid_from AND (i.valid_to IS NULL OR t."timestamp" < i.valid_to)""")
+def q_metadata_as_of(spark, sf_dir):
+    """2.11 side table: each record with the model and host valid at its time (as-of join by device and day)."""
+    from gaugeline.operators.metadata import with_metadata
+    t = _with_models(telemetry(spark, sf_dir).select("id", "uuid", "gpu_id", "timestamp", "value"))
+    return with_metadata(t.select("id", "uuid", "timestamp"), _intervals(spark, sf_dir, t)).select("id", "uuid", "valid_model", "valid_host")
+
+
+# ------------------------------------------------------------ streams with state
+def _write_events(spark, sf_dir, path, parts) -> None:
+    """Records as Parquet files, one write per part of the ids modulo 4, so that event times come out of order."""
+    from gaugeline.functions.timeparse import utc_instant
+    ev = telemetry(spark, sf_dir).select("id", "uuid", "timestamp", "metric_name", "value")
+    ev = ev.withColumn("timestamp", utc_instant(F.col("timestamp"), ev.schema["timestamp"].dataType))
+    for part in parts:
+        ev.where(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(path)
+
+
+_RECORD_STREAM = "id long, uuid string, timestamp timestamp, metric_name string, value double"
+
+
+@register("stream_recent", f"""
+SELECT id, uuid, "timestamp", metric_name, value FROM {_T} t
+WHERE "timestamp" >= (SELECT max("timestamp") FROM {_T} m) - INTERVAL 12 HOURS""")
+def q_stream_recent(spark, sf_dir):
+    """ST9 as a stream: files out of order and delivered twice; the window equals the batch filter at the newest record."""
+    from gaugeline.session import scratch_path
+    from gaugeline.streaming.windows import read_recent, recent_stream
+    base = scratch_path(spark, "stream-recent")
+    _write_events(spark, sf_dir, f"{base}/in", (2, 0, 0, 3, 1))
+    records = spark.readStream.schema(_RECORD_STREAM).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
+    recent_stream(records, f"{base}/recent", f"{base}/ckpt", "12 hours", ["id"], trigger="availableNow").awaitTermination()
+    rows = read_recent(spark, f"{base}/recent", "12 hours")
+    return rows.select("id", "uuid", utc_wall_clock(F.col("timestamp"), rows.schema["timestamp"].dataType).alias("timestamp"), "metric_name", "value")
+
+
+@register("stream_insert_if_absent", f"SELECT id, uuid, \"timestamp\", metric_name, value FROM {_T} t")
+def q_stream_insert_if_absent(spark, sf_dir):
+    """K4 as a stream: redelivered files before and after a restart give one row per key."""
+    from gaugeline.session import scratch_path
+    from gaugeline.streaming.windows import insert_stream
+    base = scratch_path(spark, "stream-insert")
+    for parts in ((0, 1, 0), (1, 2, 3, 2)):
+        _write_events(spark, sf_dir, f"{base}/in", parts)
+        records = spark.readStream.schema(_RECORD_STREAM).option("maxFilesPerTrigger", "2").parquet(f"{base}/in")
+        insert_stream(records, ["id"], f"{base}/table", f"{base}/ckpt", "400 days").awaitTermination()
+    rows = spark.read.parquet(f"{base}/table")
+    return rows.select("id", "uuid", utc_wall_clock(F.col("timestamp"), rows.schema["timestamp"].dataType).alias("timestamp"), "metric_name", "value")
+
+
+ALERT_RATE = 0.05
+
+
+@register("stream_reject_alerts", f"""
+SELECT day AS window_start, day + INTERVAL 1 DAY AS window_end, rows, rejected, rejected / rows AS reject_rate FROM (
+  SELECT date_trunc('day', ts) AS day, count(*) AS rows, count({_REASON_INGEST_SQL}) AS rejected FROM events GROUP BY 1) s
+WHERE rejected >= {ALERT_RATE} * rows AND day < (SELECT max(date_trunc('day', ts)) FROM events)""")
+def q_stream_reject_alerts(spark, sf_dir):
+    """2.11: a CSV file arrives per day; days on which too many records are rejected, counted after rows with line breaks are
+    put together, are reported by a second stream."""
+    from pyspark.sql import Window
+
+    from gaugeline.operators.commits import file_system
+    from gaugeline.session import scratch_path
+    from gaugeline.streaming.ingest import ingest_stream
+    from gaugeline.streaming.windows import alert_stream
+    base = scratch_path(spark, "stream-alerts")
+    header = F.lit(",".join(CSV_COLUMNS))
+    lines = _events(spark, sf_dir).select(F.unix_date(F.col("ts").cast("date")).alias("day"), "event_id", csv_line_col().alias("line"))
+    first = F.row_number().over(Window.partitionBy("day").orderBy("event_id")) == 1
+    (lines.withColumn("first", first).select("day", F.explode(F.when(F.col("first"), F.array(header, "line")).otherwise(F.array("line"))).alias("value"))
+     .write.partitionBy("day").text(f"{base}/csv"))
+    fs, pattern = file_system(spark, f"{base}/csv/day=*/part-*")
+    for s in fs.globStatus(pattern):  # each file arrives at the start of its day
+        fs.setTimes(s.getPath(), int(s.getPath().getParent().getName().split("=")[1]) * 86_400_000, -1)
+    ingest_stream(spark, f"{base}/csv", f"{base}/log", f"{base}/ckpt", N_PARTITIONS, trigger="availableNow", outcomes_path=f"{base}/outcomes").awaitTermination()
+    alert_stream(spark, f"{base}/outcomes", f"{base}/alerts", f"{base}/alert-ckpt", "1 day", ALERT_RATE, trigger="availableNow").awaitTermination()
+    rows = spark.read.parquet(f"{base}/alerts")
+    wall = lambda c: utc_wall_clock(F.col(c), rows.schema[c].dataType).alias(c)
+    return rows.select(wall("window_start"), wall("window_end"), "rows", "rejected", "reject_rate")

@@ -27,11 +27,13 @@ def _entries(text) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """One entry per key, a later one replacing an earlier one."""
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    fold = F.aggregate(entries, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["key"] != x["key"]), F.array(x)))
+    """One entry per key, the last one: a stable sort by (key, place) keeps the last of each run of equal keys."""
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    # the lambda binds the sorted entries to a name: they are sorted once
+    last = F.element_at(F.transform(F.array(placed), lambda p: F.filter(
+        p, lambda e, i: ~F.coalesce(F.get(p, i + 1)["key"] == e["key"], F.lit(False)))), 1)
     repeated = F.size(F.array_distinct(entries.getField("key"))) < F.size(entries)
-    return F.when(repeated, fold).otherwise(entries)
+    return F.when(repeated, F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))).otherwise(entries)
 
 
 def parse_labels(text) -> Column:
@@ -52,3 +54,23 @@ def labels_from_json(text) -> Column:
     parsed = F.from_json(t, LABELS_TYPE, {"mode": "PERMISSIVE"})
     empty = F.create_map().cast(LABELS_TYPE)
     return F.when(t.isNull(), F.lit(None).cast(LABELS_TYPE)).otherwise(F.coalesce(parsed, empty))
+
+
+def typed_labels(text) -> Column:
+    """JSON object text -> VARIANT that keeps numbers, booleans, lists and objects as they are.
+
+    NULL and JSON null stay NULL; text that is no JSON object (also one that repeats a key) is the empty object.
+    """
+    t = _c(text)
+    parsed = F.try_parse_json(t)
+    kind = F.schema_of_variant(parsed)
+    return (F.when(t.isNull() | (kind == "VOID"), F.lit(None).cast("variant"))
+            .when(F.startswith(kind, F.lit("OBJECT")), parsed).otherwise(F.parse_json(F.lit("{}"))))
+
+
+def typed_label(labels, key: str, kind: str = "string") -> Column:
+    """One label of a VARIANT as ``kind``; NULL where it is absent or can't be read so."""
+    if "'" not in key:
+        return F.try_variant_get(_c(labels), f"$['{key}']", kind)
+    # a path can't name such a key
+    return F.try_variant_get(F.try_variant_get(_c(labels), "$", "map<string,variant>")[key], "$", kind)

@@ -20,8 +20,9 @@ from gaugeline.functions.timeparse import parse_rfc3339, ts_literal, utc_wall_cl
 from gaugeline.operators.numbering import number_rows
 from gaugeline.schema import DATE_COLUMN, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, TELEMETRY_COLUMNS
 
-# OFFSET and LIMIT are 32-bit.
-MAX_ROW_NUMBER = 2**31 - 1
+#: Pages that end within so many rows are sorted with a limit: each task then holds so many rows at most.
+SORTED_ROWS = 100_000
+_ROW = "_page_row"
 
 # Fixed value: accepted text of a page argument (within 64 bits).
 _INTEGER = re.compile(r"[+-]?[0-9]+")
@@ -141,16 +142,23 @@ def records_page(df: DataFrame, uuid: str, start=None, end=None, page=1,
                  page_size=DEFAULT_PAGE_SIZE, n_partitions: int | None = None) -> DataFrame:
     """L1+L2: one page of a device's records in time order.
 
-    ORDER BY + OFFSET/LIMIT: Spark keeps a top-(offset + size) per task and sorts fully by range beyond
-    spark.sql.execution.topKSortFallbackThreshold.  To walk deep into a device use ``records_after`` (one page of
-    work at any depth) or ``page_all``.
+    To walk deep into a device use ``records_after`` (one page of work at any depth), ``page_all`` or, with a rollup,
+    ``rollup.page_by_rollup``.
     """
     p, s = normalize_page(page), normalize_page_size(page_size)
-    sel = select_records(df, uuid, start, end, n_partitions)
-    skip = (p - 1) * s
-    if skip + s > MAX_ROW_NUMBER:   # beyond any row that OFFSET can name
-        return sel.limit(0)
-    return sel.orderBy(*order_key(sel)).offset(skip).limit(s)
+    return ordered_page(select_records(df, uuid, start, end, n_partitions), (p - 1) * s, s)
+
+
+def ordered_page(sel: DataFrame, skip: int, size: int) -> DataFrame:
+    """Rows ``skip + 1`` to ``skip + size`` in time order, at any depth.
+
+    Up to SORTED_ROWS an ORDER BY with OFFSET and LIMIT, for which each task keeps its first offset + size rows; past that
+    the rows are numbered by stored ranges, with 64-bit numbers and no more than a range in a task.
+    """
+    if skip + size <= SORTED_ROWS:
+        return sel.orderBy(*order_key(sel)).offset(skip).limit(size)
+    numbered = number_rows(sel, [], order_key(sel), out_col=_ROW)
+    return numbered.where((F.col(_ROW) > min(skip, 2**63 - 1)) & (F.col(_ROW) <= min(skip + size, 2**63 - 1))).orderBy(_ROW).drop(_ROW)
 
 
 def records_after(df: DataFrame, uuid: str, after: tuple | None = None, page_size=DEFAULT_PAGE_SIZE,

@@ -48,33 +48,37 @@ def query_id(spark: SparkSession) -> str:
 
 
 def _append(staged: DataFrame, batch_id: int, log_path: str, n_partitions: int, rejects_path: str | None, stream: str,
-            on_metrics: Callable[[int, int, int], None] | None) -> None:
-    """Append the good rows of a staged micro-batch and set the others aside."""
+            on_metrics: Callable[[int, int, int], None] | None, outcomes_path: str | None) -> None:
+    """Append the good rows of a staged micro-batch, set the others aside, and note each record's arrival and outcome."""
     arrival = [c for c in ARRIVAL if c in staged.columns] + [_PLACE]
     append_log(staged.where(F.col("reject_reason").isNull()), log_path, n_partitions, arrival, batch=batch_id, stream=stream)
     if rejects_path:
         (rejects(staged).drop(_PLACE).withColumn("batch", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{rejects_path}/stream={stream or 'none'}/batch={batch_id}"))
+    if outcomes_path:
+        (staged.select(F.col("source_time").alias("arrived"), "reject_reason").write.mode("overwrite")
+         .parquet(f"{outcomes_path}/stream={stream or 'none'}/batch={batch_id}"))
     if on_metrics:
         counts = staged.agg(F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected")).first()
         on_metrics(batch_id, counts.rows, counts.rejected)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int, rejects_path: str | None, stream: str = "",
-                 on_metrics: Callable[[int, int, int], None] | None = None) -> None:
+                 on_metrics: Callable[[int, int, int], None] | None = None, outcomes_path: str | None = None) -> None:
     """Append one micro-batch of parsed records."""
     spark = batch.sparkSession
     path = scratch_path(spark, "ingest")
     try:
         # the place of a row inside its task grows along each block that the task reads
         batch.withColumn(_PLACE, F.monotonically_increasing_id()).write.parquet(path)
-        _append(spark.read.parquet(path), batch_id, log_path, n_partitions, rejects_path, stream, on_metrics)
+        _append(spark.read.parquet(path), batch_id, log_path, n_partitions, rejects_path, stream, on_metrics, outcomes_path)
     finally:
         remove(spark, path)   # a micro-batch leaves nothing behind in the scratch space
 
 
 def ingest_lines(batch: DataFrame, batch_id: int, log_path: str, n_partitions: int, rejects_path: str | None, stream: str = "",
-                 event_time: str = "ingest", on_metrics: Callable[[int, int, int], None] | None = None) -> None:
+                 event_time: str = "ingest", on_metrics: Callable[[int, int, int], None] | None = None,
+                 outcomes_path: str | None = None) -> None:
     """Append one micro-batch of lines that were parsed one by one (``parsed_lines``): records that go over several lines
     are put together first."""
     spark = batch.sparkSession
@@ -87,7 +91,7 @@ def ingest_lines(batch: DataFrame, batch_id: int, log_path: str, n_partitions: i
             again = parse_records(csv_lines(joined, keep=[*ARRIVAL, "place"]), event_time=event_time, keep=["place"])
             rows.unionByName(again.withColumnRenamed("place", _PLACE)).write.parquet(f"{path}/records")
             rows = spark.read.parquet(f"{path}/records")
-        _append(rows, batch_id, log_path, n_partitions, rejects_path, stream, on_metrics)
+        _append(rows, batch_id, log_path, n_partitions, rejects_path, stream, on_metrics, outcomes_path)
     finally:
         remove(spark, path)
 
@@ -107,7 +111,7 @@ def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,
                   n_partitions: int = DEFAULT_PARTITIONS, event_time: str = "ingest",
                   trigger: str = "1 second", rejects_path: str | None = None,
                   max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER, multi_line: bool | str = "auto",
-                  on_metrics: Callable[[int, int, int], None] | None = None) -> StreamingQuery:
+                  on_metrics: Callable[[int, int, int], None] | None = None, outcomes_path: str | None = None) -> StreamingQuery:
     """Start the ingest query (poll interval = ``trigger``; 'availableNow' drains and stops).
 
     ``csv_dir`` is one folder or a list of folders (several producers, one writer).  ``multi_line="auto"`` splits files
@@ -116,7 +120,8 @@ def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,
 
     Parse-error counters: the query progress holds observedMetrics["ingest"] (rows, rejected).  With ``"auto"`` that
     counts lines, before records are put together; ``on_metrics(batch id, rows, rejected)`` is called after each
-    micro-batch with the counts of its records, which are those of the log and the dead-letter folder.
+    micro-batch with the counts of its records, which are those of the log and the dead-letter folder.  With
+    ``outcomes_path`` every record's arrival (its file's time) and reject reason are written there (``windows.alert_stream``).
     """
     if multi_line == "auto":
         folders = [csv_dir] if isinstance(csv_dir, str) else list(csv_dir)
@@ -125,11 +130,11 @@ def ingest_stream(spark: SparkSession, csv_dir, log_path: str, checkpoint: str,
         failed = F.count(F.when(F.col("code") != BLANK, F.col("reject_reason")))
         parsed = parsed_lines(lines, event_time).observe("ingest", (F.count(line) - _files_begun()).alias("rows"),
                                                          F.greatest(failed - _files_begun(), F.lit(0)).alias("rejected"))
-        one = lambda df, bid: ingest_lines(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), event_time, on_metrics)
+        one = lambda df, bid: ingest_lines(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), event_time, on_metrics, outcomes_path)
     else:
         raw = stream_csv(spark, csv_dir, multi_line=multi_line is True, max_files_per_trigger=max_files_per_trigger)
         parsed = parse_records(raw, event_time=event_time).observe(
             "ingest", F.count(F.lit(1)).alias("rows"), F.count("reject_reason").alias("rejected"))
-        one = lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), on_metrics)
+        one = lambda df, bid: ingest_batch(df, bid, log_path, n_partitions, rejects_path, query_id(df.sparkSession), on_metrics, outcomes_path)
     w = parsed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()

@@ -1,5 +1,7 @@
 """Property test: the label expression equals the parsing rules, on generated text."""
 
+import re
+
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -7,19 +9,14 @@ from gaugeline.functions.labels import parse_labels
 from gaugeline.functions.text import UNICODE_WHITE_SPACE
 
 
+_S = "[" + "".join(map(re.escape, UNICODE_WHITE_SPACE)) + "]*"
+#: The label grammar as one expression over a text between commas: a key up to the first '=', a value in quotes or not.
+PAIR = re.compile(rf'(?:^|(?<=,)){_S}(?P<key>[^=,]*?){_S}={_S}(?:"(?P<quoted>[^,]*)"|(?P<plain>[^,]*?)){_S}(?=,|$)')
+
+
 def rules(text: str) -> dict:
-    """The parsing rules, step by step (test oracle)."""
-    out = {}
-    for piece in text.split(","):
-        piece = piece.strip(UNICODE_WHITE_SPACE)
-        if not piece or "=" not in piece:
-            continue
-        key, value = piece.split("=", 1)
-        key, value = key.strip(UNICODE_WHITE_SPACE), value.strip(UNICODE_WHITE_SPACE)
-        if len(value) >= 2 and value[0] == '"' and value[-1] == '"':
-            value = value[1:-1]
-        out[key] = value
-    return out
+    """Every pair that the grammar finds; a dict keeps a key's last value."""
+    return {m["key"]: m["plain"] if m["quoted"] is None else m["quoted"] for m in PAIR.finditer(text)}
 
 
 ALPHABET = list('abk=,"x ') + ["\t", "\n", " ", "　", " ", "é"]
