@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ def _words(text: bytes | None) -> Counter:
 
 
 def _features(word: bytes) -> list[bytes]:
-    found = [b"=" + word[:MAX_FEATURE_BYTES]] + [b"^" + word[:k] for k in range(3, 7) if len(word) > k]
+    # a long word is known by the digest of all its bytes
+    whole = b"=" + word if len(word) <= MAX_FEATURE_BYTES else b"#" + xxhash.xxh3_128_digest(word)
+    found = [whole] + [b"^" + word[:k] for k in range(3, 7) if len(word) > k]
     return found + [word[-k:] + b"$" for k in (4, 5) if len(word) > k]
 
 
@@ -147,6 +150,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                            F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("quality"))
              .where("lid is not null and toxic is not null")
              .groupBy("lid").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+             .join(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc")), F.col("lid") == F.col("doc"), "left_semi")
              .orderBy(F.xxhash64("lid", F.lit(7)), "lid").limit(train_rows))
     # train_rows rows of 16 bytes: a broadcast of proven size
     rows = cut(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
