@@ -32,19 +32,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(score_column(model, F.col("text"))["p_toxic"] < THRESHOLD)
 
 
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a number of its own for each row: of its file and its place there, so that it is the same whenever
+    the files are read again.  Rows that come from no files are written first."""
+    if not docs.inputFiles():
+        docs = common.cut(docs, "rows")
+    # the driver lists the files of a scan anyway
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    table = docs.sparkSession.createDataFrame(list(enumerate(files)), f"`{key}_file` long, `{key}_path` string")
+    number = (F.shiftleft(F.col(f"{key}_file"), 40) + F.col("_metadata.row_index")).alias(key)
+    return docs.join(table, F.col("_metadata.file_path") == F.col(f"{key}_path")).select(*[F.col(f"`{c}`") for c in docs.columns], number)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each group (five-word shingles, similarity 0.8): one with the smallest id.  Rows are compared one by one,
-    so an id that repeats with different texts keeps each that no other row has; of equal rows without words one stays."""
+    so an id that repeats with different texts keeps each that no other row has; of equal rows without words one stays;
+    rows without an id stay.  Texts are not copied: only the numbers of the rows that go, the shorter list, meet them."""
     key = _fresh(docs, "kept_id")
-    # every row has a key of its own, written once so that it stays the same
-    rows = common.cut(docs.where("doc_id is not null").withColumn(key, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows.select(key, "text"), id_col=key).select(F.col("id").alias("rid"), "component_id", (F.col("n_shingles") == 0).alias("bare"))
-    own = rows.select(F.col(key).alias("rid"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").isNull().alias("none"))
+    rows = _numbered(docs, key)
+    named = rows.where("doc_id is not null")
+    groups = near_duplicates(named.select(key, "text"), id_col=key).select(F.col("id").alias("rid"), "component_id", (F.col("n_shingles") == 0).alias("bare"))
+    own = named.select(F.col(key).alias("rid"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").isNull().alias("none"))
     bare = lambda c: F.when(F.col("bare"), F.col(c))
-    kept = (groups.join(own, "rid").groupBy(F.when(~F.col("bare"), F.col("component_id")).alias("g"), bare("doc").alias("d"), bare("digest").alias("x"), bare("none").alias("y"))
-            .agg(F.min(F.struct("doc", "digest", "rid")).alias("best")))
-    kept = common.cut(kept.select(F.col("best.rid").alias(key)), "kept")
-    return rows.join(kept, key, "left_semi").select(*[f"`{c}`" for c in docs.columns]).unionAll(docs.where("doc_id is null"))
+    tagged = common.cut(groups.join(own, "rid").select("rid", "doc", "digest", F.when(~F.col("bare"), F.col("component_id")).alias("g"), bare("doc").alias("d"),
+                                                       bare("digest").alias("x"), bare("none").alias("y")), "groups")
+    best = tagged.groupBy("g", "d", "x", "y").agg(F.min(F.struct("doc", "digest", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
+    gone = common.cut(tagged.join(best, "rid", "left_anti").select(F.col("rid").alias(key)), "gone")
+    return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
