@@ -4,8 +4,9 @@ Method.  Items and documents are sets of word shingles.  Items are partitioned b
 two.  The sketch of an item is its bottom-k MinHash: the k smallest shingle hashes, k being set per band so that an
 item of that size cannot miss too many: an item of n shingles that is contained to ``percent`` misses at most
 ``m = n - ceil(percent * n / 100)`` of them, so of its ``k = m + extra`` sketch hashes at least ``extra`` are in the
-document.  Searching a document therefore costs one lookup per shingle, whatever its length: a short item inside a very
-long document is found for sure, with no window or prefix.  Candidates (enough sketch hashes hit) are confirmed by
+document.  Searching a document costs one lookup per shingle in each band's sorted sketch hashes, however many items there
+are; a band whose items need more shingles than the document has is skipped.  A short item inside a very long document is
+found for sure, with no window or prefix.  Candidates (enough sketch hashes hit) are confirmed by
 counting the item's whole shingle set.
 
 The item side is broadcast only while its hashes stay under BROADCAST_HASHES (counted first); beyond that the same
@@ -54,7 +55,7 @@ def _item_sets(size: int):
 
 
 class _Index:
-    """The items' hashes as flat sorted arrays, with their sketches."""
+    """The items' sketch hashes, one sorted table per size band, each hash with the items that have it."""
 
     def __init__(self, rows: list, percent: int):
         self.items = np.array([r[0] for r in rows], np.int64)
@@ -62,25 +63,37 @@ class _Index:
         self.need = np.array([-(-percent * len(h) // 100) for h in self.sets], np.int64)
         k = [sketch_size(len(h), percent) for h in self.sets]
         self.hits = np.array([kk - missing(len(h), percent) for kk, h in zip(k, self.sets, strict=True)], np.int64)
-        hashes = np.concatenate([h[:kk] for h, kk in zip(self.sets, k, strict=True)])
-        owner = np.repeat(np.arange(len(rows)), k)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[order]
+        bands = {}
+        for i, h in enumerate(self.sets):
+            bands.setdefault(len(h).bit_length() - 1, []).append(i)
+        self.bands = []
+        for _, own in sorted(bands.items()):
+            hashes = np.concatenate([self.sets[i][:k[i]] for i in own])
+            order = np.argsort(hashes, kind="stable")
+            keys, first = np.unique(hashes[order], return_index=True)
+            owner = np.repeat(np.array(own, np.int64), [k[i] for i in own])[order]
+            self.bands.append((int(self.need[own].min()), keys, np.append(first, len(order)), owner))
 
     def find(self, shingles: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, its set size, shared) of every item contained in a document's shingle set."""
-        at = np.searchsorted(shingles, self.hashes)
-        there = shingles[np.minimum(at, len(shingles) - 1)] == self.hashes
-        if not there.any():
-            return []
-        hit = np.bincount(self.owner[there], minlength=len(self.items))
+        """(item, its set size, shared) of every item contained in a document's shingle set: one lookup per shingle and
+        band, then work for the items that were hit alone."""
         found = []
-        for k in np.flatnonzero((hit >= self.hits) & (hit > 0)):
-            own = self.sets[k]
-            at = np.searchsorted(shingles, own)
-            shared = int((shingles[np.minimum(at, len(shingles) - 1)] == own).sum())
-            if shared >= self.need[k]:
-                found.append((int(self.items[k]), len(own), shared))
+        for least, keys, first, owner in self.bands:
+            if len(shingles) < least:
+                break   # bands go by size: no item of this one or a later one fits in
+            at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+            at = at[keys[at] == shingles]
+            if not len(at):
+                continue
+            size = first[at + 1] - first[at]
+            near = owner[np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            near, hit = np.unique(near, return_counts=True)
+            for i in near[hit >= self.hits[near]]:
+                own = self.sets[i]
+                place = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+                shared = int((shingles[place] == own).sum())
+                if shared >= self.need[i]:
+                    found.append((int(self.items[i]), len(own), shared))
         return found
 
 

@@ -3,12 +3,13 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import redact_secrets
 from gaugeline.llm.catalog import op9_secret_scan
-from gaugeline.llm.decontaminate import contaminated, sketch_size, missing
+from gaugeline.llm.decontaminate import _Index, contaminated, sketch_size, missing
 from gaugeline.llm.licenses import canonical, known_statements, scan_licenses
 from gaugeline.llm.mixing import mix, source_targets
 from gaugeline.llm.secrets import digest_columns, find_secrets, redact
@@ -104,6 +105,24 @@ def test_decontamination_counts_each_pair_of_texts(spark, limit):
     assert got == {(1, 5, 3, 3), (3, 6, 16, 16)}
 
 
+def test_index_finds_what_a_scan_of_all_items_finds():
+    """Items of many sizes that share hashes, sets near the 80 percent line, copies of items."""
+    rng = np.random.default_rng(4)
+    space = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    items = [np.sort(rng.choice(space, n, replace=False)) for n in rng.integers(1, 120, 300)]
+    items += items[:10]
+    index = _Index([(i, h.view(np.int64)) for i, h in enumerate(items)], 80)
+    some = 0
+    for n in (1, 3, 10, 500, 2500):
+        own = set(rng.choice(space, n, replace=False).tolist())
+        for h in items[:6]:
+            own |= set(h[: -(-80 * len(h) // 100) - (n == 3)].tolist())
+        want = {(i, len(h), k) for i, h in enumerate(items) if 100 * (k := len(own & set(h.tolist()))) >= 80 * len(h)}
+        assert set(index.find(np.array(sorted(own), np.uint64))) == want
+        some += len(want)
+    assert some > 20
+
+
 def test_decontamination_of_empty_tables(spark, no_docs, odd_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(odd_docs, none).count() == 0
