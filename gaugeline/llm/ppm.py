@@ -7,10 +7,12 @@ context, where the bytes already excluded don't count.  Below the empty context
 training text is counted, in Spark; the sum of the log10 probabilities over a text's bytes and its end is its score.
 Texts are read as their words, A-Z in lower case, one space between them, ended by a line feed.
 
-Size.  Counting shuffles partial counts per task, so it grows with the corpus.  What a scoring task holds is bounded:
-TRIE_NODES nodes per order at most (the most frequent, by one count limit for all orders, so that contexts stay nested;
-no limit applies while the trie is smaller).  The base score meets the vocabulary in two parts: HEAD_WORDS frequent words
-are broadcast, which also are the hot keys; all other words are joined by shuffle.
+Size.  Counting shuffles partial counts per task, so it grows with the corpus.  What a scoring task holds is bounded, and the
+scores don't depend on the bound.  While each order has TRIE_NODES nodes at most, tasks hold the trie.  Beyond that they hold the
+scores of TRIE_NODES frequent windows, taken from the whole trie; every other distinct window walks the trie by joins, order
+by order: the trie is one row per context with its followers (256 at most) and only windows that a context didn't decide go on to the
+next.  The base score meets the vocabulary in two parts: HEAD_WORDS frequent words are broadcast, which also are the hot
+keys; all other words are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ _U = np.uint64
 _EMPTY = _U(2**64 - 1)
 _COUNTS = pa.schema([("word", pa.binary()), ("win", pa.int64()), ("n", pa.int64())])
 _SCORES = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
-                     ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64())])
-_SCORES_SQL = "rid long, id long, n_tokens long, n_known long, base double, score double, word binary, n long"
+                     ("score", pa.float64()), ("word", pa.binary()), ("win", pa.int64()), ("n", pa.int64())])
+_SCORES_SQL = "rid long, id long, n_tokens long, n_known long, base double, score double, word binary, win long, n long"
 
 
 def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +199,9 @@ class ByteModel:
             out[missing] = self.walk(key)[back.ravel()]
         return out
 
+    def get(self, win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.log10(win), np.ones(len(win), bool)
+
     def walk(self, win: np.ndarray) -> np.ndarray:
         """From the longest context down, with escapes and exclusion."""
         lp, child, open_ = np.zeros(len(win)), np.full(len(win), -1), np.arange(len(win))
@@ -219,27 +224,35 @@ class ByteModel:
         return lp
 
 
-def _score(model, head, norm: float):
+def _score(windows_known, head, norm: float):
+    """Rows of three kinds: a text's scores; a word that ``head`` lacks; a window that ``windows_known`` lacks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, known = model.value, head.value
+        known = head.value
         number = TaskContext.get().partitionId() << 33
         for part in slices(batches):
             texts = [words(t) for t in part.column("text").to_pylist()]
             win, size = windows(texts)
-            score = np.add.reduceat(ppm.log10(win), np.cumsum(size) - size)
+            value, found = windows_known.value.get(win)
+            first = np.cumsum(size) - size
+            score = np.add.reduceat(np.where(found, value, 0.0).astype(np.float64), first)
             rows, rest = [], []
-            for i, ws, s in zip(part.column("id").to_pylist(), texts, score.tolist(), strict=True):
+            for i, ws, s, at, k in zip(part.column("id").to_pylist(), texts, score.tolist(), first.tolist(), size.tolist(), strict=True):
                 base = seen = 0
                 own = Counter(ws)
                 own[END] += 1
                 for word, n in own.items():
                     log = known.get(word)
                     if log is None:
-                        rest.append((number, None, None, None, None, None, word, n))
+                        rest.append((number, None, None, None, None, None, word, None, n))
                     else:
                         base += n * (log - norm)
                         seen += n
-                rows.append((number, i, len(ws) + 1, seen, float(base), s, None, None))
+                rows.append((number, i, len(ws) + 1, seen, float(base), s, None, None, None))
+                open_ = win[at:at + k][~found[at:at + k]]
+                if len(open_):
+                    keys, n = np.unique(open_, return_counts=True)
+                    none = [pa.nulls(len(keys), f.type) for f in _SCORES]
+                    yield record_batch(_SCORES, np.full(len(keys), number), *none[1:7], keys.view(np.int64), n)
                 number += 1
             rows += rest
             yield record_batch(_SCORES, *([r[k] for r in rows] for k in range(len(_SCORES))))
@@ -264,6 +277,55 @@ def _pairs(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
+def _context_tables(wins: DataFrame) -> list[DataFrame]:
+    """The trie by order: ``ctx, total, next``; ``next`` lists the bytes that followed the context (256 at most) with their counts."""
+    tables, grams = [], wins
+    for o in range(ORDER, -1, -1):
+        table = cut(grams.groupBy(F.expr("shiftright(win, 8)").alias("ctx"))
+                    .agg(F.sum("n").alias("total"), F.collect_list(F.expr("struct(cast(win & 255 as int) as b, n)")).alias("next")), f"ppm-order-{o}")
+        tables.insert(0, table)
+        if o:
+            shorter = F.expr(f"shiftleft(ctx & {(1 << 8 * (o - 1)) - 1}L, 8) | one.b").alias("win")
+            grams = table.select("ctx", F.explode("next").alias("one")).select(shorter, "one.n").groupBy("win").agg(F.sum("n").alias("n"))
+    return tables
+
+
+def _frequent(tables: list[DataFrame], least: int) -> _Hash:
+    """Windows counted ``least`` times or more with their log10 probabilities; the caller bounds their number."""
+    lp = F.expr("log10(2 * one.n - 1) - log10(2 * total)").alias("lp")
+    table = (tables[ORDER].select("ctx", "total", F.explode("next").alias("one")).where(F.col("one.n") >= least)
+             .select(F.expr("shiftleft(ctx, 8) | one.b").alias("win"), lp).toArrow())
+    return _Hash(table.column("win").to_numpy().astype(np.int64).view(_U), table.column("lp").to_numpy().astype(np.float32))
+
+
+def _walk(wins: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``win, lp`` of distinct windows: the walk of ByteModel as joins with the whole trie, one per order.
+
+    ``gone`` holds the bytes seen in the longer contexts.  Orders 0 and 1 have 1 and 256 contexts at most and are
+    broadcast; in the others a context that very many windows share is a skewed join, which Spark splits.
+    """
+    open_ = wins.selectExpr("win", "0d as lp", "cast(array() as array<int>) as gone")
+    done = []
+    for o in range(ORDER, -1, -1):
+        table = F.broadcast(tables[o]) if o < 2 else tables[o]
+        context = F.expr(f"shiftright(win, 8) & {(1 << 8 * o) - 1}L")
+        step = open_.join(table, context == F.col("ctx"), "left")
+        # the bytes that the longer contexts excluded don't count; where none is left, the context says nothing
+        step = step.withColumn("left_", F.expr("case when size(gone) = 0 then next else filter(next, x -> not array_contains(gone, x.b)) end"))
+        step = step.withColumn("all", F.when(F.size("gone") == 0, F.col("total")).otherwise(F.expr("aggregate(left_, 0L, (s, x) -> s + x.n)")))
+        step = step.withColumn("own", F.expr("get(filter(next, x -> x.b = (win & 255)), 0).n"))
+        step = cut(step.select("win", F.col("own").isNotNull().alias("hit"),
+                               F.expr("lp + case when own is not null then log10(2 * own - 1) - log10(2 * all) "
+                                      "when all > 0 then log10(size(left_)) - log10(2 * all) else 0d end").alias("lp"),
+                               F.expr("case when own is not null then cast(array() as array<int>) when next is null then gone else transform(next, x -> x.b) end").alias("gone")), f"ppm-walk-{o}")
+        done.append(step.where("hit").select("win", "lp"))
+        open_ = step.where("not hit").select("win", "lp", "gone")
+    out = open_.select("win", F.expr("lp - log10(256 - size(gone))").alias("lp"))
+    for part in done:
+        out = out.unionAll(part)
+    return out
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2,
                 head_words: int = HEAD_WORDS, trie_nodes: int = TRIE_NODES) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
@@ -285,16 +347,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # head_words rows at most
     head = {bytes(r[0]): r[1] for r in vocabulary.where(F.col("n") >= least).select("word", log_count).collect()}
     orders = [wins.groupBy(F.col("win").bitwiseAND((1 << (8 * (o + 1))) - 1).alias("win")).agg(F.sum("n").alias("n")) for o in range(ORDER)] + [wins]
-    bound = max(_limit(x, trie_nodes) for x in orders)
-    model = ByteModel([_pairs(x.where(F.col("n") >= bound), "win") for x in orders])
     sc = spark.sparkContext
+    whole = all(_limit(x, trie_nodes) == 1 for x in orders)
+    if whole:
+        model = ByteModel([_pairs(x, "win") for x in orders])
+    else:
+        tables = _context_tables(wins)
+        model = _frequent(tables, _limit(wins, trie_nodes))
     scored = cut(source.mapInArrow(_score(sc.broadcast(model), sc.broadcast(head), norm), _SCORES_SQL), "ppm-scores")
+    texts = scored.where("n_tokens is not null").drop("word", "win", "n")
+    if not whole:
+        far = scored.where("win is not null").select("rid", F.col("win").alias("far"), "n")
+        walked = _walk(far.select(F.col("far").alias("win")).distinct(), tables)
+        more = far.join(walked, F.col("far") == F.col("win")).groupBy("rid").agg(F.sum(F.col("n") * F.col("lp")).alias("more"))
+        texts = texts.join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
     rare = vocabulary.where(F.col("n") < least).select(F.col("word").alias("rare"), (F.col("n") + 1).alias("c"))
-    rest = (scored.where("n_tokens is null").select("rid", "word", "n").join(rare, F.col("word") == F.col("rare"), "left")
+    rest = (scored.where("word is not null").select("rid", "word", "n").join(rare, F.col("word") == F.col("rare"), "left")
             .groupBy("rid").agg(F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(1))) - norm)).alias("rest"),
                                 F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rest_known")))
     zero = F.lit(0).cast("long")
-    return (scored.where("n_tokens is not null").drop("word", "n").join(rest, "rid", "left")
+    return (texts.join(rest, "rid", "left")
             .select("id", out.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rest_known", zero)).alias("n_known"),
                     F.lit(int(n)).cast("long").alias("train_tokens"),
                     (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score"))

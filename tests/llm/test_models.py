@@ -66,6 +66,19 @@ def test_ppm_matches_brute_force(spark, odd_docs, odd_rows):
     check_scores(spark, odd_docs, rows, head_words=3)
 
 
+def test_ppm_is_the_same_whatever_a_task_holds(spark, odd_docs, odd_rows):
+    rows = [(i, t) for i, t, _ in odd_rows]
+    for nodes in (0, 20, 2000):
+        check_scores(spark, odd_docs, rows, trie_nodes=nodes, head_words=3)
+
+
+def test_ppm_joins_equal_the_held_trie_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held_trie, joined = (ppm.score_texts(docs, **o).select("id", F.col("score").alias(name)) for name, o in (("a", {}), ("b", {"trie_nodes": 1000})))
+    both = held_trie.join(joined, "id")
+    assert both.count() == docs.count() and both.where("abs(a - b) > 1e-5 * greatest(1, -a)").count() == 0
+
+
 def test_ppm_beats_the_base_on_held_out_texts(spark):
     got = ppm.score_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
