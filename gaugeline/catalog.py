@@ -863,6 +863,43 @@ def q_compact_latest(spark, sf_dir):
     return _log_out(spark.read.parquet(path))
 
 
+# ------------------------------------------------------------ skew by sketches, devices in the log
+FIRST_DAY, LAST_DAY = "2024-01-05", "2024-01-20"
+
+
+@register("skew_sketches", f"""
+SELECT partition_id, CAST(sum(n) AS BIGINT) AS records, count(*) AS devices, max(n) AS hot_records, TRUE AS records_equal, TRUE AS devices_within,
+       TRUE AS hot_within
+FROM (SELECT {_PID} AS partition_id, uuid, count(*) AS n FROM {_T} t
+      WHERE CAST("timestamp" AS DATE) BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}' GROUP BY 1, 2) d GROUP BY partition_id""")
+def q_skew_sketches(spark, sf_dir):
+    """A5 / 2.11: skew of a range of days by stored sketches, held against the exact form (device counts within four standard
+    errors, the hottest device's records within the sketch's bound)."""
+    from gaugeline.operators import sketches
+    from gaugeline.session import scratch_path
+    ev = telemetry(spark, sf_dir).select("uuid", "timestamp")
+    path = scratch_path(spark, "sketches")
+    early = F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    for batch, cond in ((0, early), (1, ~early), (1, ~early)):   # the last batch twice, as after a restart
+        sketches.add_sketches(ev.where(cond), path, batch, "s", N_PARTITIONS)
+    seen = sketches.partition_skew(sketches.read_sketches(spark, path), FIRST_DAY, LAST_DAY, top=1).select(
+        "partition_id", F.col("records").alias("_n"), F.col("devices").alias("_devices"), F.col("hot")[0]["records"].alias("_hot"))
+    exact = sketches.exact_skew(ev, FIRST_DAY, LAST_DAY, N_PARTITIONS)
+    within = lambda a, b, err: F.abs(F.col(a) - F.col(b)) <= err
+    return exact.join(seen, "partition_id", "left").select(
+        "partition_id", "records", "devices", "hot_records", (F.col("_n") == F.col("records")).alias("records_equal"),
+        within("_devices", "devices", 4 * sketches.device_error() * F.col("devices")).alias("devices_within"),
+        within("_hot", "hot_records", sketches.hot_error() * F.col("records")).alias("hot_within"))
+
+
+@register("log_device", f"SELECT partition_id, \"offset\", uuid, \"timestamp\", metric_name, value FROM {_LOG_SQL} l WHERE uuid = '{DEVICE}'")
+def q_log_device(spark, sf_dir):
+    """F3 on the log: one device's records, its files' device filters skip row groups."""
+    from gaugeline.operators.log import device_log
+    from gaugeline.sources.log import read_log
+    return _log_out(device_log(read_log(spark, written_log(spark, sf_dir)), DEVICE, N_PARTITIONS))
+
+
 # ------------------------------------------------------------ device metadata
 def _with_models(df: DataFrame) -> DataFrame:
     """Models that change with the weeks, hosts that change with the readings."""

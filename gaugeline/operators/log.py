@@ -26,7 +26,7 @@ from gaugeline.functions.timeparse import utc_instant
 from gaugeline.operators.commits import exists, file_system, read_commit, remove, write_commit
 from gaugeline.operators.numbering import number_rows
 from gaugeline.operators.partitioning import with_partition
-from gaugeline.operators.query import order_key
+from gaugeline.operators.query import device_filter, order_key
 from gaugeline.schema import DEFAULT_MAX_RECORDS, DEFAULT_PARTITIONS, LOG_SCHEMA
 from gaugeline.session import scratch_path
 from gaugeline.sources.log import read_log
@@ -36,6 +36,10 @@ POSITIONS_SCHEMA = "group string, partition_id int, next_offset long"
 # Output batching: no log or table file holds more rows than this.
 MAX_RECORDS_PER_FILE = 4_000_000
 
+# Log files are sorted by offset, so min/max statistics say nothing about devices: a Bloom filter per row group does, sized by
+# the devices it holds (written where the devices outgrow the column's dictionary, which readers look into as well).
+DEVICE_INDEX = {"parquet.bloom.filter.enabled#uuid": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 
 # --------------------------------------------------------------------- append
 def end_offsets(log: DataFrame, n_partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
@@ -157,7 +161,7 @@ def append_log(df: DataFrame, path: str, n_partitions: int = DEFAULT_PARTITIONS,
                 return _report_rows(spark, report)
             _WRITTEN.pop(app, None)   # a failure in between is caught by the probe
             (to_log_rows(logged, batch).sortWithinPartitions("partition_id", "offset")
-             .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE))
+             .write.mode("append").option("maxRecordsPerFile", str(MAX_RECORDS_PER_FILE)).options(**DEVICE_INDEX)
              .partitionBy("partition_id").parquet(path))
         finally:
             remove(spark, scratch)
@@ -198,6 +202,14 @@ def consume(log: DataFrame, partition_id: int, offset: int = 0,
             .orderBy("offset"))
 
 
+def device_log(log: DataFrame, uuid: str, n_partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
+    """F3 on the log: all records of one device, straight from the log (none for a device it doesn't hold).
+
+    Reads the directory of the device's partition, and there only row groups whose Bloom filter or dictionary may hold it.
+    """
+    return log.where(device_filter(log, uuid, n_partitions))
+
+
 def positions_frame(spark: SparkSession, positions) -> DataFrame:
     """(group, partition_id, next_offset) from a DataFrame, a dict or tuples."""
     if isinstance(positions, DataFrame):
