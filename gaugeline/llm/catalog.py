@@ -13,7 +13,7 @@ from gaugeline.llm.decontaminate import contaminated
 from gaugeline.llm.embedding_dedup import embedding_duplicates
 from gaugeline.llm.filter_audit import audit, orders
 from gaugeline.llm.html_extract import extract_text
-from gaugeline.llm.licenses import known_statements, scan_licenses
+from gaugeline.llm.licenses import known_licenses, scan_licenses
 from gaugeline.llm.minhash_dedup import near_duplicates
 from gaugeline.llm.mixing import mix
 from gaugeline.llm.ppm import score_texts
@@ -115,32 +115,44 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-def _canonical_sql(text: str) -> str:
-    """The canonical form of a licence text, in SQL."""
-    t = f"regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')"
-    t = f"('  ' || {t} || '  ')"
+def _bare_sql(text):
+    return f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g')"
+
+
+def _canonical_sql(bare):
+    t = f"('  ' || regexp_replace({bare}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  ')"
     for written, read in licenses.EQUIVALENT.items():
         t = f"replace({t}, ' {written.replace(' ', '  ')} ', ' {read.replace(' ', '  ')} ')"
     return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
 
 
-_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.statement_rows())
+_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.statement_rows() + licenses.text_rows())
+_TRIMMED = r"regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
+_BREAK = f"'{licenses.BLOCK_BREAK}'"
 
 
 @_query("op3_license_scan", f"""
-WITH known AS (SELECT c, min(license) AS license FROM (SELECT license, {_canonical_sql('text')} AS c FROM (VALUES {_KNOWN}) k(license, text)) x
-               WHERE c <> '' GROUP BY c),
-whole AS (SELECT doc_id, row_number() OVER () AS rid, {_canonical_sql("coalesce(text, '')")} AS c, text FROM documents),
-part AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM whole),
-lines AS (SELECT rid, {_canonical_sql('line')} AS c FROM part),
+WITH given AS (SELECT license, {_bare_sql('text')} AS t FROM (VALUES {_KNOWN}) k(license, text)),
+spelled AS (SELECT license, t, {_canonical_sql('t')} AS c FROM given),
+known AS (SELECT c, min(license) AS license FROM spelled WHERE c <> '' GROUP BY c),
+layouts AS (SELECT c, list_transform(string_split_regex({_TRIMMED}, {_BREAK}), lambda b: {_canonical_sql('b')}) AS blocks FROM spelled WHERE c <> ''),
+runs AS (SELECT DISTINCT c, blocks, blocks[1] AS first, len(blocks) AS size FROM layouts),
+whole AS (SELECT doc_id, rid, t, {_canonical_sql('t')} AS c FROM (SELECT doc_id, row_number() OVER () AS rid, {_bare_sql("coalesce(text, '')")} AS t FROM documents) d),
+lines AS (SELECT rid, {_canonical_sql('line')} AS c FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM whole) p),
 stated AS (SELECT rid, license FROM lines JOIN known USING (c)),
-found AS (SELECT rid, license FROM stated UNION SELECT rid, license FROM whole JOIN known USING (c)),
+parts AS (SELECT rid, string_split_regex(t, {_BREAK}) AS raw FROM whole),
+blocked AS (SELECT rid, list_transform(raw, lambda b: {_canonical_sql('b')}) AS blocks, raw FROM parts),
+placed AS (SELECT rid, blocks, raw, unnest(range(1, len(blocks) + 1)) AS at, unnest(blocks) AS first FROM blocked),
+texts AS (SELECT p.rid, p.at + r.size AS ends, known.license FROM placed p JOIN runs r USING (first) JOIN known ON known.c = r.c
+          WHERE p.blocks[p.at : p.at + r.size - 1] = r.blocks AND (r.size > 1 OR regexp_matches(p.raw[p.at], '{licenses.SEVERAL_LINES}'))),
+found AS (SELECT rid, license FROM stated UNION SELECT rid, license FROM whole JOIN known USING (c) UNION SELECT rid, license FROM texts),
 names AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS licenses FROM found GROUP BY rid),
-n AS (SELECT rid, count(*) AS n FROM stated GROUP BY rid)
-SELECT doc_id, sha256(whole.c) AS digest, known.license AS whole_license, coalesce(n.n, 0) AS n_statements, coalesce(names.licenses, '') AS licenses
-FROM whole LEFT JOIN known USING (c) LEFT JOIN names USING (rid) LEFT JOIN n USING (rid)""")
+n AS (SELECT rid, count(*) AS n FROM stated GROUP BY rid), m AS (SELECT rid, count(DISTINCT ends) AS m FROM texts GROUP BY rid)
+SELECT doc_id, sha256(whole.c) AS digest, known.license AS whole_license, coalesce(n.n, 0) AS n_statements, coalesce(m.m, 0) AS n_texts,
+       coalesce(names.licenses, '') AS licenses
+FROM whole LEFT JOIN known USING (c) LEFT JOIN names USING (rid) LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)""")
 def op3_license_scan(spark, sf_dir):
-    return scan_licenses(_table(spark, sf_dir, "documents"), known_statements(spark)).withColumnRenamed("id", "doc_id")
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark)).withColumnRenamed("id", "doc_id")
 
 
 @_query("op4_ppm_scores")

@@ -1,17 +1,20 @@
 """Mixing, licences, decontamination, token counts and secret scans against brute force."""
 
 import hashlib
+import random
 import re
+import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import redact_secrets
 from gaugeline.llm import secrets
-from gaugeline.llm.catalog import op9_secret_scan
+from gaugeline.llm.catalog import ORACLES, op9_secret_scan
 from gaugeline.llm.decontaminate import _Index, contaminated, sketch_size, missing
-from gaugeline.llm.licenses import canonical, known_statements, scan_licenses
+from gaugeline.llm.licenses import NAMES, TEXTS, canonical, known_licenses, known_statements, scan_licenses
 from gaugeline.llm.mixing import mix, source_targets
 from gaugeline.llm.secrets import digest_columns, find_secrets, redact
 from gaugeline.llm.token_counts import count_tokens
@@ -257,3 +260,50 @@ def test_redaction(spark):
     out = find_secrets(df, carry=True).select("id", redact(F.col("row.text"), F.col("spans")).alias("t"), "row")
     assert {r.id: r.t for r in out.collect()} == {1: "a [SECRET] b", 2: "clean é", 3: None}
     assert out.select("row.*").columns == df.columns
+
+
+def _texts():
+    """Documents that hold licence texts: whole, wrapped anew, inside prose, in part, with a block changed."""
+    rng = random.Random(5)
+
+    def laid(text, bullet="{}."):
+        text = re.sub("# ", lambda m, k=iter(range(1, 9)): bullet.format(next(k)) + " ", text)
+        words = lambda block: re.sub(r"\s+", " ", block)
+        return "\n\n".join(textwrap.fill(words(b), rng.randint(50, 90)) for b in text.split("\n\n"))
+    rows, want = [], []
+
+    def add(text, whole, n_texts, licenses):
+        want.append((len(rows), whole, n_texts, licenses))
+        rows.append((len(rows), text))
+    prose = "The river ran north.\nNobody had seen it before.\n\nThen it turned."
+    for spdx, text in TEXTS.items():
+        add(laid(text), spdx, 1, spdx)
+        add(f"{NAMES[spdx][0].upper()}\n\nCopyright (c) 2021 Some One\nAll rights reserved.\n\n{laid(text)}\n", spdx, 1, spdx)
+        add(f"{prose}\n\n{laid(text, '*')}\n\n---\n\n{prose}", None, 1, spdx)
+        add(f"{laid(text)} And one more.", None, 0, "")
+        if "\n\n" in text:
+            add(laid(text[:text.rindex("\n\n")]), None, 0, "")
+            add(laid(text.replace("\n\n", "\n\nwith a clause between\n\n", 1)), None, 0, "")
+    add(f"{laid(TEXTS['MIT'])}\n\n{prose}\n\n{laid(TEXTS['BSD-3-Clause'])}\n\n{laid(TEXTS['MIT'])}", None, 3, "BSD-3-Clause,MIT")
+    add(" ".join(TEXTS["MIT"].split()), "MIT", 0, "MIT")   # one line: no run of blocks, but the whole text and a line
+    return rows, want
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"first_words": 0}])
+def test_license_texts(spark, limits):
+    rows, want = _texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, r.whole_license, r.n_texts, r.licenses) for r in scan_licenses(docs, known_licenses(spark), **limits).collect())
+    assert got == want
+
+
+def test_license_texts_by_sql(spark, tmp_path):
+    rows, want = _texts()
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    got = con.execute(f"SELECT doc_id, whole_license, n_texts, licenses, digest, n_statements FROM ({ORACLES['op3_license_scan']}) o ORDER BY 1").fetchall()
+    assert [r[:4] for r in got] == want
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    ours = sorted((r.id, r.whole_license, r.n_texts, r.licenses, r.digest, r.n_statements) for r in scan_licenses(docs, known_licenses(spark)).collect())
+    assert ours == got
