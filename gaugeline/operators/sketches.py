@@ -67,8 +67,10 @@ def _days(first, last) -> Column:
 def partition_skew(sketches: DataFrame, first=None, last=None, top: int = 10) -> DataFrame:
     """``partition_id, records, devices, hot`` over the days ``first`` to ``last`` (both included, None: open).
 
-    ``hot`` lists the ``top`` devices with most records as ``(uuid, records)``, both estimates as the module states.
-    Partitions without records in the range have no row.
+    ``hot`` lists the ``top`` devices with most records as ``(uuid, records)``, both estimates as the module states.  Only
+    devices that stand out of the sketch's own error are known to be among them: where records are spread evenly over more
+    devices than the sketch tracks, ``hot`` is shorter or empty, and a device that it could list and doesn't has at most
+    ``hot_error`` of the partition's records.  Partitions without records in the range have no row.
     """
     merged = sketches.where(_days(first, last)).groupBy("partition_id").agg(
         F.sum("records").cast("long").alias("records"), F.hll_sketch_estimate(F.hll_union_agg("devices")).cast("long").alias("devices"),

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeline.catalog import QUERIES
 from gaugeline.operators import sketches
 from gaugeline.operators.log import DEVICE_INDEX, append_log, device_log
 from gaugeline.sources.log import read_log
@@ -81,3 +82,21 @@ def test_a_device_read_skips_row_groups(spark, tmp_dir):
         spark.conf.unset("parquet.filter.columnindex.enabled")
     assert filtered * 4 < plain <= n
     assert device_log(log, "nowhere", 1).count() == 0
+
+
+def test_no_device_stands_out(spark, tmp_dir):
+    """More devices than a sketch tracks, with equal records: no hot device, which says that none is above the error."""
+    n = F.col("id")
+    rows = spark.range(60_000, numPartitions=4)
+    df = rows.select(F.concat(F.lit("d"), n % 30_000).alias("uuid"), F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz").alias("timestamp"),
+                     F.lit(0).alias("partition_id"))
+    sketches.add_sketches(df, f"{tmp_dir}/sketches", 0)
+    got = sketches.partition_skew(sketches.read_sketches(spark, f"{tmp_dir}/sketches"), top=3).first()
+    assert (got.records, got.hot) == (60_000, [])
+    assert sketches.exact_skew(df).first().hot_records <= sketches.hot_error() * got.records
+    # the query on as many devices in each partition
+    day = F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz")
+    spark.range(180_000, numPartitions=4).select(n.alias("event_id"), day.alias("ts"), (n % 90_000).alias("user_id"),
+                                                     F.lit("error").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k":1}').alias("props")).write.parquet(f"{tmp_dir}/t/events.parquet")
+    rows = QUERIES["skew_sketches"](spark, f"{tmp_dir}/t").collect()
+    assert sum(r.records for r in rows) == 180_000 and all(r.records_equal and r.devices_within and r.hot_within for r in rows)
