@@ -20,9 +20,10 @@ from gaugeline.operators.table import insert_if_absent, key_range_filter, persis
 from gaugeline.schema import DEFAULT_PARTITIONS, LOG_KEY, LOG_SCHEMA
 from gaugeline.streaming.ingest import _trigger, query_id
 
-# Target rows per written file; a small micro-batch writes one file instead of
+# Rows that a writing task sorts: what it holds doesn't grow with the micro-batch, and a large one is written by many tasks.
+# Tasks write contiguous key ranges, so a task more is about a file more; a small micro-batch is one task instead of
 # one per shuffle partition (no small-file build-up from frequent triggers).
-ROWS_PER_FILE = 4_000_000
+ROWS_PER_TASK = 500_000
 
 
 def _absent(batch: DataFrame, table_path: str) -> DataFrame:
@@ -37,7 +38,7 @@ def persist_batch(batch: DataFrame, table_path: str, n_partitions: int, stream:
     rows = batch.count()
     if rows == 0:
         return
-    files = math.ceil(rows / ROWS_PER_FILE)
+    files = math.ceil(rows / ROWS_PER_TASK)
     if batch_id is None:
         batch = _absent(batch, table_path) if exists(spark, table_path) else batch
         persist(batch.drop("batch"), table_path, n_partitions, num_files=files)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeline.operators.parse import parse_records
 from gaugeline.sources.csv import read_csv
 from gaugeline.sources.log import read_log
+from gaugeline.streaming import consume
 from gaugeline.streaming.consume import consume_stream, persist_batch
 from gaugeline.streaming.ingest import ingest_batch, ingest_stream
 from tests.test_parse import HEADER, ROWS
@@ -155,3 +156,12 @@ def test_a_line_break_in_a_quoted_cell_is_one_record(spark, tmp_dir):
     assert got == {"u0": ("d0", 1.0, {"k": "a", "type": "x"}), "u1": ("d\n1", 2.0, None), "u2": ("d2", 3.0, None), "u3": ("d3", 4.0, None)}
     assert read_log(spark, f"{tmp_dir}/log").count() == 4
     assert [r.uuid for r in spark.read.parquet(f"{tmp_dir}/rej").collect()] == ["uuid-9"]
+
+
+@pytest.mark.parametrize("rows,tasks", [(10, 1), (1_200_000, 3)])
+def test_a_writing_task_holds_a_bounded_part_of_a_batch(spark, tmp_dir, monkeypatch, rows, tasks):
+    seen = []
+    monkeypatch.setattr(consume, "persist", lambda df, path, n, num_files: seen.append((df.count(), num_files)))
+    batch = spark.range(rows).selectExpr("id as offset", "cast(id % 3 as int) as partition_id", "0L as batch")
+    persist_batch(batch, f"{tmp_dir}/table", 3)
+    assert seen == [(rows, tasks)]
