@@ -62,8 +62,11 @@ def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return key, np.bincount(at.ravel(), weights=np.concatenate([n for _, n in parts]), minlength=len(key)).astype(np.int64)
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

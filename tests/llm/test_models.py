@@ -141,3 +141,10 @@ def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert toxicity(odd_docs, labels).count() == len(odd_rows)
     assert toxicity(odd_docs, labels.where("false")).where("toxic").count() == 0
     assert toxicity(no_docs, labels).count() == 0
+
+
+def test_merged_counts_are_whole_numbers():
+    parts = [(np.array(k, np.uint64), np.array(n, np.int64)) for k, n in (([1, 5, 2**47], [2**53, 1, 2]), ([1, 7], [1, 4]), ([], []), ([5, 2**47], [3, 3]))]
+    key, n = ppm._merged(parts)
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == {1: 2**53 + 1, 5: 4, 7: 4, 2**47: 5} and (np.diff(key.astype(np.int64)) > 0).all()
+    assert [len(x) for x in ppm._merged([(np.empty(0, np.uint64), np.empty(0, np.int64))])] == [0, 0]
